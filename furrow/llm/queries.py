@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.llm.embeddings import near_duplicate_vectors
 from furrow.llm.licenses import BASE, TEMPLATES, scan_licenses, template_regex
 from furrow.llm.media import media_columns, pack_texts
+from furrow.llm.mixing import mix, taken
 from furrow.llm.pieces import encode_texts
+from furrow.llm.simhash import hex_fingerprint, near_duplicates
 from furrow.llm.tokencount import token_counts
 from furrow.session import table
 
@@ -28,6 +31,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", taken(F.col("draws")).alias("taken"))
+
+
 @query
 def op4_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("places")
@@ -38,6 +47,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@query
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @query
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media_columns(pack_texts(table(spark, sf_dir, "documents")), payload=True)
@@ -62,6 +76,20 @@ def op8_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op10_embedding_links"] = """
+WITH RECURSIVE u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+r AS (SELECT a AS v, a AS w FROM l UNION SELECT r.v, l.b FROM r JOIN l ON r.w = l.a),
+m AS (SELECT v, min(w) AS c FROM r GROUP BY v), n AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept
+FROM embeddings LEFT JOIN m ON v = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+
 def _licenses_sql() -> str:
     """Words joined by single spaces; places of a phrase are counted word by word, templates as regular expressions."""
     hits = " UNION ALL ".join(
