@@ -17,12 +17,16 @@ result needs are replaced.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.llm.batches import map_slices
+
 WEIGHTS = (5, 2, 1)
 #: Documents of one source that one task orders.
 BUCKET_ROWS = 20_000
@@ -182,6 +186,42 @@ def taken(draws):
     return F.aggregate(draws, F.lit(0).cast("long"), lambda n, d: n + d["end_word"] - d["first_word"])
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def cut(text: str, parts: list[tuple[int, int]]) -> str:
+    """The words of ``parts`` (first, end) of a text with the signs between them; parts that don't touch are put on lines of their own."""
+    spans = [m.span() for m in WORD.finditer(text)]
+    if parts == [(0, len(spans))]:
+        return text
+    return "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in parts)
+
+
+def drawn_texts(mixed: DataFrame, columns: list[str], text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """One row for each document and pass that draws from it: ``columns`` with the drawn words as text and its length in ``n_chars``."""
+    kinds = {f.name: f.dataType.simpleString() for f in mixed.schema}
+
+    def make():
+        def f(pdf: pd.DataFrame) -> pd.DataFrame:
+            places, texts = [], []
+            for k, (t, draws) in enumerate(zip(pdf[text], pdf["draws"])):
+                for p in sorted({d["pass"] for d in draws}):
+                    parts: list[tuple[int, int]] = []
+                    for a, b in sorted((d["first_word"], d["end_word"]) for d in draws if d["pass"] == p):
+                        parts[-1:] = [(parts[-1][0], b)] if parts and parts[-1][1] == a else [*parts[-1:], (a, b)]
+                    places.append(k)
+                    texts.append(cut(t, parts))
+            out = pdf.iloc[places][columns].copy()
+            out[text] = texts
+            if n_chars in columns:
+                out[n_chars] = [len(t) for t in texts]
+            return out
+
+        return f
+
+    return map_slices(mixed.select(*columns, "draws"), text, ", ".join(f"`{c}` {kinds[c]}" for c in columns), make)
+
+
 def drawn_rows(mixed: DataFrame, id: str = "doc_id") -> DataFrame:
     """(shard, place, id, pass, first_word, end_word): one row for each draw, dealt to shards and ordered inside them."""
     rows = mixed.select(id, F.explode("draws").alias("draw")).select("draw.shard", "draw.place", id, "draw.pass", "draw.first_word", "draw.end_word")

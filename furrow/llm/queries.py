@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm.embeddings import near_duplicate_vectors
+from furrow.llm.langid import identify, train
 from furrow.llm.licenses import BASE, TEMPLATES, scan_licenses, template_regex
+from furrow.llm.lm import lm_scores
 from furrow.llm.media import media_columns, pack_texts
 from furrow.llm.mixing import mix, taken
 from furrow.llm.pieces import encode_texts
+from furrow.llm.quality import score_quality
 from furrow.llm.simhash import hex_fingerprint, near_duplicates
 from furrow.llm.tokencount import token_counts
 from furrow.session import table
@@ -31,12 +34,32 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(id: str, by: int):
+    """crc32 of the id as text, modulo ``by``; null for a null id."""
+    return F.crc32(F.col(id).cast("string").cast("binary")) % by
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    found = identify(docs, train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", taken(F.col("draws")).alias("taken"))
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    return score_quality(docs, labels, held_out).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op4_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("places")
@@ -76,6 +99,25 @@ def op8_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scores(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+ORACLE_SQL["op9_stupid_backoff"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+o AS (SELECT r, unnest(range(1, len(w) + 1)) AS k, w FROM d),
+t AS (SELECT r, k, w[k] AS a, CASE WHEN k > 1 THEN w[k - 1] || ' ' || w[k] END AS b, CASE WHEN k > 2 THEN w[k - 2] || ' ' || w[k - 1] || ' ' || w[k] END AS c FROM o),
+ca AS (SELECT a, count(*) AS na FROM t GROUP BY a), cb AS (SELECT b, count(*) AS nb FROM t GROUP BY b HAVING count(*) >= 2), cc AS (SELECT c, count(*) AS nc FROM t GROUP BY c HAVING count(*) >= 2),
+n AS (SELECT count(*) AS n FROM t),
+j AS (SELECT r, k, na, nb, nc, lag(na) OVER p AS pa, lag(nb) OVER p AS pb FROM t JOIN ca USING (a) LEFT JOIN cb USING (b) LEFT JOIN cc USING (c) WINDOW p AS (PARTITION BY r ORDER BY k)),
+s AS (SELECT r, CASE WHEN nc IS NOT NULL THEN ln(nc) - ln(pb) WHEN nb IS NOT NULL THEN ln(nb) - ln(pa) + CASE WHEN k > 2 THEN ln(0.4) ELSE 0 END
+  ELSE ln(na) - ln(n) + least(k - 1, 2) * ln(0.4) END AS x FROM j, n),
+z AS (SELECT r, sum(x) AS x, count(*) AS m FROM s GROUP BY r)
+SELECT doc_id, CAST(coalesce(m, 0) AS BIGINT) AS n_words, round(coalesce(x, 0), 6) AS log_score, round(x / m, 6) AS mean_log_score FROM d LEFT JOIN z USING (r)"""
+
+
 @query
 def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
