@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from furrow.plans import land  # noqa: F401  registers its queries
+from furrow.plans.base import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "t12_quota_allocate"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
