@@ -23,13 +23,13 @@ def slices(pdf: pd.DataFrame, text: str, most: int = CHUNK_CHARS) -> Iterator[pd
         yield pdf.iloc[a:b]
 
 
-def map_slices(df: DataFrame, text: str, schema: str, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
+def map_slices(df: DataFrame, text: str, schema: str, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], most: int = CHUNK_CHARS) -> DataFrame:
     """``mapInPandas`` with bounded slices; ``make`` builds the function once in each task."""
 
     def run(batches):
         f = make()
         for pdf in batches:
-            for part in slices(pdf, text):
+            for part in slices(pdf, text, most):
                 yield f(part)
 
     return df.mapInPandas(run, schema)

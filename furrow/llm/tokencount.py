@@ -11,7 +11,9 @@ empty table gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from furrow.llm.batches import map_slices
 from furrow.session import fresh_path
 
+#: Words whose counts a task remembers between slices of texts, and the characters of a slice; both bound its memory.
+REMEMBERED, SLICE_CHARS = 300_000, 1_000_000
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
 
@@ -40,12 +44,15 @@ def content_digest(text):
 
 def _counter(path: str):
     """Counts for a slice of texts. White space ends every token, so a text's count is the sum over its
-    words, and each distinct word of a slice is encoded once."""
+    words, and each distinct word is encoded once while the task remembers it."""
+    # Spark's tasks are the threads here; the library's own would multiply a worker's memory.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    known: dict[bytes, int] = {}
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         words, per_text = [], []
@@ -53,16 +60,16 @@ def _counter(path: str):
             own = text.encode().split()
             words += own
             per_text.append(len(own))
-        codes, distinct = pd.factorize(pd.Series(words, dtype=object))
-        lengths = []
-        for k in range(0, len(distinct), 20_000):
-            block = [w.decode() for w in distinct[k : k + 20_000]]
-            lengths += [len(e) for e in tokenizer.encode_batch_fast(block, add_special_tokens=False)]
-        sizes = pd.Series(lengths, dtype="int64").to_numpy()[codes] if words else []
-        ends = pd.Series(per_text, dtype="int64").cumsum()
-        total = pd.concat([pd.Series([0], dtype="int64"), pd.Series(sizes, dtype="int64").cumsum()]).to_numpy()
-        counts = total[ends] - total[ends - pd.Series(per_text, dtype="int64")]
-        return pd.DataFrame({"content_digest": pdf["content_digest"].to_numpy(), "n_tokens": counts})
+        new = list({w for w in words if w not in known})
+        for k in range(0, len(new), 5_000):
+            block = new[k : k + 5_000]
+            encoded = tokenizer.encode_batch_fast([w.decode() for w in block], add_special_tokens=False)
+            known.update(zip(block, map(len, encoded)))
+        total = np.concatenate([[0], np.cumsum(np.fromiter((known[w] for w in words), np.int64, len(words)))])
+        ends = np.cumsum(np.array(per_text, np.int64))
+        if len(known) > REMEMBERED:
+            known.clear()
+        return pd.DataFrame({"content_digest": pdf["content_digest"].to_numpy(), "n_tokens": total[ends] - total[ends - per_text]})
 
     return count
 
@@ -88,7 +95,7 @@ def fill_cache(docs: DataFrame, text: str, tokenizer: str, cache: str) -> DataFr
         .groupBy("content_digest").agg(F.first("text").alias("text"))
     )
     misses = distinct.join(known, "content_digest", "left_anti")
-    counted = map_slices(misses, "text", "content_digest binary, n_tokens long", lambda: _counter(tokenizer))
+    counted = map_slices(misses, "text", "content_digest binary, n_tokens long", lambda: _counter(tokenizer), SLICE_CHARS)
     counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
     return read_cache(docs.sparkSession, cache).filter(F.col("tokenizer_digest") == version)
 
