@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from furrow.plans import land  # noqa: F401  registers its queries
+from furrow.plans import land, learning, satellite  # noqa: F401  they register their queries
 from furrow.plans.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "t12_quota_allocate"

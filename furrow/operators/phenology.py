@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.session import stored
+
 
 def equal_width_clusters(df: DataFrame, value: str, n: int = 15) -> DataFrame:
     """K1: ``df`` with cluster: the equal-width bin of the value, 0 where all values are the same."""
@@ -131,12 +133,13 @@ def kmeans_1d(df: DataFrame, value: str, k: int, by: str, rounds: int = 8) -> Da
     """
     points = df.filter(F.col(value).isNotNull())
     quantiles = ", ".join(str((j + 0.5) / k) for j in range(k))
-    centres = points.groupBy(by).agg(F.expr(f"percentile(`{value}`, array({quantiles}))").alias("centres"))
+    centres = stored(points.groupBy(by).agg(F.expr(f"percentile(`{value}`, array({quantiles}))").alias("centres")), "centres")
     nearest = F.array_min(F.transform("centres", lambda c, j: F.struct(F.abs(F.col(value) - c).alias("d"), j.alias("j"))))["j"]
     for _ in range(rounds):
         sums = points.join(centres, by).groupBy(by, nearest.alias("j")).agg(F.avg(value).alias("c"))
         moved = sums.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("j", "c"))).alias("m"))
-        centres = centres.join(moved, by).select(by, F.transform("centres", lambda c, j: F.coalesce(F.col("m")[j], c)).alias("centres"))
+        # A row for each group: written each round, so that plans don't grow with the rounds.
+        centres = stored(centres.join(moved, by).select(by, F.transform("centres", lambda c, j: F.coalesce(F.col("m")[j], c)).alias("centres")), "centres")
     return points.join(centres, by).withColumn("cluster", nearest.cast("long")).drop("centres")
 
 
@@ -147,4 +150,4 @@ def two_pass_kmeans(df: DataFrame, value: str, tile: str = "tile_id", k1: int =
     kept = first.groupBy(tile, "first_cluster", "rows_").agg(F.count("*").alias("n")).filter(F.col("n") > drop * F.col("rows_"))
     tiles = kept.groupBy(tile).agg(F.count("*").alias("kept_"), F.sum("n").alias("left_")).filter((F.col("kept_") >= 2) & (F.col("left_") >= least2)).select(tile)
     rest = first.join(kept.select(tile, "first_cluster"), [tile, "first_cluster"], "left_semi").join(tiles, tile, "left_semi").drop("rows_")
-    return kmeans_1d(rest, value, k2, tile, rounds)
+    return kmeans_1d(stored(rest, "kept-rows"), value, k2, tile, rounds)

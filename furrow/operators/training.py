@@ -95,20 +95,25 @@ def class_extract(px: DataFrame, labels: DataFrame, least: int = 10) -> DataFram
     return joined.join(enough, ["tile_id", "label"])
 
 
-def split(df: DataFrame, shares: dict[str, float], key: str, label: str | None = None, seed: int = 0) -> DataFrame:
-    """``df`` with part: exact shares (of each class, if ``label``) in a hashed order, counted by hash ranges first, so no class is ordered in one task."""
-    h = hash_order(F.col(key), seed)
-    by = [label] if label else []
-    marked = df.withColumn("h_", h).withColumn("cut_", F.floor(F.col("h_") / 2**21))
+def class_rank(df: DataFrame, key: str, by: list[str], seed: int = 0) -> DataFrame:
+    """``df`` with rank_ (from 1, in a hashed order) and class_rows_ of each class. Ranges of the hash are counted first, so that no class, however large,
+    is ordered in one task."""
+    marked = df.withColumn("h_", hash_order(F.col(key), seed)).withColumn("cut_", F.floor(F.col("h_") / 2**21))
     sums = marked.groupBy(*by, "cut_").agg(F.count("*").alias("n_"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = sums.withColumn("before_", F.sum("n_").over(w.orderBy("cut_")) - F.col("n_")).withColumn("all_", F.sum("n_").over(w)).drop("n_")  # at most 1,024 rows for each class
-    placed = marked.join(before, [*by, "cut_"]).withColumn("r_", F.col("before_") + F.row_number().over(Window.partitionBy(*by, "cut_").orderBy("h_", key)))
+    before = sums.withColumn("before_", F.sum("n_").over(w.orderBy("cut_")) - F.col("n_")).withColumn("class_rows_", F.sum("n_").over(w)).drop("n_")  # at most 1,024 rows for each class
+    placed = marked.join(before, [*by, "cut_"])
+    return placed.withColumn("rank_", F.col("before_") + F.row_number().over(Window.partitionBy(*by, "cut_").orderBy("h_", key))).drop("h_", "cut_", "before_")
+
+
+def split(df: DataFrame, shares: dict[str, float], key: str, label: str | None = None, seed: int = 0) -> DataFrame:
+    """``df`` with part: exact shares (of each class, if ``label``) in a hashed order."""
+    placed = class_rank(df, key, [label] if label else [], seed)
     out, total = F.lit(None).cast("string"), 1.0
     for name, share in reversed(list(shares.items())):
-        out = F.when(F.col("r_") <= F.bround(F.col("all_") * total), name).otherwise(out) if total < 1 else F.lit(name)
+        out = F.when(F.col("rank_") <= F.bround(F.col("class_rows_") * total), name).otherwise(out) if total < 1 else F.lit(name)
         total -= share
-    return placed.withColumn("part", out).drop("h_", "cut_", "before_", "all_", "r_")
+    return placed.withColumn("part", out).drop("rank_", "class_rows_")
 
 
 def smote(df: DataFrame, features: str = "features", label: str = "label", key: str = "id", k: int = 5, cell: float = 1.0) -> DataFrame:
@@ -124,8 +129,9 @@ def smote(df: DataFrame, features: str = "features", label: str = "label", key:
     other = rows.select(label, "gx", "gy", F.col(key).alias("o_key"), F.col(features).alias("o_features"))
     d2 = F.aggregate(F.zip_with(features, "o_features", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     best = near.join(other, [label, "gx", "gy"]).filter(F.col(key) != F.col("o_key")).groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct(d2.alias("d2"), "o_key", "o_features"))), 1, k).alias("near_"))
-    base = rows.join(best, key)
-    times = F.floor(F.col("need_") / F.col("n_")) + F.when(F.pmod(F.xxhash64(key), F.col("n_")) < F.col("need_") % F.col("n_"), 1).otherwise(0)
+    # A row without a neighbour is copied as it is.
+    base = class_rank(rows, key, [label]).join(best, key, "left").withColumn("near_", F.coalesce("near_", F.array(F.struct(F.lit(0.0).alias("d2"), F.col(key).alias("o_key"), F.col(features).alias("o_features")))))
+    times = F.floor(F.col("need_") / F.col("n_")) + F.when(F.col("rank_") <= F.col("need_") % F.col("n_"), 1).otherwise(0)
     copies = base.withColumn("copy_", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>"))))
     pick = F.element_at("near_", (F.pmod(F.xxhash64(key, "copy_"), F.size("near_")) + 1).cast("int"))["o_features"]
     lam = F.pmod(F.xxhash64("copy_", key), F.lit(1000)) / 1000
