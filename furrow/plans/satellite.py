@@ -258,10 +258,10 @@ def r9_scale_bands(spark, sf):
     return R.scale_bands(li, "false_colour", ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
-@plan("SELECT event_id, CAST(floor(epoch_ms(ts) / 86400000.0 + 40587) AS BIGINT) AS mjd_day, CAST(floor(epoch_ms(ts) / 86400000.0 + 40587 - 58484 + 1) AS BIGINT) AS doy, epoch_ms(ts) // 1000 AS seconds FROM events")
+@plan("SELECT event_id, CAST(floor(epoch_ms(ts) / 86400000.0 + 40587) AS BIGINT) AS mjd_day, CAST(floor(epoch_ms(ts) / 86400000.0 + 40587 - 58484 + 1) AS BIGINT) AS doy, CAST((floor(epoch_ms(ts) / 86400000.0 + 40587) - 40587) * 86400000 AS BIGINT) AS day_ms FROM events")
 def r10_to_mjd(spark, sf):
     mjd = R.to_mjd(F.col("ts"))
-    return table(spark, sf, "events").select("event_id", F.floor(mjd).alias("mjd_day"), F.floor(R.mjd_to_doy(mjd)).alias("doy"), F.floor((R.mjd_to_ms(mjd) + 0.5) / 1000).alias("seconds"))
+    return table(spark, sf, "events").select("event_id", F.floor(mjd).alias("mjd_day"), F.floor(R.mjd_to_doy(mjd)).alias("doy"), R.mjd_to_ms(F.floor(mjd)).alias("day_ms"))
 
 
 @plan(oracle("SELECT cell_id, lon - 500 / (111320 * cos(radians(lat))) AS west, lat - 250 / 110540.0 AS south, lon + 500 / (111320 * cos(radians(lat))) AS east, lat + 250 / 110540.0 AS north FROM (SELECT cell_id, CAST(col_no AS DOUBLE) AS lon, depth AS lat FROM cells) AS z", "cells", doubles="west south east north"))
