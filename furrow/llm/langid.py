@@ -30,6 +30,8 @@ UNDETERMINED = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 GRAMS, BITS, PER_LANGUAGE, LEXICON = 4, 16, 200, 20_000
 SEGMENT = 64
+#: Characters labelled at a time: a word's features take some hundred bytes each, so this bounds a task's memory.
+SLICE_CHARS = 700_000
 
 
 class Features:
@@ -267,7 +269,7 @@ def identify(docs: DataFrame, model: Model | None, id: str = "doc_id", text: str
 
         return f
 
-    return map_slices(docs.select(id, text), text, f"`{id}` {docs.schema[id].dataType.simpleString()}, lang_pred string, score double", make)
+    return map_slices(docs.select(id, text), text, f"`{id}` {docs.schema[id].dataType.simpleString()}, lang_pred string, score double", make, SLICE_CHARS)
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5, text: str = "text") -> DataFrame:
@@ -283,4 +285,4 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5, te
 
         return f
 
-    return map_slices(docs, text, schema, make)
+    return map_slices(docs, text, schema, make, SLICE_CHARS)
