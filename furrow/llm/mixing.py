@@ -140,26 +140,28 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     ``place`` orders the draws inside their shard.
     """
     spark = docs.sparkSession
-    names = ("size", "source_size", "target", "draws", "mix_bucket", "mix_start")
+    names = ("size", "source_size", "target", "draws", "mix_bucket", "mix_start", "mix_name", "mix_null", "bucket_start", "blocks", "quota", "ends", "steps")
     sized = docs.drop(*[n for n in names if n not in (id, text, source)]).withColumn("size", word_count(F.col(text)))
     by_source = sized.groupBy(source).agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     shares = recipe([(r[0], r[1]) for r in by_source], block, shards, seed, weights, total, most)
     buckets = max(1, max((-(-r[2] // BUCKET_ROWS) for r in by_source), default=1) * 2)
     sized = sized.withColumn("mix_bucket", F.pmod(F.xxhash64(F.lit(seed), id), F.lit(buckets)))
-    sums = sized.groupBy(F.col(source).alias("source"), "mix_bucket").agg(F.sum("size").alias("bucket_size"))
-    starts = sums.select("source", "mix_bucket", (F.sum("bucket_size").over(Window.partitionBy("source").orderBy("mix_bucket")) - F.col("bucket_size")).alias("bucket_start"))
-    line = Window.partitionBy(source, "mix_bucket").orderBy(F.xxhash64(F.lit(seed + 1), id), id, "size")
+    # A null source as a plain pair of keys: the window below and the join share them, so texts are shuffled once.
+    sized = sized.withColumn("mix_name", F.coalesce(F.col(source), F.lit(""))).withColumn("mix_null", F.col(source).isNull())
+    keys = ["mix_name", "mix_null", "mix_bucket"]
+    sums = sized.groupBy(*keys).agg(F.sum("size").alias("bucket_size"))
+    starts = sums.select(*keys, (F.sum("bucket_size").over(Window.partitionBy("mix_name", "mix_null").orderBy("mix_bucket")) - F.col("bucket_size")).alias("bucket_start"))
+    line = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed + 1), id), id, "size")
     placed = sized.withColumn("mix_start", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     schema = "source string, source_size long, target double, blocks long, quota long, ends array<long>, steps array<struct<factor:long,shift:long>>"
     table = spark.createDataFrame([(s.source, s.size, s.target, s.blocks, s.quota, list(s.ends), list(s.steps)) for s in shares], schema)
     # Both tables have a row for each source (and bucket): the recipe's size, not the documents'.
-    keyed = starts.join(F.broadcast(table), starts["source"].eqNullSafe(table["source"])).drop(table["source"])
-    keyed = keyed.withColumnsRenamed({"source": "mix_source", "mix_bucket": "mix_key"})
-    joined = placed.join(keyed, placed[source].eqNullSafe(keyed["mix_source"]) & (placed["mix_bucket"] == keyed["mix_key"]))
+    table = table.select(F.coalesce("source", F.lit("")).alias("mix_name"), F.col("source").isNull().alias("mix_null"), *[c for c in table.columns if c != "source"])
+    joined = placed.join(starts.join(F.broadcast(table), ["mix_name", "mix_null"]), keys)
     start, end = F.col("mix_start") + F.col("bucket_start"), F.col("mix_start") + F.col("bucket_start") + F.col("size")
     inside = F.sequence(F.floor(start / block), F.floor((end - 1) / block))
     return joined.withColumn("draws", F.when(F.col("size") > 0, F.flatten(F.transform(inside, lambda k: _draws_of(k, start, end, block, most, seed)))).otherwise(F.array().cast(DRAWS))).drop(
-        "mix_bucket", "mix_start", "bucket_start", "blocks", "quota", "ends", "steps", "mix_source", "mix_key", "bucket_size"
+        "mix_bucket", "mix_start", "bucket_start", "blocks", "quota", "ends", "steps", "mix_name", "mix_null"
     )
 
 
@@ -174,7 +176,7 @@ def _draws_of(block_no, start, end, block: int, most: float, seed: int):
         number = F.pmod(block_no * step["factor"] + step["shift"], F.col("blocks")) + F.lit(p) * F.col("blocks")
         shard = F.size(F.filter("ends", lambda e: e <= number))  # noqa: B023  built at once
         draw = F.struct(
-            F.lit(p).alias("pass"), shard.cast("int").alias("shard"), F.xxhash64(F.lit(seed), F.lit(p), F.coalesce(F.col("mix_source"), F.lit("\0")), block_no).alias("place"),
+            F.lit(p).alias("pass"), shard.cast("int").alias("shard"), F.xxhash64(F.lit(seed), F.lit(p), F.col("mix_name"), F.col("mix_null"), block_no).alias("place"),
             (F.greatest(block_no * block, start) - start).cast("long").alias("first_word"), (F.least((block_no + 1) * block, end) - start).cast("long").alias("end_word"),
         )
         out.append(F.when(number < F.col("quota"), draw))
