@@ -1,9 +1,9 @@
 """Stupid-backoff language-model scores of all documents, from the counts of all documents.
 
-Documents are dealt by a hash into blocks of bounded size. For each order a block lists its n-grams once, as 64-bit keys in ascending
+Equal texts are counted first where they stand, so that copies travel and are scored once. Texts are dealt by a hash into blocks of bounded size. For each order a block lists its n-grams once, as 64-bit keys in ascending
 order; the lists are cut by key range, so that the rows (range, block, keys, counts) of one range are one partition of the count tables.
 A partition adds up its keys over all blocks and joins the totals back to the rows they came from; the rows return to their block, where they meet the
-exploded n-grams of its texts again, and each document's logarithms are summed. Rows hold lists in place of single n-grams because a list of sorted
+exploded n-grams of its texts again, and each text's logarithms are summed and joined to its documents. Rows hold lists in place of single n-grams because a list of sorted
 keys takes about six bytes each on its way, and single rows twice as many and more in each of the shuffles.
 
 With counts c, corpus size N, backoff factor f and least count m, the score of word i is c(i-2..i) / c(i-2..i-1) if c(i-2..i) >= m, else
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 9_000_000
 
 
 def word_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +59,12 @@ def ngram_keys(words: np.ndarray, n_words: np.ndarray, order: int) -> list[tuple
     return out
 
 
-def _lists(words, n_words, order):
+def _lists(words, n_words, copies, order):
+    """(n, distinct keys, their counts) of a block whose texts stand for ``copies`` documents each."""
+    weight = np.repeat(copies, n_words)
     for n, (keys, real) in enumerate(ngram_keys(words, n_words, order), 1):
-        yield n, *np.unique(keys[real], return_counts=True)
+        distinct, back = np.unique(keys[real], return_inverse=True)
+        yield n, distinct, np.bincount(back, weight[real], len(distinct)).astype(np.int64)
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -93,6 +96,32 @@ def _unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view("<u8")[:, 0].astype(np.int64)
 
 
+def counted_copies(docs: DataFrame, n_blocks: int, most: int = 4_000_000) -> DataFrame:
+    """(block, digest, text, copies): texts that are equal within a partition as one row. ``most``: characters that a task holds."""
+
+    def count(batches):
+        held: dict[bytes, list] = {}
+        size = 0
+        for pdf in batches:
+            for digest, text in zip(pdf["digest"], pdf["text"]):
+                if digest in held:
+                    held[digest][1] += 1
+                    continue
+                held[digest] = [text, 1]
+                size += len(text)
+                if size > most:
+                    yield frame(held)
+                    held, size = {}, 0
+        if held:
+            yield frame(held)
+
+    def frame(held):
+        return pd.DataFrame({"digest": list(held), "text": [t for t, _ in held.values()], "copies": [n for _, n in held.values()]})
+
+    counted = docs.mapInPandas(count, "digest binary, text string, copies long")
+    return counted.withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(n_blocks)).cast("int"))
+
+
 LISTS = "part int, block int, n int, keys binary, counts binary"
 
 
@@ -103,7 +132,7 @@ def block_lists(blocks: DataFrame, order: int, parts: int) -> DataFrame:
         words, n_words = word_keys(frame["text"].tolist())
         cuts = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
         rows = []
-        for n, keys, counts in _lists(words, n_words, order):
+        for n, keys, counts in _lists(words, n_words, frame["copies"].to_numpy(), order):
             at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
             rows += [(p, frame["block"].iat[0], n, _pack(keys[a:b]), _pack_counts(counts[a:b])) for p, (a, b) in enumerate(zip(at, at[1:])) if b > a]
         return pd.DataFrame(rows, columns=["part", "block", "n", "keys", "counts"])
@@ -149,22 +178,23 @@ def _scores(words: np.ndarray, n_words: np.ndarray, counts: list[np.ndarray], or
 
 def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = 3, backoff: float = 0.4, least: int = 2, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, n_words, log_score, mean_log_score) for each row: natural logarithms of the backoff scores, summed and per word."""
-    sized = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    size, total = sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0))).first()
+    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    size, total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0))).first()
     n_blocks = max(1, -(-size // block_chars))
-    blocks = sized.withColumn("block", F.pmod(F.xxhash64("text", "id"), F.lit(n_blocks)).cast("int")).repartition("block")
+    blocks = counted_copies(rows.select("digest", "text"), n_blocks).repartition("block")
     # As many ranges as blocks, so that a partition of the count tables is as large as a block, whatever the corpus.
     totals = total_counts(block_lists(blocks, order, n_blocks), least)
 
     def score(texts: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+        texts = texts.drop_duplicates("digest")
         words, n_words = word_keys(texts["text"].tolist())
         lists = lists.sort_values(["n", "part"])
         counts = []
         for n in range(1, order + 1):
             own = [_unpack_counts(c) for c in lists.loc[lists["n"] == n, "counts"]]
             counts.append(np.concatenate(own) if own else np.zeros(0, np.int64))
-        return pd.DataFrame({id: texts["id"], "n_words": n_words, "log_score": _scores(words, n_words, counts, order, backoff, total)})
+        return pd.DataFrame({"digest": texts["digest"], "n_words": n_words, "log_score": _scores(words, n_words, counts, order, backoff, total)})
 
-    kind = docs.schema[id].dataType.simpleString()
-    scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, f"`{id}` {kind}, n_words long, log_score double")
-    return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+    scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, "digest binary, n_words long, log_score double")
+    out = rows.select("id", "digest").join(scored, "digest").select(F.col("id").alias(id), "n_words", "log_score")
+    return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
