@@ -1,6 +1,7 @@
 """Stupid-backoff language-model scores of all documents, from the counts of all documents.
 
-Equal texts are counted first where they stand, so that copies travel and are scored once. Texts are dealt by a hash into blocks of bounded size. For each order a block lists its n-grams once, as 64-bit keys in ascending
+Equal texts are counted first where they stand, so that copies travel and are scored once. Texts are dealt by a hash into blocks of bounded size, the texts
+that a task sends to a block compressed together. For each order a block lists its n-grams once, as 64-bit keys in ascending
 order; the lists are cut by key range, so that the rows (range, block, keys, counts) of one range are one partition of the count tables.
 A partition adds up its keys over all blocks and joins the totals back to the rows they came from; the rows return to their block, where they meet the
 exploded n-grams of its texts again, and each text's logarithms are summed and joined to its documents. Rows hold lists in place of single n-grams because a list of sorted
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 9_000_000
 
 
-def word_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit keys of all words in a row, number of words of each text); A-Z are lower-cased, blanks of ASCII part words."""
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit keys of all words in a row, number of words of each text in UTF-8); A-Z are lower-cased, blanks of ASCII part words."""
     words: list[bytes] = []
     n = np.zeros(len(texts), np.int64)
     for k, t in enumerate(texts):
-        own = t.encode().lower().split() if t else []
+        own = t.lower().split()
         n[k] = len(own)
         words += own
     codes, distinct = pd.factorize(pd.Series(words, dtype=object))
@@ -97,7 +98,7 @@ def _unpack_counts(data: bytes) -> np.ndarray:
 
 
 def counted_copies(docs: DataFrame, n_blocks: int, most: int = 4_000_000) -> DataFrame:
-    """(block, digest, text, copies): texts that are equal within a partition as one row. ``most``: characters that a task holds."""
+    """(block, digests, sizes, copies, texts): packed rows of texts, those equal within a task as one. ``most``: bytes of text that a task holds."""
 
     def count(batches):
         held: dict[bytes, list] = {}
@@ -107,8 +108,9 @@ def counted_copies(docs: DataFrame, n_blocks: int, most: int = 4_000_000) -> Dat
                 if digest in held:
                     held[digest][1] += 1
                     continue
-                held[digest] = [text, 1]
-                size += len(text)
+                own = text.encode()
+                held[digest] = [own, 1]
+                size += len(own)
                 if size > most:
                     yield frame(held)
                     held, size = {}, 0
@@ -116,10 +118,33 @@ def counted_copies(docs: DataFrame, n_blocks: int, most: int = 4_000_000) -> Dat
             yield frame(held)
 
     def frame(held):
-        return pd.DataFrame({"digest": list(held), "text": [t for t, _ in held.values()], "copies": [n for _, n in held.values()]})
+        import zstandard
 
-    counted = docs.mapInPandas(count, "digest binary, text string, copies long")
-    return counted.withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(n_blocks)).cast("int"))
+        of_block: dict[int, list[bytes]] = {}
+        for digest in held:
+            of_block.setdefault(int.from_bytes(digest[:8]) % n_blocks, []).append(digest)
+        press, rows = zstandard.ZstdCompressor(level=3), []
+        for block, own in of_block.items():
+            sizes, copies = (np.array(x, np.int64) for x in ([len(held[d][0]) for d in own], [held[d][1] for d in own]))
+            rows.append((block, b"".join(own), _pack_counts(sizes), _pack_counts(copies), press.compress(b"".join(held[d][0] for d in own))))
+        return pd.DataFrame(rows, columns=["block", "digests", "sizes", "copies", "texts"])
+
+    return docs.mapInPandas(count, "block int, digests binary, sizes binary, copies binary, texts binary")
+
+
+def _open_texts(frame: pd.DataFrame) -> tuple[list[bytes], list[bytes], np.ndarray]:
+    """(digests, texts, copies) of the packed rows of a block; a text can stand there once for each task that sent it."""
+    import zstandard
+
+    digests, texts, copies = [], [], [np.zeros(0, np.int64)]
+    for row in frame.itertuples():
+        data, at = zstandard.ZstdDecompressor().decompress(row.texts), 0
+        for k, n in enumerate(_unpack_counts(row.sizes).tolist()):
+            digests.append(row.digests[32 * k : 32 * k + 32])
+            texts.append(data[at : at + n])
+            at += n
+        copies.append(_unpack_counts(row.copies))
+    return digests, texts, np.concatenate(copies)
 
 
 LISTS = "part int, block int, n int, keys binary, counts binary"
@@ -129,10 +154,11 @@ def block_lists(blocks: DataFrame, order: int, parts: int) -> DataFrame:
     """(part, block, n, keys, counts): each block's n-grams, cut into ``parts`` ranges of keys."""
 
     def lists(frame: pd.DataFrame) -> pd.DataFrame:
-        words, n_words = word_keys(frame["text"].tolist())
+        _, texts, copies = _open_texts(frame)
+        words, n_words = word_keys(texts)
         cuts = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
         rows = []
-        for n, keys, counts in _lists(words, n_words, frame["copies"].to_numpy(), order):
+        for n, keys, counts in _lists(words, n_words, copies, order):
             at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
             rows += [(p, frame["block"].iat[0], n, _pack(keys[a:b]), _pack_counts(counts[a:b])) for p, (a, b) in enumerate(zip(at, at[1:])) if b > a]
         return pd.DataFrame(rows, columns=["part", "block", "n", "keys", "counts"])
@@ -186,14 +212,15 @@ def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: in
     totals = total_counts(block_lists(blocks, order, n_blocks), least)
 
     def score(texts: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-        texts = texts.drop_duplicates("digest")
-        words, n_words = word_keys(texts["text"].tolist())
+        digests, found, _ = _open_texts(texts)
+        distinct = dict(zip(digests, found))
+        words, n_words = word_keys(list(distinct.values()))
         lists = lists.sort_values(["n", "part"])
         counts = []
         for n in range(1, order + 1):
             own = [_unpack_counts(c) for c in lists.loc[lists["n"] == n, "counts"]]
             counts.append(np.concatenate(own) if own else np.zeros(0, np.int64))
-        return pd.DataFrame({"digest": texts["digest"], "n_words": n_words, "log_score": _scores(words, n_words, counts, order, backoff, total)})
+        return pd.DataFrame({"digest": list(distinct), "n_words": n_words, "log_score": _scores(words, n_words, counts, order, backoff, total)})
 
     scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, "digest binary, n_words long, log_score double")
     out = rows.select("id", "digest").join(scored, "digest").select(F.col("id").alias(id), "n_words", "log_score")
