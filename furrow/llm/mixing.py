@@ -7,7 +7,7 @@ its blocks takes them in the order of a permutation of its own, and a shard owns
 Inside a shard draws are ordered by a hash.
 
 The recipe has one row for each source, as mixing weights have, and is held on the driver; all that grows with the documents stays in Spark. Places
-in the line are found by two cumulative sums: over the buckets of a source (a number set by the count of documents), and inside a
+in the line are found by two cumulative sums: over the buckets of a source (as many as its count of documents needs), and inside a
 bucket, so that no source of any size meets in one task.
 
 Defined results: null and empty texts have size 0 and are never drawn; a null source is a source of its own and comes last; rows with the same id
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from furrow.llm.batches import map_slices
 
 WEIGHTS = (5, 2, 1)
-#: Documents of one source that one task orders.
-BUCKET_ROWS = 20_000
+#: Documents of one source in a bucket, which is ordered as a whole.
+BUCKET_ROWS = 2_000
 
 
 def word_count(text):
@@ -140,14 +140,15 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     ``place`` orders the draws inside their shard.
     """
     spark = docs.sparkSession
-    names = ("size", "source_size", "target", "draws", "mix_bucket", "mix_start", "mix_name", "mix_null", "bucket_start", "blocks", "quota", "ends", "steps")
+    names = ("size", "source_size", "target", "draws", "mix_bucket", "mix_buckets", "mix_start", "mix_name", "mix_null", "bucket_start", "blocks", "quota", "ends", "steps")
     sized = docs.drop(*[n for n in names if n not in (id, text, source)]).withColumn("size", word_count(F.col(text)))
     by_source = sized.groupBy(source).agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     shares = recipe([(r[0], r[1]) for r in by_source], block, shards, seed, weights, total, most)
-    buckets = max(1, max((-(-r[2] // BUCKET_ROWS) for r in by_source), default=1) * 2)
-    sized = sized.withColumn("mix_bucket", F.pmod(F.xxhash64(F.lit(seed), id), F.lit(buckets)))
+    buckets = spark.createDataFrame([(r[0] or "", r[0] is None, -(-r[2] // BUCKET_ROWS)) for r in by_source], "mix_name string, mix_null boolean, mix_buckets long")
     # A null source as a plain pair of keys: the window below and the join share them, so texts are shuffled once.
     sized = sized.withColumn("mix_name", F.coalesce(F.col(source), F.lit(""))).withColumn("mix_null", F.col(source).isNull())
+    # A bucket holds as many documents in a large source as in a small one.
+    sized = sized.join(F.broadcast(buckets), ["mix_name", "mix_null"]).withColumn("mix_bucket", F.pmod(F.xxhash64(F.lit(seed), id), "mix_buckets")).drop("mix_buckets")
     keys = ["mix_name", "mix_null", "mix_bucket"]
     sums = sized.groupBy(*keys).agg(F.sum("size").alias("bucket_size"))
     starts = sums.select(*keys, (F.sum("bucket_size").over(Window.partitionBy("mix_name", "mix_null").orderBy("mix_bucket")) - F.col("bucket_size")).alias("bucket_start"))
@@ -155,7 +156,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     placed = sized.withColumn("mix_start", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     schema = "source string, source_size long, target double, blocks long, quota long, ends array<long>, steps array<struct<factor:long,shift:long>>"
     table = spark.createDataFrame([(s.source, s.size, s.target, s.blocks, s.quota, list(s.ends), list(s.steps)) for s in shares], schema)
-    # Both tables have a row for each source (and bucket): the recipe's size, not the documents'.
+    # A row for each source: the recipe's size, not the documents'.
     table = table.select(F.coalesce("source", F.lit("")).alias("mix_name"), F.col("source").isNull().alias("mix_null"), *[c for c in table.columns if c != "source"])
     joined = placed.join(starts.join(F.broadcast(table), ["mix_name", "mix_null"]), keys)
     start, end = F.col("mix_start") + F.col("bucket_start"), F.col("mix_start") + F.col("bucket_start") + F.col("size")
