@@ -158,3 +158,13 @@ def test_lm_scores(spark, odd, small, which, order, block):
 
 def test_lm_scores_of_nothing(none):
     assert lm.lm_scores(none).count() == 0
+
+
+def test_lm_scores_of_packed_texts(spark):
+    empty = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string").coalesce(1)
+    assert {(r.n_words, r.log_score, r.mean_log_score) for r in lm.lm_scores(empty).collect()} == {(0, 0.0, None)}
+    texts = ["a b a b", "É é  x", ""] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_words, r.log_score) for r in lm.lm_scores(docs, block_chars=10).collect()}
+    for k, (n, score) in enumerate(plain_scores(texts)):
+        assert got[k][0] == n and got[k][1] == pytest.approx(score, abs=2e-5)
