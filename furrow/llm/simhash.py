@@ -185,10 +185,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     return marked.join(of_fp, "fp").select(id, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", groups=near_duplicates, **how) -> DataFrame:
     """The rows of ``docs``, unchanged, whose id names their group: one document of each. Of rows with the same id one stays; of rows
-    without an id, which can name no group, one of each text stays."""
-    groups = near_duplicates(docs.filter(F.col(id).isNotNull()), id, text, **how)
+    without an id, which can name no group, one of each text stays. ``groups`` gives each id its component_id."""
+    groups = groups(docs.filter(F.col(id).isNotNull()), id, text, **how)
     named = groups.filter(F.col(id) == F.col("component_id")).select(id).distinct()
     return docs.join(named, id, "left_semi").dropDuplicates([id]).unionByName(docs.filter(F.col(id).isNull()).dropDuplicates([text]))
 
