@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.session import stored
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -168,27 +170,32 @@ def fill_focal(df: DataFrame, target: DataFrame, value: str, windows: list[int],
     return out
 
 
-def fill_nearest(df: DataFrame, target: DataFrame, value: str, bucket: int = 16, rings: int = 64) -> DataFrame:
-    """``target`` cells take the value of the nearest cell that has one, ties to the lowest row, then column.
+def fill_nearest(df: DataFrame, target: DataFrame, value: str, bucket: int = 16) -> DataFrame:
+    """``target`` cells take the value of the nearest cell that has one, however far, ties to the lowest row, then column.
 
-    Cells meet by buckets of the grid in rings that grow only for those not yet served; a find counts once no unseen ring can be nearer.
+    Cells meet in their own and adjoining buckets of the grid; a find counts once no cell outside them can be nearer. The buckets double for
+    those not yet served. After the first round cells between four others that have values are left out: one of the four is always nearer.
     """
-    valid = df.filter(F.col(value).isNotNull()).select(F.col("row_no").alias("v_row"), F.col("col_no").alias("v_col"), F.col(value).alias("v"))
-    valid = valid.withColumn("by", F.floor(F.col("v_row") / bucket)).withColumn("bx", F.floor(F.col("v_col") / bucket)).cache()
-    todo, done, ring = target.select("row_no", "col_no"), None, 1
+    valid = stored(df.filter(F.col(value).isNotNull()).select(F.col("row_no").alias("v_row"), F.col("col_no").alias("v_col"), F.col(value).alias("v")).filter("v_row IS NOT NULL AND v_col IS NOT NULL"))
+    todo, nothing = target.select("row_no", "col_no"), F.lit(None).cast(df.schema[value].dataType).alias(value)
     if valid.isEmpty():
-        return todo.withColumn(value, F.lit(None).cast(df.schema[value].dataType))
-    while True:
-        around = F.sequence(F.lit(-ring), F.lit(ring))
+        return todo.withColumn(value, nothing)
+    done = todo.filter("row_no IS NULL OR col_no IS NULL").select("row_no", "col_no", nothing)
+    todo, first = stored(todo.filter("row_no IS NOT NULL AND col_no IS NOT NULL")), True
+    around = F.sequence(F.lit(-1), F.lit(1))
+    while not todo.isEmpty():
+        held = valid.withColumn("by", F.floor(F.col("v_row") / bucket)).withColumn("bx", F.floor(F.col("v_col") / bucket))
         near = todo.withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around)).withColumn("by", F.floor(F.col("row_no") / bucket) + F.col("dy")).withColumn("bx", F.floor(F.col("col_no") / bucket) + F.col("dx"))
         d2 = (F.col("v_row") - F.col("row_no")) ** 2 + (F.col("v_col") - F.col("col_no")) ** 2
-        best = near.join(valid, ["by", "bx"]).groupBy("row_no", "col_no").agg(F.min(F.struct(d2.alias("d2"), "v_row", "v_col", "v")).alias("b"))
-        sure = best.filter(F.col("b.d2") <= (ring * bucket) ** 2).select("row_no", "col_no", F.col("b.v").alias(value))
-        done = sure if done is None else done.unionByName(sure)
-        todo = todo.join(sure, ["row_no", "col_no"], "left_anti")
-        if ring >= rings or todo.isEmpty():
-            return done.unionByName(todo.withColumn(value, F.lit(None).cast(df.schema[value].dataType)))
-        ring *= 2
+        best = near.join(held, ["by", "bx"]).groupBy("row_no", "col_no").agg(F.min(F.struct(d2.alias("d2"), "v_row", "v_col", "v")).alias("b"))
+        sure = stored(best.filter(F.col("b.d2") <= bucket**2).select("row_no", "col_no", F.col("b.v").alias(value)))
+        done, todo = done.unionByName(sure), stored(todo.join(sure, ["row_no", "col_no"], "left_anti"))
+        if first and not todo.isEmpty():
+            sides = F.explode(F.array(*[F.struct((F.col("v_row") + y).alias("v_row"), (F.col("v_col") + x).alias("v_col")) for y, x in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
+            inner = valid.select("v_row", "v_col").distinct().select(sides.alias("s")).groupBy("s.v_row", "s.v_col").count().filter("count = 4")
+            valid, first = stored(valid.join(inner, ["v_row", "v_col"], "left_anti")), False
+        bucket *= 2
+    return done
 
 
 def fill_default(value, default: float, where):

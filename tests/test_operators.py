@@ -95,6 +95,16 @@ def test_fill_nearest_far_away(spark):
     assert grid.fill_nearest(df.filter("v > 5"), target, "v").filter("v IS NULL").count() == 4
 
 
+def test_fill_nearest_beyond_any_window(spark):
+    rng = np.random.default_rng(5)
+    cells = [(int(y), int(x)) for y, x in rng.integers(0, 40, (60, 2))] + [(y, x) for y in range(60, 75) for x in range(60, 75)] + [(9000, 0)]
+    cells = {c: float(k) for k, c in enumerate(cells)}
+    target = [(int(y), int(x)) for y, x in rng.integers(-300, 6000, (60, 2))] + [(67, 67), (10, 90), (100_000, -50_000)]
+    df = spark.createDataFrame([(*c, v) for c, v in cells.items()], "row_no long, col_no long, v double")
+    got = {(r.row_no, r.col_no): r.v for r in grid.fill_nearest(df, spark.createDataFrame([*target, (None, 3)], "row_no long, col_no long"), "v", bucket=4).collect()}
+    assert got == {t: cells[min(cells, key=lambda c: ((c[0] - t[0]) ** 2 + (c[1] - t[1]) ** 2, c))] for t in target} | {(None, 3): None}
+
+
 def test_augment_moves_every_pixel_once(spark):
     df = spark.createDataFrame([(p, y, x, y * 4 + x) for p in range(40) for y in range(4) for x in range(4)], "patch_id long, y int, x int, v int")
     out = training.augment(df, 4)
