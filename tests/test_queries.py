@@ -1,5 +1,12 @@
 """Every registered query runs and keeps its contract; those with SQL agree with it (see ``verify.py``)."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+
 import __spark_entry__ as entry
 from furrow import catalog
 
@@ -13,6 +20,18 @@ def test_names():
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_entry_without_the_corpus_operators(tmp_path, pipeline):
+    """The rest of the library is whole where ``furrow/llm`` is absent, whether or not ``corpus_pipeline.py`` is."""
+    root = Path(entry.__file__).parent
+    shutil.copytree(root / "furrow", tmp_path / "furrow", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if pipeline and (root / "corpus_pipeline.py").exists():
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
+    code = "import sys; sys.path.insert(0, '.'); import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and len(q) > 150 and not [n for n in q if n.startswith('op') or n == 'pipeline']"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env={"PATH": "/usr/bin:/bin"})
+
+
 def test_queries_agree_with_sql(spark, small):
     import glob
 
