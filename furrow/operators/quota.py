@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.session import stored
+
 #: Names of countries in the statistics that differ from the crosswalk's.
 COUNTRY_NAMES = {
     "Canada": "CAN", "Croatia": "HRV", "Czechia": "CZE", "Denmark": "DNK", "Ecuador": "ECU", "France": "FRA", "Germany": "DEU", "Hungary": "HUN", "Lithuania": "LTU", "Luxembourg": "LUX",
@@ -42,59 +44,66 @@ def quota_target(potential: DataFrame, reported: DataFrame, fallback: float = 0.
     return joined.select("country_code", F.coalesce(F.nullif(F.col("value") * 1000, F.lit(0.0)), fallback * F.col("potential")).alias("target"))
 
 
-def _crossing(cells: DataFrame, targets: DataFrame, group: str, strict: bool, buckets: int):
-    """Cells by (group, score) with the bucket of each score, each group's crossing bucket and the area before it.
+def _crossing(cells: DataFrame, targets: DataFrame, group: str, key: str, strict: bool, buckets: int) -> DataFrame:
+    """(group, q_target, q_total, q_last, q_cross, q_before): for each group with a target the first key, in falling order, at which the summed area reaches
+    (``strict``: exceeds) it, the area before that key, all area, and the last key. q_cross is null where the target is never reached.
 
-    Scores are cut into buckets from the highest down; only the bucket in which the target is crossed is ordered row by row, so a group
-    that holds most cells is summed in parallel and never sorted in one task.
+    ``cells(group, key, area)``: one row for each group and key. Keys are cut into buckets from the highest down; only the bucket in which the target is crossed is
+    ordered row by row, so a group that holds most cells is summed in parallel. What is known of a group is written first, so that Spark
+    sees its size and sends it to the cells where it is small.
     """
-    span = cells.groupBy(group).agg(F.min("score").alias("low"), F.max("score").alias("high_score"), F.sum("area").alias("total")).join(targets, group)
-    place = F.when(F.col("high_score") > F.col("low"), F.least(F.floor((F.col("high_score") - F.col("score")) / (F.col("high_score") - F.col("low")) * buckets), F.lit(buckets - 1))).otherwise(0)
-    marked = cells.join(span, group).withColumn("bucket", place)
-    sums = marked.groupBy(group, "bucket").agg(F.sum("area").alias("bucket_area"), F.first("target").alias("target"))
-    cum = sums.withColumn("cum", F.sum("bucket_area").over(Window.partitionBy(group).orderBy("bucket")))
-    over = F.col("cum") > F.col("target") if strict else F.col("cum") >= F.col("target")
-    cross = cum.filter(over).groupBy(group).agg(F.min_by(F.struct("bucket", (F.col("cum") - F.col("bucket_area")).alias("before")), "bucket").alias("x")).select(group, F.col("x.bucket").alias("cross_bucket"), "x.before")
-    return marked, cross
+    span = cells.groupBy(group).agg(F.min(key).alias("q_last"), F.max(key).alias("q_first"), F.sum("area").alias("q_total"))
+    span = stored(span.join(targets.select(group, F.col("target").alias("q_target")), group))
+    place = F.least(F.floor(F.try_divide(F.col("q_first") - F.col("q_key"), F.col("q_first") - F.col("q_last")) * buckets), F.lit(buckets - 1))
+    marked = cells.select(group, F.col(key).alias("q_key"), F.col("area").alias("q_area")).join(span, group).withColumn("q_bucket", F.coalesce(place.cast("long"), F.lit(0).cast("long")))
+    over = lambda sum_: sum_ > F.col("q_target") if strict else sum_ >= F.col("q_target")
+    sums = marked.groupBy(group, "q_bucket").agg(F.sum("q_area").alias("q_size"), F.first("q_target").alias("q_target"))
+    cum = sums.withColumn("q_cum", F.sum("q_size").over(Window.partitionBy(group).orderBy("q_bucket")))
+    crossed = stored(cum.filter(over(F.col("q_cum"))).groupBy(group).agg(F.min("q_bucket").alias("q_bucket"), F.min_by(F.col("q_cum") - F.col("q_size"), "q_bucket").alias("q_start")))
+    inside = marked.join(crossed, [group, "q_bucket"])
+    row_cum = F.col("q_start") + F.sum("q_area").over(Window.partitionBy(group).orderBy(F.desc("q_key")))
+    first = inside.withColumn("q_cum", row_cum).filter(over(F.col("q_cum"))).groupBy(group).agg(F.max("q_key").alias("q_cross"), F.max_by(F.col("q_cum") - F.col("q_area"), "q_key").alias("q_before"))
+    return stored(span.select(group, "q_target", "q_total", "q_last").join(first, group, "left"))
 
 
 def quota_cutoff(cells: DataFrame, targets: DataFrame, group: str = "country_code", buckets: int = 1000) -> DataFrame:
     """(group, cutoff): the highest score at which the area of cells with at least this score reaches the target; if never, the lowest score.
 
-    ``cells(group, score, area)``, ``targets(group, target)``. Ties share a cumulative sum, so the cutoff is unique.
+    ``cells(group, score, area)``, ``targets(group, target)``. Ties share a cumulative sum, so the cutoff is unique. Rows without group or score are passed over, a null
+    area counts as 0, groups without a target have no row.
     """
-    summed = cells.filter(F.col("score").isNotNull() & F.col(group).isNotNull()).groupBy(group, "score").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("area"))
-    marked, cross = _crossing(summed, targets, group, False, buckets)
-    inside = marked.join(cross, (marked[group] == cross[group]) & (marked["bucket"] == cross["cross_bucket"])).drop(cross[group])
-    cum = F.col("before") + F.sum("area").over(Window.partitionBy(group).orderBy(F.desc("score")))
-    found = inside.withColumn("cum", cum).filter(F.col("cum") >= F.col("target")).groupBy(group).agg(F.max("score").alias("found"))
-    return marked.groupBy(group).agg(F.min("low").alias("low")).join(found, group, "left").select(group, F.coalesce("found", "low").alias("cutoff"))
+    summed = stored(cells.filter(F.col("score").isNotNull() & F.col(group).isNotNull()).groupBy(group, "score").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("area")))
+    return _crossing(summed, targets, group, "score", False, buckets).select(group, F.coalesce("q_cross", "q_last").alias("cutoff"))
 
 
 def quota_allocate(cells: DataFrame, cutoffs: DataFrame, group: str = "country_code") -> DataFrame:
-    """``cells`` with allocated: the area of winners, 0 for others, null where the area is."""
-    joined = cells.join(cutoffs, group, "left")
-    wins = F.coalesce(F.col("score") >= F.col("cutoff"), F.lit(False))
-    return joined.withColumn("allocated", F.when(F.col("area").isNotNull(), F.when(wins, F.col("area")).otherwise(0.0))).drop("cutoff")
+    """``cells`` with allocated: the area of winners, 0 for others, null where the area is. A column called allocated is replaced, others keep their names."""
+    joined = cells.join(cutoffs.select(group, F.col("cutoff").alias("q_cutoff")), group, "left")
+    wins = F.coalesce(F.col("score") >= F.col("q_cutoff"), F.lit(False))
+    return joined.withColumn("allocated", F.when(F.col("area").isNotNull(), F.when(wins, F.col("area")).otherwise(0.0))).select(*[c for c in cells.columns if c != "allocated"], "allocated")
 
 
 def quota_allocate_nearest(cells: DataFrame, targets: DataFrame, group: str = "country_code", tie: str = "take", buckets: int = 1000) -> DataFrame:
-    """``cells(cell_id, group, score, area)`` with wins: cells by falling score while the sum stays within the target, and one more unless stopping
-    short is closer (at equal distance as ``tie`` says); groups below their target win every cell with area."""
+    """``cells(cell_id, group, score, area)`` with wins: cells by falling score, then cell_id, while the sum stays within the target, and one more unless stopping
+    short is closer (at equal distance as ``tie`` says); groups below their target win every cell with area.
+
+    Every row of ``cells`` comes back; those without score, area or group, and those of groups without a target, don't win. Scores are summed first; only the cells
+    that share the score at which the target is crossed are told apart by cell_id, again by ranges whose areas are summed first.
+    """
     rows = cells.filter(F.col("score").isNotNull() & F.col("area").isNotNull() & F.col(group).isNotNull())
-    marked, cross = _crossing(rows, targets, group, True, buckets)
-    joined = marked.join(cross, group, "left")
-    before_rows = joined.filter(F.col("cross_bucket").isNull() | (F.col("bucket") != F.col("cross_bucket")))
-    outer = before_rows.withColumn("wins", F.when(F.col("total") <= F.col("target"), F.col("area") > 0).otherwise(F.col("bucket") < F.col("cross_bucket")))
-    order = Window.partitionBy(group).orderBy(F.desc("score"), "cell_id")
-    cum = F.col("before") + F.sum("area").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    inner = joined.filter(F.col("bucket") == F.col("cross_bucket")).withColumn("cum", cum).withColumn("prior", F.col("cum") - F.col("area"))
-    short, long = F.abs(F.col("prior") - F.col("target")), F.abs(F.col("cum") - F.col("target"))
-    # Only the first row above the target can be the one more: there what stands before is still within it.
-    one_more = (F.col("prior") <= F.col("target")) & ((short > long) if tie == "skip" else (short >= long))
-    inner = inner.withColumn("wins", (F.col("cum") <= F.col("target")) | one_more)
-    columns = [*cells.columns, "wins"]
-    return outer.select(*columns).unionByName(inner.select(*columns))
+    summed = stored(rows.groupBy(group, "score").agg(F.sum("area").alias("area")))
+    by_score = _crossing(summed, targets, group, "score", True, buckets)
+    tied = rows.join(by_score.select(group, F.col("q_cross").alias("score"), "q_before", "q_target"), [group, "score"]).select(group, (-F.col("cell_id")).alias("q_key"), "area", "q_before", "q_target")
+    left = tied.groupBy(group).agg((F.first("q_target") - F.first("q_before")).alias("target"))
+    by_id = _crossing(tied.groupBy(group, "q_key").agg(F.sum("area").alias("area")), left, group, "q_key", True, buckets)
+    # The first cell above the target: what stands before it is within, so it can be the one more.
+    last = by_id.join(tied.select(group, F.col("q_key").alias("q_cross"), "area"), [group, "q_cross"]).groupBy(group, "q_cross").agg(F.first("q_target").alias("q_target"), F.first("q_before").alias("q_before"), F.sum("area").alias("q_area"))
+    short, long = F.col("q_target") - F.col("q_before"), F.abs(F.col("q_before") + F.col("q_area") - F.col("q_target"))
+    last = stored(last.select(group, (-F.col("q_cross")).alias("q_cell"), ((short > long) if tie == "skip" else (short >= long)).alias("q_more")))
+    known = stored(by_score.join(last, group, "left").select(group, "q_target", "q_total", "q_cross", "q_cell", "q_more"))
+    ahead = (F.col("score") > F.col("q_cross")) | (F.col("score") == F.col("q_cross")) & ((F.col("cell_id") < F.col("q_cell")) | (F.col("cell_id") == F.col("q_cell")) & F.col("q_more"))
+    wins = F.when(F.col("score").isNotNull(), F.when(F.col("q_total") <= F.col("q_target"), F.col("area") > 0).otherwise(F.col("area").isNotNull() & ahead))
+    return cells.join(known, group, "left").withColumn("wins", F.coalesce(wins, F.lit(False))).select(*[c for c in cells.columns if c != "wins"], "wins")
 
 
 def scenario_blend(potential, allocated, share: float = 0.5):

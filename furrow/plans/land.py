@@ -84,10 +84,11 @@ def classes(spark, sf):
     return C.tillage_classes(C.tillage_inputs(crop, cells, groups, allocated(spark, sf)))
 
 
-@plan(oracle("SELECT cell_id, coalesce(max(CASE WHEN src = 0 THEN v END), max(CASE WHEN src = 1 THEN v END)) AS v FROM (SELECT cell_id, 0 AS src, depth AS v FROM cells WHERE row_no < 12 UNION ALL SELECT cell_id, 1, price FROM cells WHERE row_no >= 9) AS z WHERE cell_id BETWEEN 500 AND 1500 GROUP BY cell_id", "cells", doubles="v"))
+@plan(oracle("SELECT cell_id, coalesce(max(CASE WHEN src = 0 THEN v END), max(CASE WHEN src = 1 THEN v END)) AS v FROM (SELECT cell_id, 0 AS src, CASE WHEN depth > 10 THEN depth END AS v FROM cells WHERE row_no < 12 UNION ALL SELECT cell_id, 1, price FROM cells WHERE row_no >= 9) AS z WHERE cell_id BETWEEN 500 AND 1500 GROUP BY cell_id", "cells", doubles="v"))
 def s1_read_cells(spark, sf):
+    """Two sources that overlap; the first has cells without a value."""
     cells = view(spark, sf, "cells")
-    return X.read_cells([cells.filter("row_no < 12").select("cell_id", F.col("depth").alias("v")), cells.filter("row_no >= 9").select("cell_id", F.col("price").alias("v"))], F.col("cell_id").between(500, 1500))
+    return X.read_cells([cells.filter("row_no < 12").select("cell_id", F.when(F.col("depth") > 10, F.col("depth")).alias("v")), cells.filter("row_no >= 9").select("cell_id", F.col("price").alias("v"))], F.col("cell_id").between(500, 1500))
 
 
 @plan(oracle("SELECT country_code, value FROM reported", "reported"))
@@ -242,14 +243,18 @@ def t12_quota_allocate(spark, sf):
     return won.join(F.broadcast(nation), "country_code").select("country", "allocated", "winners")
 
 
-NEAREST = """, o AS (SELECT cell_id, country_code, area, target, sum(area) OVER (PARTITION BY country_code) AS total, sum(area) OVER (PARTITION BY country_code ORDER BY score DESC, cell_id ROWS UNBOUNDED PRECEDING) AS cum FROM cpot JOIN target USING (country_code)),
-f AS (SELECT *, cum - area AS prior FROM o)"""
+NEAREST = """, g AS (SELECT cell_id, country_code, area, CASE WHEN cell_id % 11 <> 0 THEN score END AS score, target FROM cpot LEFT JOIN (SELECT * FROM target WHERE country_code % 7 <> 0) AS t USING (country_code)),
+o AS (SELECT cell_id, country_code, area, target, sum(area) OVER (PARTITION BY country_code) AS total, sum(area) OVER (PARTITION BY country_code ORDER BY score DESC, cell_id ROWS UNBOUNDED PRECEDING) AS cum FROM g WHERE score IS NOT NULL AND area IS NOT NULL AND target IS NOT NULL),
+f AS (SELECT *, cum - area AS prior FROM o),
+w AS (SELECT cell_id, country_code, CASE WHEN total <= target THEN area > 0 ELSE cum <= target OR (prior <= target AND abs(prior - target) >= abs(cum - target)) END AS wins FROM f)"""
 
 
-@plan(upto("target", "SELECT cell_id, country_code, CASE WHEN total <= target THEN area > 0 ELSE cum <= target OR (prior <= target AND abs(prior - target) >= abs(cum - target)) END AS wins FROM f").replace(" SELECT cell_id, country_code, CASE WHEN total", NEAREST + " SELECT cell_id, country_code, CASE WHEN total"))
+@plan(upto("target", "@ SELECT cell_id, g.country_code, coalesce(wins, false) AS wins FROM g LEFT JOIN w USING (cell_id)").replace(" @", NEAREST))
 def t13_quota_allocate_nearest(spark, sf):
+    """Some cells have no score and some countries no target: these win nothing and stay."""
     _, cell, target = targets(spark, sf)
-    return Q.quota_allocate_nearest(cell, target).select("cell_id", "country_code", "wins")
+    cell = cell.withColumn("score", F.when(F.col("cell_id") % 11 != 0, F.col("score")))
+    return Q.quota_allocate_nearest(cell, target.filter("country_code % 7 <> 0")).select("cell_id", "country_code", "wins")
 
 
 @plan(upto("ca", "SELECT cell_id, crop, coalesce(allocated, 0) + 0.5 * greatest(coalesce(area, 0) - coalesce(allocated, 0), 0) AS blended FROM ca", "blended"))

@@ -8,13 +8,16 @@ from pyspark.sql import types as T
 
 
 def read_cells(frames: list[DataFrame], inside, key: str = "cell_id") -> DataFrame:
-    """A mosaic of sources inside a window (a condition that reaches each scan); where they overlap the first wins."""
+    """A mosaic of sources inside a window (a condition that reaches each scan); where they overlap the first that has a value wins.
+
+    Each column is filled on its own; a cell that is null in all sources stays null.
+    """
     parts = [f.filter(inside).withColumn("source_rank", F.lit(k)) for k, f in enumerate(frames)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     values = [c for c in out.columns if c not in (key, "source_rank")]
-    return out.groupBy(key).agg(*[F.min_by(c, "source_rank").alias(c) for c in values])
+    return out.groupBy(key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("source_rank"))).alias(c) for c in values])
 
 
 def read_stats_csv(spark: SparkSession, path: str, schema: T.StructType, required: list[str]) -> DataFrame:
