@@ -139,16 +139,16 @@ def focal_box(df: DataFrame, value: str, size: int, ny: int, nx: int, tile: int
 
 
 def focal_circle(df: DataFrame, value: str, radius: int, ny: int, nx: int, tile: int = 64) -> DataFrame:
-    """(row, column, focal_mean): the mean of the values in a disc. Each row of the disc is a chord, taken as a difference of two
-    running sums; the chords of 2 r + 1 rows meet in one group-by."""
+    """(row, column, focal_mean): the mean of the values in a disc, for cells that any value reaches. Each row of the disc is a chord, summed along its row; the
+    chords of 2 r + 1 rows are added by window frames of one row each along the column, so a cell stays one row throughout."""
     dense = spine(df, tile, radius, ny, nx).join(df.select("row_no", "col_no", F.col(value).alias("v")), ["row_no", "col_no"], "left")
     chords = [(dy, int((radius * radius - dy * dy) ** 0.5)) for dy in range(-radius, radius + 1)]
-    row = Window.partitionBy("row_no").orderBy("col_no")
+    row, column = Window.partitionBy("row_no").orderBy("col_no"), Window.partitionBy("col_no").orderBy("row_no")
     widths = sorted({w for _, w in chords})
-    sums = dense.select("row_no", "col_no", *[F.struct(F.sum(F.coalesce("v", F.lit(0.0))).over(row.rangeBetween(-w, w)).alias("s"), F.sum(F.when(F.col("v").isNotNull(), 1).otherwise(0)).over(row.rangeBetween(-w, w)).alias("n")).alias(f"w{w}") for w in widths])
-    parts = F.array(*[F.struct((F.col("row_no") - dy).alias("to_row"), F.col(f"w{w}.s").alias("s"), F.col(f"w{w}.n").alias("n")) for dy, w in chords])
-    met = sums.select("col_no", F.explode(parts).alias("p")).filter((F.col("p.to_row") >= 0) & (F.col("p.to_row") < ny) & (F.col("p.n") > 0))
-    return met.groupBy(F.col("p.to_row").alias("row_no"), "col_no").agg((F.sum("p.s") / F.sum("p.n")).alias("focal_mean"))
+    sums = dense.select("row_no", "col_no", *[x for w in widths for x in (F.sum(F.coalesce("v", F.lit(0.0))).over(row.rangeBetween(-w, w)).alias(f"s{w}"), F.count("v").over(row.rangeBetween(-w, w)).alias(f"n{w}"))])
+    there = lambda c, dy: F.coalesce(F.first(c).over(column.rangeBetween(dy, dy)), F.lit(0))  # noqa: E731  a row and column is one cell
+    met = sums.select("row_no", "col_no", sum((there(f"s{w}", dy) for dy, w in chords), F.lit(0.0)).alias("s"), sum((there(f"n{w}", dy) for dy, w in chords), F.lit(0)).alias("n"))
+    return met.filter("n > 0").select("row_no", "col_no", (F.col("s") / F.col("n")).alias("focal_mean"))
 
 
 def dasymetric(coarse: DataFrame, fraction: DataFrame, size: int, ny: int, nx: int, cell_area: float = 6.25) -> DataFrame:
@@ -260,12 +260,18 @@ def crosses(px, py):
     return ((F.col("y1") > py) != (F.col("y2") > py)) & (px < (F.col("x2") - F.col("x1")) * (py - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
 
 
-def points_within(points: DataFrame, edges: DataFrame, bucket: float) -> DataFrame:
+def points_within(points: DataFrame, edges: DataFrame, bucket: float, crowd: int = 100_000) -> DataFrame:
     """``points(point_id, x, y)`` with the country_code of the polygon that holds each, null outside all; by ray casting.
 
-    Points and edges meet in bands of y, so an edge is tested only against points of the bands that it spans.
+    Points and edges meet in bands of y, so an edge is tested only against points of the bands that it spans. A band with more than ``crowd`` points is dealt by a hash
+    into parts, each of which gets the band's edges. Points without x or y are outside; of several polygons the one with the largest id counts.
     """
-    spans = edges.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / bucket), F.floor(F.greatest("y1", "y2") / bucket))))
-    met = points.withColumn("band", F.floor(F.col("y") / bucket)).join(spans, "band").filter(crosses(F.col("x"), F.col("y")))
+    at = lambda v: F.floor(v / bucket)
+    placed = points.select("point_id", "x", "y", at(F.col("y")).alias("band"))
+    parts = stored(placed.groupBy("band").agg(F.ceil(F.count("*") / crowd).cast("int").alias("parts")))
+    spans = edges.withColumn("band", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))))
+    spans = spans.join(parts, "band").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = placed.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("point_id"), F.col("parts")).cast("int")).drop("parts")
+    met = dealt.join(spans, ["band", "part"]).filter(crosses(F.col("x"), F.col("y")))
     inside = met.groupBy("point_id", "polygon_id").agg(F.count("*").alias("n"), F.first("country_code").alias("country_code")).filter("n % 2 = 1")
     return points.join(inside.groupBy("point_id").agg(F.max_by("country_code", "polygon_id").alias("country_code")), "point_id", "left")

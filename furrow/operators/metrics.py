@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.operators.ranges import running_sums
+from furrow.session import stored
+
 
 def confusion_matrix(df: DataFrame, truth: str = "y_true", pred: str = "y_pred") -> DataFrame:
     """(truth, prediction, n)."""
@@ -45,10 +48,9 @@ def overlap_metrics(df: DataFrame, pairs: list[tuple[str, str]], alpha: float =
 
 
 def score_steps(df: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
-    """Positives and negatives of each distinct score and how many stand at or above it: rows are summed by score before they are ordered."""
-    steps = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum(1 - F.col(positive).cast("long")).alias("q"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score))
-    return steps.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("q").over(down))
+    """Positives and negatives of each distinct score and how many stand at or above it: rows are summed by score, then by ranges of scores."""
+    steps = stored(df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum(1 - F.col(positive).cast("long")).alias("q")))
+    return running_sums(steps, by, score, ["p", "q"], descending=True).withColumnsRenamed({"run_p": "tp", "run_q": "fp"})
 
 
 def roc_auc(df: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
@@ -71,24 +73,38 @@ def regression_metrics(df: DataFrame, truth: str, pred: str, by: list[str]) -> D
 
 
 def encode_scale(df: DataFrame, label: str, numbers: list[str], train) -> DataFrame:
-    """``df`` with label_code (alphabetical, from 0) and numbers standardised by mean and population deviation of the training rows."""
+    """``df`` with label_code (alphabetical, from 0; null for a null label) and numbers standardised by mean and population deviation of the training rows."""
     names = df.select(label).filter(F.col(label).isNotNull()).distinct()
     codes = names.withColumn("label_code", F.row_number().over(Window.orderBy(label)) - 1)  # one row for each class
     stats = df.filter(train).agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"s_{c}") for c in numbers])
-    out = df.join(F.broadcast(codes), label, "left").crossJoin(F.broadcast(stats))  # against one row
+    # The codes are written first, so that Spark sends them to the rows only where they are small.
+    out = df.join(stored(codes), label, "left").crossJoin(F.broadcast(stats))  # against one row
     return out.select(*[c for c in df.columns if c not in numbers], "label_code", *[((F.col(c) - F.col(f"s_{c}.m")) / F.when(F.col(f"s_{c}.s") == 0, 1.0).otherwise(F.col(f"s_{c}.s"))).alias(c) for c in numbers])
 
 
 def information_gain(df: DataFrame, feature: str, label: str) -> DataFrame:
-    """(threshold, gain): the gain in natural-log entropy of every split value <= threshold, from cumulative class counts of distinct values."""
-    counts = df.filter(F.col(feature).isNotNull() & F.col(label).isNotNull()).groupBy(feature, label).agg(F.count("*").alias("n"))
-    classes = counts.groupBy(label).agg(F.sum("n").alias("all_n"))
-    values = counts.select(feature).distinct()
-    full = values.join(F.broadcast(classes)).join(counts, [feature, label], "left")  # every value with every class
-    up = Window.partitionBy(label).orderBy(feature)
-    cum = full.withColumn("left_n", F.sum(F.coalesce("n", F.lit(0))).over(up)).withColumn("right_n", F.col("all_n") - F.col("left_n"))
-    xlogx = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c))).otherwise(0.0)
-    side = lambda c, s: F.when(F.col(s) > 0, F.col(s) * F.log(F.col(s)) - F.col(c)).otherwise(0.0)
-    sums = cum.groupBy(feature).agg(*[F.sum(xlogx(c)).alias(f"x_{c}") for c in ("left_n", "right_n", "all_n")], *[F.sum(c).alias(f"s_{c}") for c in ("left_n", "right_n", "all_n")])
-    gain = (side("x_all_n", "s_all_n") - side("x_left_n", "s_left_n") - side("x_right_n", "s_right_n")) / F.col("s_all_n")
-    return sums.filter("s_right_n > 0").select(F.col(feature).alias("threshold"), gain.alias("gain"))
+    """(threshold, gain): the gain in natural-log entropy of every split value <= threshold, from running class counts of distinct values.
+
+    The classes (a row for each on the driver, as a tree's target has) become columns of counts, so a row stands for each distinct value. Rows with a null value or class are
+    passed over; the largest value splits nothing and has no row.
+    """
+    rows = df.filter(F.col(feature).isNotNull() & F.col(label).isNotNull())
+    classes = [(r[0], r[1]) for r in rows.groupBy(label).count().orderBy(label).collect()]
+    names = [f"n{k}" for k in range(len(classes))]
+    if not classes:
+        return df.select(F.col(feature).alias("threshold"), F.lit(0.0).alias("gain")).limit(0)
+    wide = stored(rows.groupBy(F.col(feature).alias("threshold")).agg(*[F.count_if(F.col(label) == F.lit(c)).alias(n) for n, (c, _) in zip(names, classes)]))
+    cum = running_sums(wide, [], "threshold", names)
+    xlogx = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
+    total = sum(n for _, n in classes)
+
+    def side(parts: list):
+        """The size of a side times its entropy."""
+        size = sum(parts[1:], parts[0])
+        own = [xlogx(x) for x in parts]
+        return xlogx(size) - sum(own[1:], own[0])
+
+    left = [F.col(f"run_{n}") for n in names]
+    right = [F.lit(all_n) - x for x, (_, all_n) in zip(left, classes)]
+    gain = (side([F.lit(n).cast("double") for _, n in classes]) - side(left) - side(right)) / total
+    return cum.filter(sum(right[1:], right[0]) > 0).select("threshold", gain.alias("gain"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.operators.ranges import running_sums
+from furrow.session import stored
+
 # Crop codes by group.
 ANNUAL_CA = "WHEA MAIZ BARL REST TOBA COTT VEGE GROU SESA RAPE SUNF SOYB OPUL LENT PIGE COWP CHIC BEAN OCER SORG SMIL PMIL".split()
 TUBER_RICE = "RICE SUGB ORTS CASS YAMS SWPO POTA".split()
@@ -75,12 +78,26 @@ def logit_sensitivity(scored: DataFrame) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """(by, rho): rank correlation over complete rows, ties with their mean rank, inside each group."""
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    for c in (x, y):
-        ties = Window.partitionBy(*by, c)
-        rows = rows.withColumn(f"rank_{c}", F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(ties) - 1) / 2)
-    return rows.groupBy(*by).agg(F.corr(f"rank_{x}", f"rank_{y}").alias("rho"))
+    """(by, rho): rank correlation over complete rows, ties with their mean rank, inside each group; null where x or y is constant.
+
+    Rows are counted by (group, x, y) and ranks are running counts over the distinct values, so neither a large group nor a common value meets in one task.
+    """
+    pairs = stored(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("s_x"), F.col(y).alias("s_y")).agg(F.count("*").alias("s_n")))
+    ranked = pairs
+    for c in ("s_x", "s_y"):
+        steps = running_sums(pairs.groupBy(*by, c).agg(F.sum("s_n").alias("s_ties")), by, c, ["s_ties"])
+        steps = stored(steps.select(*[F.col(b).alias(f"s_by_{b}") for b in by], F.col(c).alias(f"{c}_key"), (F.col("run_s_ties") - (F.col("s_ties") - 1) / 2).alias(f"{c}_rank")))
+        on = F.col(c) == F.col(f"{c}_key")
+        for b in by:
+            on = on & F.col(b).eqNullSafe(F.col(f"s_by_{b}"))
+        ranked = ranked.join(steps, on).drop(f"{c}_key", *[f"s_by_{b}" for b in by])
+    # The mean rank is (n + 1) / 2 on both sides.
+    sizes = stored(pairs.groupBy(*[F.col(b).alias(f"s_by_{b}") for b in by]).agg(((F.sum("s_n") + 1) / 2).alias("s_mean")))
+    on = F.lit(True)
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"s_by_{b}"))
+    dx, dy, n = F.col("s_x_rank") - F.col("s_mean"), F.col("s_y_rank") - F.col("s_mean"), F.col("s_n")
+    return ranked.join(sizes, on).groupBy(*by).agg(F.try_divide(F.sum(n * dx * dy), F.sqrt(F.sum(n * dx * dx)) * F.sqrt(F.sum(n * dy * dy))).alias("rho"))
 
 
 def spearman_global(df: DataFrame, x: str, y: str) -> float:

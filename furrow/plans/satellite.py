@@ -45,10 +45,10 @@ def g3_georeference_default(spark, sf):
     return cells(spark, sf).select("cell_id", G.georeference_default(F.col("high").isNotNull(), F.col("aridity"), F.col("col_no") + 1).alias("res"))
 
 
-@plan(oracle("SELECT t.row_no, t.col_no, s.depth FROM (SELECT row_no, col_no FROM cells WHERE row_no < 10 AND col_no < 20) AS t LEFT JOIN cells s ON s.row_no = CAST(floor((t.row_no + 0.5) * 2.5) AS BIGINT) AND s.col_no = CAST(floor((t.col_no + 0.5) * 2.5) AS BIGINT)", "cells"))
+@plan(oracle("SELECT t.row_no, t.col_no, s.depth FROM (SELECT row_no, col_no FROM cells) AS t LEFT JOIN cells s ON s.row_no = CAST(floor((t.row_no + 0.5) * 2.5) AS BIGINT) AND s.col_no = CAST(floor((t.col_no + 0.5) * 2.5) AS BIGINT)", "cells"))
 def g4_resample_nearest(spark, sf):
     c = cells(spark, sf)
-    return G.resample_nearest(c, c.filter("row_no < 10 AND col_no < 20").select("row_no", "col_no"), 2.5, "depth").select("row_no", "col_no", "depth")
+    return G.resample_nearest(c, c.select("row_no", "col_no"), 2.5, "depth").select("row_no", "col_no", "depth")
 
 
 @plan(oracle("SELECT CAST(floor(row_no / 4.0) AS BIGINT) AS c_row, CAST(floor(col_no / 4.0) AS BIGINT) AS c_col, avg(CASE WHEN depth > 20 THEN 1.0 ELSE 0.0 END) AS mean FROM cells GROUP BY 1, 2", "cells", doubles="mean"))
@@ -63,11 +63,11 @@ def g6_resample_mode(spark, sf):
 
 @plan(oracle("""SELECT t.row_no, t.col_no, sum(w * s.depth) / sum(w) AS depth FROM (SELECT row_no, col_no, CAST(floor(y) AS BIGINT) + dy AS sr, CAST(floor(x) AS BIGINT) + dx AS sc,
   (CASE WHEN dy = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN dx = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w
-  FROM (SELECT row_no, col_no, (row_no + 0.5) * 1.5 - 0.5 AS y, (col_no + 0.5) * 1.5 - 0.5 AS x FROM cells WHERE row_no < 20 AND col_no < 42) AS p, (VALUES (0), (1)) AS a(dy), (VALUES (0), (1)) AS b(dx)) AS t
+  FROM (SELECT row_no, col_no, (row_no + 0.5) * 1.5 - 0.5 AS y, (col_no + 0.5) * 1.5 - 0.5 AS x FROM cells) AS p, (VALUES (0), (1)) AS a(dy), (VALUES (0), (1)) AS b(dx)) AS t
   JOIN cells s ON s.row_no = sr AND s.col_no = sc WHERE w > 0 GROUP BY 1, 2""", "cells", doubles="depth"))
 def g7_resample_bilinear(spark, sf):
     c = cells(spark, sf)
-    return G.resample_bilinear(c, c.filter("row_no < 20 AND col_no < 42").select("row_no", "col_no"), 1.5, "depth")
+    return G.resample_bilinear(c, c.select("row_no", "col_no"), 1.5, "depth")
 
 
 @plan(oracle("SELECT f.row_no, f.col_no, c.depth FROM (SELECT row_no, col_no FROM cells) AS f LEFT JOIN cells c ON c.row_no = CAST(floor(f.row_no / 3.0) AS BIGINT) AND c.col_no = CAST(floor(f.col_no / 3.0) AS BIGINT)", "cells"))
@@ -124,10 +124,10 @@ def g16_fill_focal(spark, sf):
 
 
 @plan(oracle("""SELECT row_no, col_no, v FROM (SELECT a.row_no, a.col_no, b.depth AS v, row_number() OVER (PARTITION BY a.row_no, a.col_no ORDER BY (b.row_no - a.row_no) * (b.row_no - a.row_no) + (b.col_no - a.col_no) * (b.col_no - a.col_no), b.row_no, b.col_no) AS k
-  FROM (SELECT row_no, col_no FROM cells WHERE cell_id % 5 = 0) AS a, (SELECT row_no, col_no, depth FROM cells WHERE depth > 45) AS b) AS z WHERE k = 1""", "cells"))
+  FROM (SELECT row_no, col_no FROM cells) AS a, (SELECT row_no, col_no, depth FROM cells WHERE depth > 45) AS b) AS z WHERE k = 1""", "cells"))
 def g17_fill_nearest(spark, sf):
     c = cells(spark, sf)
-    return G.fill_nearest(c.filter("depth > 45").select("row_no", "col_no", F.col("depth").alias("v")), c.filter("cell_id % 5 = 0"), "v", bucket=8)
+    return G.fill_nearest(c.filter("depth > 45").select("row_no", "col_no", F.col("depth").alias("v")), c, "v", bucket=8)
 
 
 @plan(oracle("SELECT cell_id, CASE WHEN depth > 10 THEN coalesce(CASE WHEN field > 2 THEN field END, 20) END AS field FROM cells", "cells"))
@@ -522,5 +522,5 @@ def k12_tile_grid(spark, sf):
 @plan()
 def k13_two_pass_kmeans(spark, sf):
     rows = obs(spark, sf).select("tile_id", "event_id", R.to_mjd(F.col("ts")).alias("mjd"))
-    out = K.two_pass_kmeans(rows, "mjd", least1=50, rounds=5)
+    out = K.two_pass_kmeans(rows, "mjd", least1=50)
     return out.groupBy("tile_id", "cluster").agg(F.count("*").alias("n"), F.min("mjd").alias("first_mjd"), F.max("mjd").alias("last_mjd"))
