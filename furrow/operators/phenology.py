@@ -126,24 +126,32 @@ def tile_grid(spark, size: int = 5, south: int = -55, north: int = 70) -> DataFr
     return t.select((F.col("id") % nx * size - 180).alias("xmin"), (F.floor(F.col("id") / nx) * size + south).alias("ymin"))
 
 
-def kmeans_1d(df: DataFrame, value: str, k: int, by: str, rounds: int = 8) -> DataFrame:
-    """``df`` with cluster: Lloyd's rounds on one value for all groups at once, from quantiles as first centres.
+def kmeans_1d(df: DataFrame, value: str, k: int, by: str, rounds: int | None = None) -> DataFrame:
+    """``df`` with cluster: Lloyd's rounds on one value for all groups at once, from quantiles as first centres, until no centre moves (or for ``rounds``).
 
-    Centres are an array of ``k`` numbers for each group, joined to the rows; a round is one group-by of partial sums.
+    Rounds work on the distinct values of a group and their counts. Centres are an array of ``k`` numbers for each group; a round is one group-by of
+    partial sums, and only groups whose centres have moved go on. Rows without a value are left out; of equally near centres the first counts.
     """
     points = df.filter(F.col(value).isNotNull())
+    weighed = stored(points.groupBy(by, F.col(value).alias("k_value")).agg(F.count("*").alias("k_n")), "values")
     quantiles = ", ".join(str((j + 0.5) / k) for j in range(k))
-    centres = stored(points.groupBy(by).agg(F.expr(f"percentile(`{value}`, array({quantiles}))").alias("centres")), "centres")
-    nearest = F.array_min(F.transform("centres", lambda c, j: F.struct(F.abs(F.col(value) - c).alias("d"), j.alias("j"))))["j"]
-    for _ in range(rounds):
-        sums = points.join(centres, by).groupBy(by, nearest.alias("j")).agg(F.avg(value).alias("c"))
-        moved = sums.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("j", "c"))).alias("m"))
+    centres = stored(weighed.groupBy(by).agg(F.expr(f"percentile(k_value, array({quantiles}), k_n)").alias("k_centres"), F.lit(True).alias("k_open")), "centres")
+    nearest = lambda v: F.array_min(F.transform("k_centres", lambda c, j: F.struct(F.abs(v - c).alias("d"), j.alias("j"))))["j"]
+    done = 0
+    while (rounds is None or done < rounds) and not centres.filter("k_open").isEmpty():
+        mean = F.sum(F.col("k_value") * F.col("k_n")) / F.sum("k_n")
+        sums = weighed.join(centres.filter("k_open"), by).groupBy(by, nearest(F.col("k_value")).alias("j")).agg(mean.alias("c"))
+        moved = sums.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("j", "c"))).alias("m"))  # k entries for each group
+        new = F.when(F.col("m").isNotNull(), F.transform("k_centres", lambda c, j: F.coalesce(F.col("m")[j], c))).otherwise(F.col("k_centres"))
+        # Sums in another order differ in their last digits, which is no move.
+        moves = F.exists(F.zip_with(new, "k_centres", lambda a, b: F.abs(a - b) > 1e-9 * F.greatest(F.abs(b), F.lit(1.0))), lambda x: x)
         # A row for each group: written each round, so that plans don't grow with the rounds.
-        centres = stored(centres.join(moved, by).select(by, F.transform("centres", lambda c, j: F.coalesce(F.col("m")[j], c)).alias("centres")), "centres")
-    return points.join(centres, by).withColumn("cluster", nearest.cast("long")).drop("centres")
+        centres = stored(centres.join(moved, by, "left").select(by, new.alias("k_centres"), moves.alias("k_open")), "centres")
+        done += 1
+    return points.join(centres, by).withColumn("cluster", nearest(F.col(value)).cast("long")).drop("k_centres", "k_open")
 
 
-def two_pass_kmeans(df: DataFrame, value: str, tile: str = "tile_id", k1: int = 12, k2: int = 4, drop: float = 0.03, least1: int = 100, least2: int = 10, rounds: int = 8) -> DataFrame:
+def two_pass_kmeans(df: DataFrame, value: str, tile: str = "tile_id", k1: int = 12, k2: int = 4, drop: float = 0.03, least1: int = 100, least2: int = 10, rounds: int | None = None) -> DataFrame:
     """Per tile k-means with ``k1`` clusters, without those of at most ``drop`` of the tile's rows, then again with ``k2``; tiles with too few rows or kept clusters go."""
     enough = df.filter(F.col(value).isNotNull()).groupBy(tile).agg(F.count("*").alias("rows_")).filter(F.col("rows_") >= least1)
     first = kmeans_1d(df.join(enough, tile), value, k1, tile, rounds).withColumnRenamed("cluster", "first_cluster")

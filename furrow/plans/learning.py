@@ -126,6 +126,18 @@ def m13_smote(spark, sf):
     return rows.select("label").unionByName(made.select("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
+NEAR = """SELECT label, id, o_key, d2 FROM (SELECT a.label, a.id, b.id AS o_key, (a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2) AS d2 FROM c a JOIN c b ON a.label = b.label AND a.id <> b.id) AS z
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, o_key) <= 5"""
+
+
+@plan(f"WITH c AS (SELECT c_custkey AS id, c_nationkey AS label, c_acctbal / 1000 AS f1, CAST(c_custkey % 10 AS DOUBLE) AS f2 FROM customer) SELECT * REPLACE (round(d2, 6) AS d2) FROM ({NEAR}) AS n")
+def m13_nearest_of_class(spark, sf):
+    """The neighbours that M13 interpolates with."""
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("label"), F.array((F.col("c_acctbal") / 1000), (F.col("c_custkey") % 10).cast("double")).alias("features"))
+    near = M.nearest_of_class(rows, k=5, cell=1.0).select("id", F.explode("near_").alias("o")).select("id", "o.o_key", "o.d2")
+    return near.join(rows.select("id", "label"), "id").select("label", "id", "o_key", "d2")
+
+
 @plan(oracle("SELECT y_true, y_pred, count(*) AS n FROM predictions GROUP BY 1, 2", "predictions"))
 def m14_confusion_matrix(spark, sf):
     return E.confusion_matrix(view(spark, sf, "predictions"))
@@ -176,7 +188,7 @@ FEATURES = ["f1", "depth", "aridity", "price"]
 @plan()
 def m19_fit_forest(spark, sf):
     rows = samples(spark, sf)
-    model = L.fit_forest(rows, FEATURES, "target", trees=20, depth=5)
+    model = L.fit_forest(rows, FEATURES, "target")
     scored = model.transform(rows).select("target", F.col("prediction").alias("y_pred"))
     return E.classification_report(scored, "target", "y_pred")
 
@@ -184,14 +196,15 @@ def m19_fit_forest(spark, sf):
 @plan()
 def m19_fit_forest_regressor(spark, sf):
     rows = samples(spark, sf)
-    scored = L.fit_forest(rows, ["depth", "aridity", "f1", "target"], "price", classify=False, trees=10, depth=4).transform(rows)
+    scored = L.fit_forest(rows, ["depth", "aridity", "f1", "target"], "price", classify=False).transform(rows)
     return E.regression_metrics(scored, "price", "prediction", ["target"])
 
 
 @plan()
 def m20_fit_boosted(spark, sf):
     rows = stored(samples(spark, sf), "samples")
-    model = L.fit_boosted(rows, FEATURES, "target", draws=1, folds=2)
+    # The search space is the operator's but for fewer and smaller trees; three draws in three folds are eighteen forests of up to twenty trees.
+    model = L.fit_boosted(rows, FEATURES, "target", draws=3, folds=3, choices=L.BOOSTED | {"maxIter": [5, 10, 20], "maxDepth": [3, 4, 6]})
     return rows.agg(F.count("*").alias("n")).select("n", F.lit(float(max(model.avgMetrics))).alias("best_f1"))
 
 
