@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.operators import grid, metrics, phenology, scenes, training
+from furrow.operators import grid, metrics, models, phenology, quota, ranges, scenes, suitability, training
 from furrow.operators.tillage import dominant_class
+from furrow.session import fresh_path
 from furrow.sources import tables
 
 
@@ -17,7 +18,7 @@ def test_null_and_nan_rules(spark):
     with pytest.raises(Exception, match="outside the globe"):
         df.select(scenes.aoi_box(F.lit(500.0), F.lit(0.0), 10, 10)[0].alias("w")).collect()
     with pytest.raises(ValueError, match="missing"):
-        path = "/tmp/furrow-test-stats"
+        path = fresh_path(spark, "stats")
         tables.write_totals(df, path)
         tables.read_stats_csv(spark, path, df.schema, ["nothing"])
 
@@ -145,3 +146,126 @@ def test_auc_against_pairs(spark):
     want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)
     df = spark.createDataFrame([(1, *r) for r in rows], "g int, s double, y int")
     assert metrics.roc_auc(df, "s", "y", ["g"]).first().auc == pytest.approx(want)
+
+
+def test_first_source_with_a_value_wins(spark):
+    one, two = spark.createDataFrame([(1, None, 2.0), (2, 5.0, None)], "cell_id long, v double, w double"), spark.createDataFrame([(1, 7.0, 8.0), (3, None, 1.0)], "cell_id long, v double, w double")
+    got = {r.cell_id: (r.v, r.w) for r in tables.read_cells([one, two], F.lit(True)).collect()}
+    assert got == {1: (7.0, 2.0), 2: (5.0, None), 3: (None, 1.0)}
+
+
+def plain_nearest(rows, targets, tie):
+    """Cells by falling score and rising id, one after the other."""
+    wins = {}
+    for g, target in targets.items():
+        own = sorted([r for r in rows if r[1] == g and r[2] is not None and r[3] is not None], key=lambda r: (-r[2], r[0]))
+        if sum(r[3] for r in own) <= target:
+            wins |= {r[0]: r[3] > 0 for r in own}
+            continue
+        cum = 0.0
+        for r in own:
+            short, long = abs(cum - target), abs(cum + r[3] - target)
+            if cum + r[3] <= target:
+                wins[r[0]] = True
+                cum += r[3]
+            else:
+                wins[r[0]] = short > long if tie == "skip" else short >= long
+                break
+    return wins
+
+
+@pytest.mark.parametrize("tie", ["take", "skip"])
+@pytest.mark.parametrize("buckets", [1000, 3])
+def test_nearest_quota_against_a_plain_walk(spark, tie, buckets):
+    """Tied and crowded scores, one score for all, zero areas, rows without score, area, group or target, and columns with the names of helpers."""
+    rng = np.random.default_rng(4)
+    rows = [(k, int(k % 5), float(rng.integers(0, 6)), float(rng.integers(0, 5))) for k in range(200)] + [(200 + k, 7, 1.0, 2.0) for k in range(30)]
+    rows += [(300, 1, None, 2.0), (301, 1, 3.0, None), (302, None, 3.0, 1.0), (303, 9, 2.0, 2.0)]
+    targets = {0: 41.0, 1: 0.0, 2: 1e9, 3: 20.5, 7: 31.0}
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "cell_id long, country_code long, score double, area double, total long, cutoff long, target long")
+    got = quota.quota_allocate_nearest(df, spark.createDataFrame(list(targets.items()), "country_code long, target double"), tie=tie, buckets=buckets)
+    want = plain_nearest(rows, targets, tie)
+    assert got.columns == [*df.columns, "wins"] and {r.cell_id: r.wins for r in got.collect()} == {r[0]: want.get(r[0], False) for r in rows}
+    won = quota.quota_allocate(df, quota.quota_cutoff(df.select("country_code", "score", "area"), spark.createDataFrame(list(targets.items()), "country_code long, target double"), buckets=buckets))
+    assert won.columns == [*df.columns, "allocated"] and won.count() == len(rows)
+    none = quota.quota_allocate_nearest(df.limit(0), spark.createDataFrame([], "country_code long, target double"))
+    assert none.count() == 0
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums_by_ranges(spark, descending):
+    rng = np.random.default_rng(6)
+    rows = [(g, float(v), int(n)) for g in (1, 2, None) for v, n in zip(rng.choice(2000, 300, replace=False), rng.integers(0, 9, 300))]
+    df = spark.createDataFrame(rows, "g long, v double, n long")
+    got = {(r.g, r.v): r.run_n for r in ranges.running_sums(df, ["g"], "v", ["n"], descending, ranges=7).collect()}
+    assert got == {(g, v): sum(m for h, w, m in rows if h == g and (w >= v if descending else w <= v)) for g, v, _ in rows}
+    assert ranges.running_sums(df.limit(0), [], "v", ["n"]).count() == 0
+    assert {r.run_n for r in ranges.running_sums(spark.createDataFrame([(5.0, 2), (None, 3)], "v double, n long"), [], "v", ["n"]).collect()} == {2}
+
+
+def test_rank_correlation_and_gain_of_odd_rows(spark):
+    rows = [(1, float(x), float(y)) for x, y in zip([1, 2, 2, 4, 5, 5, 5], [3, 1, 1, 2, 9, 8, 8])] + [(2, 1.0, 1.0), (2, 1.0, 2.0), (None, 1.0, 2.0), (None, 2.0, 1.0), (1, None, 3.0), (3, None, None)]
+    df = spark.createDataFrame(rows, "g long, x double, y double")
+    got = {r.g: r.rho for r in suitability.spearman(df, "x", "y", ["g"]).collect()}
+    import pandas as pd
+
+    one = pd.DataFrame([r[1:] for r in rows if r[0] == 1 and r[1] is not None]).corr("spearman").iloc[0, 1]
+    assert got[1] == pytest.approx(one) and got[2] is None and got[None] == pytest.approx(-1) and 3 not in got
+    gains = metrics.information_gain(spark.createDataFrame([(1.0, "a"), (1.0, "b"), (2.0, "a"), (None, "a"), (3.0, None)], "v double, y string"), "v", "y")
+    h = lambda *p: -sum(x * np.log(x) for x in p)
+    assert [(r.threshold, pytest.approx(r.gain)) for r in gains.collect()] == [(1.0, h(2 / 3, 1 / 3) - 2 / 3 * h(0.5, 0.5))]
+    assert metrics.information_gain(df.limit(0), "x", "g").count() == 0
+
+
+def test_points_in_crowded_bands(spark):
+    square = [(1, 7, 0.0, 0.0, 10.0, 0.0), (1, 7, 10.0, 0.0, 10.0, 10.0), (1, 7, 10.0, 10.0, 0.0, 10.0), (1, 7, 0.0, 10.0, 0.0, 0.0)]
+    edges = spark.createDataFrame(square, "polygon_id long, country_code long, x1 double, y1 double, x2 double, y2 double")
+    points = [(k, float(k % 23) - 5, float(k % 19) - 4) for k in range(300)] + [(300, None, 1.0), (301, 1.0, None)]
+    df = spark.createDataFrame(points, "point_id long, x double, y double")
+    got = {r.point_id: r.country_code for r in grid.points_within(df, edges, 4.0, crowd=10).collect()}
+    assert all(got[k] == (7 if x is not None and y is not None and 0 < x < 10 and 0 < y < 10 else got[k]) for k, x, y in points) and got[300] is got[301] is None
+    assert all(got[k] is None for k, x, y in points if x is not None and y is not None and not (0 <= x <= 10 and 0 <= y <= 10))
+
+
+def test_kmeans_ends_where_nothing_moves(spark):
+    rng = np.random.default_rng(8)
+    rows = [(t, float(v)) for t in (1, 2) for v in np.concatenate([rng.normal(c, 3 + t, 60) for c in (0, 10, 40, 90)])] + [(3, 5.0)] * 4 + [(1, None)]
+    df = spark.createDataFrame(rows, "tile_id long, v double")
+    got = phenology.kmeans_1d(df, "v", 4, "tile_id").toPandas()
+    assert len(got) == len(rows) - 1
+    for _, tile in got.groupby("tile_id"):
+        centres = tile.groupby("cluster")["v"].mean()
+        nearest = tile["v"].apply(lambda v, c=centres: (c - v).abs().idxmin())
+        assert (nearest == tile["cluster"]).all()
+
+
+def labelled(spark):
+    rng = np.random.default_rng(9)
+    rows = [(float(a), float(b), float(a > 0.5), float(3 * a + b)) for a, b in rng.random((300, 2))]
+    return spark.createDataFrame(rows, "a double, b double, y double, z double"), rows
+
+
+def test_forest_and_tree_learn_a_threshold(spark):
+    df, rows = labelled(spark)
+    for model in (models.fit_forest(df, ["a", "b"], "y", trees=20, depth=4), models.fit_tree(df, ["a", "b"], "y")):
+        got = model.transform(df).select("y", "prediction").collect()
+        assert np.mean([r.y == r.prediction for r in got]) > 0.98
+        first = models.feature_importance(model, ["a", "b"], df).first()
+        assert first.feature == "a" and first.importance > 0.8
+    root = models.fit_tree(df, ["a", "b"], "y", depth=1).stages[-1]
+    a = sorted(r[0] for r in rows)
+    # The split lies between the neighbours of the true threshold, give or take a bin.
+    cut = float(root.toDebugString.split("<= ")[1].split(")")[0])
+    assert abs(cut - 0.5) < 0.05 and a[0] < cut < a[-1]
+    wood = models.fit_forest(df, ["a", "b"], "z", classify=False, trees=30, depth=6)
+    err = [r.z - r.prediction for r in wood.transform(df).select("z", "prediction").collect()]
+    assert np.mean(np.square(err)) < 0.1 * np.var([r[3] for r in rows])
+
+
+def test_boosted_search_keeps_the_best_draw(spark):
+    df, _ = labelled(spark)
+    choices = models.BOOSTED | {"maxIter": [1, 3], "maxDepth": [1, 2], "minWeightFractionPerNode": [0.0, 0.49]}
+    found = models.fit_boosted(df, ["a", "b"], "y", draws=3, folds=2, choices=choices)
+    assert len(choices) == 8 and 1 < len(found.avgMetrics) <= 3 and max(found.avgMetrics) > 0.9
+    got = found.transform(models.VectorAssembler(inputCols=["a", "b"], outputCol="feature_vector").transform(df)).select("y", "prediction").collect()
+    assert np.mean([r.y == r.prediction for r in got]) > 0.9

@@ -42,7 +42,7 @@ def test_queries_agree_with_sql(spark, small):
     con = duckdb.connect()
     for f in glob.glob(f"{small}/*.parquet"):
         con.execute(f"CREATE VIEW {f.rsplit('/', 1)[1][:-8]} AS SELECT * FROM '{f}'")
-    chosen = ["s1_read_cells", "s10_field_size_submissions", "t6_spearman", "t11_quota_cutoff", "t13_quota_allocate_nearest", "t26_tillage_classes", "a2_country_totals", "d8_histogram_auto", "g7_resample_bilinear", "g13_focal_box", "g17_fill_nearest", "g20_allocate_country", "g25_points_within", "r24_barest_date", "k9_tillage_window", "m6_patch_composite", "m12_split", "m22_information_gain"]
+    chosen = ["s1_read_cells", "s10_field_size_submissions", "t6_spearman", "t11_quota_cutoff", "t12_quota_allocate", "t13_quota_allocate_nearest", "t26_tillage_classes", "a2_country_totals", "d8_histogram_auto", "g7_resample_bilinear", "g13_focal_box", "g17_fill_nearest", "g20_allocate_country", "g25_points_within", "r24_barest_date", "k9_tillage_window", "m6_patch_composite", "m12_split", "m13_nearest_of_class", "m16_roc_auc", "g4_resample_nearest", "g14_focal_circle", "m22_information_gain"]
     for name in chosen:
         df = catalog.QUERIES[name](spark, small)
         res = con.execute(catalog.ORACLE_SQL[name])
