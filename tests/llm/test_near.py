@@ -106,6 +106,7 @@ def test_index_finds_every_pair():
 
 
 def brute_vectors(rows, threshold=0.93):
+    """Components of rows, not of ids: rows that share an id have links of their own."""
     usable = [v is not None and la is not None and i is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for i, v, la in rows]
     links, n = [], [0] * len(rows)
     for a in range(len(rows)):
@@ -114,9 +115,13 @@ def brute_vectors(rows, threshold=0.93):
                 x, y = np.array(rows[a][1], np.float64), np.array(rows[b][1], np.float64)
                 if x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= threshold:
                     n[a] += 1
-                    links.append((rows[a][0], rows[b][0]))
-    root = brute_components({r[0] for r in rows if r[0] is not None}, links)
-    return sorted(((i, k, root.get(i), i == root.get(i)) for (i, _, _), k in zip(rows, n)), key=repr)
+                    links.append((a, b))
+    root = brute_components(range(len(rows)), links)
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        if i is not None:
+            least[root[k]] = min(least.get(root[k], i), i)
+    return sorted(((i, n[k], least.get(root[k]), i == least.get(root[k])) for k, (i, _, _) in enumerate(rows)), key=repr)
 
 
 @pytest.mark.parametrize("tile", [2048, 7])
@@ -133,6 +138,20 @@ def test_vectors(spark, tile):
     assert embeddings.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.0, 0.0], 0), (3, [1.0, 0.01, 0.0], 0), (4, [0.0, 0.0, 1.0], 0), (0, [0.0, 0.99, 0.01], 0), (None, [1.0, 0.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((tuple(r) for r in embeddings.near_duplicate_vectors(df).collect()), key=repr)
+    assert got == brute_vectors(rows) and (1, 1, 0, False) in got and (1, 2, 1, True) in got
+
+
+def test_products_of_long_vectors_are_exact():
+    x = np.full((2, 4096), 1 / 64.0)
+    q, _, _, _ = embeddings.quantise(x)
+    assert (q == 127).all() and 127 * 127 * embeddings.EXACT < 1 << 24
+    assert [(a.tolist(), b.tolist()) for a, b in embeddings.near_pairs(x, x, 1 - 1e-12)] == [([0, 0, 1, 1], [0, 1, 0, 1])]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 64)) * rng.lognormal(size=(60, 1))
