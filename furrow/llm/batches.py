@@ -5,31 +5,64 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters of text handled at a time inside a task; bounds the Python worker's memory.
 CHUNK_CHARS = 3_000_000
 
 
-def slices(pdf: pd.DataFrame, text: str, most: int = CHUNK_CHARS) -> Iterator[pd.DataFrame]:
-    """Cut a batch into runs of rows of about ``most`` characters; a single longer text stays whole."""
-    if not len(pdf):
+def cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows whose ``sizes`` add up to about ``most``; a single larger row stays whole."""
+    if not len(sizes):
         return
-    sizes = np.fromiter((len(t) if isinstance(t, (str, bytes)) else 0 for t in pdf[text]), np.int64, len(pdf))
     part = np.cumsum(sizes) // most
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(pdf)]
-    for a, b in zip(cuts, cuts[1:]):
-        yield pdf.iloc[a:b]
+    at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    yield from zip(at, at[1:])
 
 
-def map_slices(df: DataFrame, text: str, schema: str, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], most: int = CHUNK_CHARS) -> DataFrame:
-    """``mapInPandas`` with bounded slices; ``make`` builds the function once in each task."""
+def text_slices(texts: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list]]:
+    """(first, end, texts) of runs of about ``most`` bytes: only one run's texts are Python strings at a time."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for a, b in cuts(sizes, most):
+        yield a, b, texts.slice(a, b - a).to_pylist()
 
-    def run(batches):
+
+def map_texts(df: DataFrame, text: str, new: str, make: Callable[[], Callable[[list], list]], most: int = CHUNK_CHARS, keep: bool = False) -> DataFrame:
+    """The columns of ``df`` but ``text`` (with ``keep`` that one too), unchanged, and those of the schema text ``new``.
+
+    ``make`` builds, once in each task, the function of a list of texts (None for null) that returns the new columns as a list of arrays or lists. The other
+    columns stay in Arrow, so long ids beside nulls keep every digit.
+    """
+    fields = T.StructType.fromDDL(new).fields
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    old = [f for f in df.schema if keep or f.name != text]
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            kept = batch.select([k for k in range(batch.num_columns) if keep or k != at])
+            for a, b, texts in text_slices(batch.column(at), most):
+                made = [x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(f(texts), kinds)]
+                yield pa.RecordBatch.from_arrays([*kept.slice(a, b - a).columns, *made], [n.name for n in (*old, *fields)])
+
+    return df.mapInArrow(run, T.StructType([*old, *fields]))
+
+
+def decide(make: Callable[[], Callable[[list], np.ndarray]], most: int = CHUNK_CHARS):
+    """A column function text -> boolean for filters: whole texts go to Python in bounded slices, only the decisions come back.
+
+    ``make`` builds, once in each task, the function of a list of texts (None for null) that returns an array of booleans.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f = make()
-        for pdf in batches:
-            for part in slices(pdf, text, most):
-                yield f(part)
+        for texts in batches:
+            yield pa.array(np.concatenate([np.zeros(0, bool), *(np.asarray(f(part), bool) for _, _, part in text_slices(texts, most))]))
 
-    return df.mapInPandas(run, schema)
+    return F.arrow_udf(run, "boolean")

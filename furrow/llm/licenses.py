@@ -13,10 +13,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from furrow.llm.batches import map_slices
+from furrow.llm.batches import map_texts
 
 #: Phrase and label.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -191,10 +190,10 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templ
             firsts.setdefault(phrase[0], []).append((phrase, label))
         starts = None if automaton.first_words is None else automaton.first_words
 
-        def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        def scan(texts: list[str | None]) -> list:
             rows = []
-            for t in pdf[text]:
-                words = words_of(t if isinstance(t, str) else None)
+            for t in texts:
+                words = words_of(t)
                 have = set(words)
                 at, labels = [], set()
                 if not have.isdisjoint(firsts):
@@ -207,13 +206,11 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templ
                 both = labels | set(found)
                 rows.append((len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(both)), 1.0 if found else 0.5 if labels else 0.0,
                              [{"label": x, "first_word": a, "end_word": b} for x, (a, b) in sorted(found.items())]))
-            out = pd.DataFrame(rows, columns=[f.split(" ")[0] for f in SCHEMA.split(", ")], dtype=object)
-            out.insert(0, id, pdf[id].to_numpy())
-            return out
+            return [list(column) for column in zip(*rows)]
 
         return scan
 
-    return map_slices(docs.select(id, text), text, f"`{id}` {docs.schema[id].dataType.simpleString()}, {SCHEMA}", make)
+    return map_texts(docs.select(id, text), text, SCHEMA, make)
 
 
 def template_regex(template: str) -> str:

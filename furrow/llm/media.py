@@ -1,11 +1,12 @@
 """Media columns for ISO base media files: written as 8-bit frames, read by walking boxes and sample tables.
 
 ``pack_frames`` stores bytes as uncompressed 8-bit grey frames in an ISO media file. ``media_columns`` walks the
-nested boxes of any such file, decodes its sample tables and returns codec, duration and the byte ranges of
-keyframes; no payload is decoded. ``payload_of`` joins the sample ranges back to the stored bytes.
+nested boxes of any such file, decodes the sample tables of its tracks, and the runs of movie fragments, and returns codec, duration and the byte ranges and
+times of keyframes; no payload is decoded. ``payload_of`` joins the sample ranges back to the stored bytes.
 
 Defined results: a null text is empty and is stored as one frame of spaces; a null or malformed file gives null
-columns and a text in ``error``; repeated rows each keep their row; an empty table gives an empty result.
+columns and a text in ``error``; the columns describe the first video track, or the first track where there is none, and ``tracks`` all of them; repeated rows
+each keep their row; an empty table gives an empty result; columns of the input whose names the result needs are replaced.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from furrow.llm.batches import map_slices
+from furrow.llm.batches import map_texts
 
 #: Fixed values of the format: boxes that hold other boxes.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf"}
 WIDTH, HEIGHT, TIMESCALE, FRAME_TICKS, KEY_EVERY = 16, 12, 24_000, 1_000, 24
 
 
@@ -71,7 +72,7 @@ def pack_frames(payload: bytes, key_every: int = KEY_EVERY) -> bytes:
 
 
 def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()):
-    """(path, first byte of the body, end) of every box, depth first; sizes 0 (to the end) and 1 (64 bits) included."""
+    """(path, first byte, first byte of the body, end) of every box, depth first; sizes 0 (to the end) and 1 (64 bits) included."""
     end = len(data) if end is None else end
     while start + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -84,7 +85,7 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
             size = end - start
         if size < body - start or start + size > end:
             raise ValueError(f"box {kind!r} has a wrong size")
-        yield (*path, kind), body, start + size
+        yield (*path, kind), start, body, start + size
         if kind in CONTAINERS:
             yield from walk(data, body, start + size, (*path, kind))
         start += size
@@ -99,52 +100,124 @@ def _table(data: bytes, at: int, end: int, kind: str, columns: int) -> np.ndarra
     return np.frombuffer(data, item, n * columns, at + 4).reshape(n, columns).astype(np.int64)
 
 
+#: Fixed values of the format: flags of fragment headers and runs, and the bit of a sample's flags that says it is no sync sample.
+BASE_GIVEN, DESCRIPTION, DURATION, SIZE, FLAGS, BASE_IS_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+RUN_OFFSET, RUN_FIRST_FLAGS, RUN_FIELDS = 0x1, 0x4, (0x100, 0x200, 0x400, 0x800)
+NO_SYNC = 0x10000
+
+
 def tracks(data: bytes) -> list[dict]:
-    """For each track its codec, sizes and decoded sample tables (offset, size, ticks and sync flag of each sample)."""
+    """For each track its codec, sizes and decoded sample tables (offset, size, start in ticks and sync flag of each sample)."""
     out: list[dict] = []
-    for path, at, end in walk(data):
+    fragments: list[dict] = []
+    moof = after = 0
+    defaults: dict[int, tuple[int, int, int]] = {}
+    for path, start, at, end in walk(data):
         kind = path[-1]
         if kind == b"trak":
             out.append({})
-        if not out or b"trak" not in path:
-            continue
-        t = out[-1]
-        if kind == b"mdhd":
-            long = data[at] == 1
-            t["timescale"], t["ticks"] = struct.unpack_from(">IQ" if long else ">II", data, at + (20 if long else 12))
-        elif kind == b"hdlr":
-            t["handler"] = data[at + 8 : at + 12].decode("latin-1")
-        elif kind == b"stsd" and struct.unpack_from(">I", data, at + 4)[0]:
-            t["codec"] = data[at + 12 : at + 16].decode("latin-1")
-            if t.get("handler") == "vide":
-                t["width"], t["height"] = struct.unpack_from(">HH", data, at + 8 + 32)
-        elif kind == b"stts":
-            t["stts"] = _table(data, at + 4, end, ">u4", 2)
-        elif kind == b"stss":
-            t["stss"] = _table(data, at + 4, end, ">u4", 1)[:, 0]
-        elif kind == b"stsc":
-            t["stsc"] = _table(data, at + 4, end, ">u4", 3)
-        elif kind == b"stco":
-            t["chunks"] = _table(data, at + 4, end, ">u4", 1)[:, 0]
-        elif kind == b"co64":
-            t["chunks"] = _table(data, at + 4, end, ">u8", 1)[:, 0]
-        elif kind == b"stsz":
-            size, n = struct.unpack_from(">II", data, at + 4)
-            t["sizes"] = np.full(n, size, np.int64) if size else _table(data, at + 8, end, ">u4", 1)[:, 0]
-        elif kind == b"stz2":
-            bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
-            if bits == 4:
-                raw = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12)
-                t["sizes"] = np.stack([raw >> 4, raw & 15], axis=1).reshape(-1)[:n].astype(np.int64)
-            else:
-                t["sizes"] = np.frombuffer(data, f">u{bits // 8}", n, at + 12).astype(np.int64)
+        elif kind == b"trex":
+            track, _, *rest = struct.unpack_from(">5I", data, at + 4)
+            defaults[track] = tuple(rest)
+        elif kind == b"moof":
+            moof, after = start, start
+        elif kind == b"tfhd":
+            fragments.append(_fragment(data, at, moof, after, defaults))
+        elif kind == b"tfdt" and fragments:
+            fragments[-1]["time"] = struct.unpack_from(">Q" if data[at] == 1 else ">I", data, at + 4)[0]
+        elif kind == b"trun" and fragments:
+            after = _run(data, at, end, fragments[-1])
+        elif out and b"trak" in path:
+            _table_of(out[-1], kind, data, at, end)
     for t in out:
-        _place(t, len(data))
+        _place(t)
+        _append(t, [f for f in fragments if f["track"] == t.get("id")])
+        if len(t["sizes"]) and (t["offsets"] + t["sizes"]).max() > len(data):
+            raise ValueError("a sample lies behind the end")
     return out
 
 
-def _place(t: dict, length: int) -> None:
-    """Sample offsets from the chunk tables, and which samples are sync samples."""
+def _table_of(t: dict, kind: bytes, data: bytes, at: int, end: int) -> None:
+    """Read one box of a track."""
+    if kind == b"tkhd":
+        t["id"] = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
+    elif kind == b"mdhd":
+        long = data[at] == 1
+        t["timescale"], t["ticks"] = struct.unpack_from(">IQ" if long else ">II", data, at + (20 if long else 12))
+    elif kind == b"hdlr":
+        t["handler"] = data[at + 8 : at + 12].decode("latin-1")
+    elif kind == b"stsd" and struct.unpack_from(">I", data, at + 4)[0]:
+        t["codec"] = data[at + 12 : at + 16].decode("latin-1")
+        if t.get("handler") == "vide":
+            t["width"], t["height"] = struct.unpack_from(">HH", data, at + 8 + 32)
+    elif kind == b"stts":
+        t["stts"] = _table(data, at + 4, end, ">u4", 2)
+    elif kind == b"stss":
+        t["stss"] = _table(data, at + 4, end, ">u4", 1)[:, 0]
+    elif kind == b"stsc":
+        t["stsc"] = _table(data, at + 4, end, ">u4", 3)
+    elif kind == b"stco":
+        t["chunks"] = _table(data, at + 4, end, ">u4", 1)[:, 0]
+    elif kind == b"co64":
+        t["chunks"] = _table(data, at + 4, end, ">u8", 1)[:, 0]
+    elif kind == b"stsz":
+        size, n = struct.unpack_from(">II", data, at + 4)
+        t["sizes"] = np.full(n, size, np.int64) if size else _table(data, at + 8, end, ">u4", 1)[:, 0]
+    elif kind == b"stz2":
+        bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+        if bits == 4:
+            raw = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12)
+            t["sizes"] = np.stack([raw >> 4, raw & 15], axis=1).reshape(-1)[:n].astype(np.int64)
+        else:
+            t["sizes"] = np.frombuffer(data, f">u{bits // 8}", n, at + 12).astype(np.int64)
+
+
+def _fragment(data: bytes, at: int, moof: int, after: int, defaults: dict) -> dict:
+    """A track fragment's header: its track, the place its data start at, and its samples' defaults."""
+    flags, track = struct.unpack_from(">II", data, at)
+    flags &= 0xFFFFFF
+    at += 8
+    f = {"track": track, "base": moof if flags & BASE_IS_MOOF else after, "runs": [], "time": None}
+    if flags & BASE_GIVEN:
+        f["base"] = struct.unpack_from(">Q", data, at)[0]
+        at += 8
+    at += 4 * bool(flags & DESCRIPTION)
+    values = list(defaults.get(track, (0, 0, 0)))
+    for k, flag in enumerate((DURATION, SIZE, FLAGS)):
+        if flags & flag:
+            values[k] = struct.unpack_from(">I", data, at)[0]
+            at += 4
+    f["defaults"], f["next"] = tuple(values), f["base"]
+    return f
+
+
+def _run(data: bytes, at: int, end: int, f: dict) -> int:
+    """Add a run's samples (offset, size, ticks, flags) to its fragment; returns the place after its last sample."""
+    flags, n = struct.unpack_from(">II", data, at)
+    flags &= 0xFFFFFF
+    at += 8
+    where, first_flags = f["next"], None
+    if flags & RUN_OFFSET:
+        where = f["base"] + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    if flags & RUN_FIRST_FLAGS:
+        first_flags = struct.unpack_from(">I", data, at)[0]
+        at += 4
+    given = [k for k, flag in enumerate(RUN_FIELDS) if flags & flag]
+    if at + 4 * n * len(given) > end:
+        raise ValueError("a run ends early")
+    rows = np.frombuffer(data, ">u4", n * len(given), at).reshape(n, len(given)).astype(np.int64)
+    ticks, sizes, own = (rows[:, given.index(k)] if k in given else np.full(n, f["defaults"][k], np.int64) for k in range(3))
+    if first_flags is not None and n:
+        own = np.concatenate([[first_flags], own[1:]])
+    ends = where + np.cumsum(sizes)
+    f["runs"].append((ends - sizes, sizes, ticks, own))
+    f["next"] = int(ends[-1]) if n else where
+    return f["next"]
+
+
+def _place(t: dict) -> None:
+    """Sample offsets from the chunk tables, start times from the time table, and which samples are sync samples."""
     sizes, chunks, runs = t.get("sizes", np.zeros(0, np.int64)), t.get("chunks", np.zeros(0, np.int64)), t.get("stsc", np.zeros((0, 3), np.int64))
     if len(sizes):
         if not len(chunks) or not len(runs):
@@ -158,31 +231,57 @@ def _place(t: dict, length: int) -> None:
         first = np.searchsorted(chunk_of, np.arange(len(per_chunk)))
         base = before[np.minimum(first, len(sizes) - 1)]
         t["offsets"] = chunks[chunk_of] + before - base[chunk_of]
-        if (t["offsets"] + sizes).max() > length:
-            raise ValueError("a sample lies behind the end")
     else:
         t["offsets"] = sizes
     t["sizes"] = sizes
     t["keys"] = t["stss"] - 1 if "stss" in t else np.arange(len(sizes))
     if len(t["keys"]) and t["keys"].max() >= len(sizes):
         raise ValueError("a sync sample lies behind the last sample")
+    steps = t.get("stts", np.zeros((0, 2), np.int64))
+    ticks = np.repeat(steps[:, 1], steps[:, 0])
+    if len(ticks) < len(sizes):
+        raise ValueError("fewer sample times than sizes")
+    ends = np.cumsum(ticks[: len(sizes)])
+    t["starts"], t["end"] = ends - ticks[: len(sizes)], int(ends[-1]) if len(sizes) else None
+
 
+def _append(t: dict, fragments: list[dict]) -> None:
+    """Add the samples of a track's fragments, in file order."""
+    for f in fragments:
+        now = f["time"] if f["time"] is not None else t["end"] or 0
+        for offsets, sizes, ticks, flags in f["runs"]:
+            t["keys"] = np.concatenate([t["keys"], len(t["sizes"]) + np.flatnonzero(flags & NO_SYNC == 0)])
+            t["offsets"], t["sizes"] = np.concatenate([t["offsets"], offsets]), np.concatenate([t["sizes"], sizes])
+            t["starts"] = np.concatenate([t["starts"], now + np.cumsum(ticks) - ticks])
+            now += int(ticks.sum())
+        t["end"] = now
 
-COLUMNS = "codec string, width int, height int, duration double, n_samples long, keyframes array<struct<sample:long,first_byte:long,n_bytes:long>>, payload binary, error string"
+
+KEYFRAMES = "keyframes array<struct<sample:long,first_byte:long,n_bytes:long,seconds:double>>"
+COLUMNS = f"codec string, width int, height int, duration double, n_samples long, {KEYFRAMES}, tracks array<struct<handler:string,codec:string,duration:double,n_samples:long,n_keyframes:long>>, payload binary, error string"
+NAMES = ("codec", "width", "height", "duration", "n_samples", "keyframes", "tracks", "payload", "error")
+
+
+def _duration(t: dict) -> float | None:
+    """Seconds from the samples' times; of a track without samples what its header says."""
+    ticks = t["end"] if t["end"] is not None else t.get("ticks")
+    return ticks / t["timescale"] if t.get("timescale") and ticks is not None else None
 
 
 def describe(data: bytes | None, payload: bool = False) -> dict:
-    """The media columns of one file, taken from its first track."""
+    """The media columns of one file, taken from its first video track, or its first track."""
     if data is None:
         return {"error": "no file"}
     try:
         found = tracks(data)
         if not found:
             return {"error": "no track"}
-        t = found[0]
-        keys = t["keys"]
-        out = {"codec": t.get("codec"), "width": t.get("width"), "height": t.get("height"), "n_samples": len(t["sizes"]), "duration": t["ticks"] / t["timescale"] if t.get("timescale") else None}
-        out["keyframes"] = [{"sample": int(k), "first_byte": int(o), "n_bytes": int(s)} for k, o, s in zip(keys, t["offsets"][keys], t["sizes"][keys])]
+        t = next((x for x in found if x.get("handler") == "vide"), found[0])
+        keys, scale = t["keys"], t.get("timescale")
+        out = {"codec": t.get("codec"), "width": t.get("width"), "height": t.get("height"), "n_samples": len(t["sizes"]), "duration": _duration(t)}
+        columns = keys.tolist(), t["offsets"][keys].tolist(), t["sizes"][keys].tolist(), t["starts"][keys].tolist()
+        out["keyframes"] = [{"sample": k, "first_byte": o, "n_bytes": s, "seconds": x / scale if scale else None} for k, o, s, x in zip(*columns)]
+        out["tracks"] = [{"handler": x.get("handler"), "codec": x.get("codec"), "duration": _duration(x), "n_samples": len(x["sizes"]), "n_keyframes": len(x["keys"])} for x in found]
         if payload:
             out["payload"] = payload_of(data, t)
         return out
@@ -202,32 +301,21 @@ def pack_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     """(id, n_bytes, media): each text's UTF-8 bytes, filled up with spaces to whole frames, as an ISO media file."""
     frame = WIDTH * HEIGHT
 
-    def make():
-        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-            raw = [t.encode() if isinstance(t, str) else b"" for t in pdf[text]]
-            media = [pack_frames(b.ljust(max(frame, -(-len(b) // frame) * frame), b" ")) for b in raw]
-            return pd.DataFrame({id: pdf[id], "n_bytes": [len(b) for b in raw], "media": media})
+    def pack(texts: list[str | None]) -> list:
+        raw = [(t or "").encode() for t in texts]
+        return [[len(b) for b in raw], [pack_frames(b.ljust(max(frame, -(-len(b) // frame) * frame), b" ")) for b in raw]]
 
-        return pack
-
-    kind = docs.schema[id].dataType.simpleString()
-    return map_slices(docs.select(id, text), text, f"`{id}` {kind}, n_bytes long, media binary", make)
+    return map_texts(docs.select(id, text), text, "n_bytes long, media binary", lambda: pack)
 
 
 def media_columns(files: DataFrame, media: str = "media", payload: bool = False) -> DataFrame:
-    """The columns of ``files`` and codec, width, height, duration, n_samples, keyframes (sample number, first byte and
-    length of each), error; with ``payload`` also the stored bytes. Columns of ``files`` with these names are replaced."""
-    names = [f.split(" ")[0] for f in COLUMNS.split(", ")]
-    own = files.drop(*[n for n in names if n != media])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", " + COLUMNS
-
-    def make():
-        def read(pdf: pd.DataFrame) -> pd.DataFrame:
-            found = [describe(bytes(b) if b is not None else None, payload) for b in pdf[media]]
-            new = pd.DataFrame({n: pd.Series([x.get(n) for x in found], dtype=object, index=pdf.index) for n in names})
-            return pd.concat([pdf, new], axis=1)
+    """The columns of ``files`` and codec, width, height, duration, n_samples, keyframes (sample number, first byte, length and time of each), tracks, error; with
+    ``payload`` also the stored bytes. Columns of ``files`` with these names are replaced."""
 
-        return read
+    def read(found: list[bytes | None]) -> list:
+        rows = [describe(b, payload) for b in found]
+        return [[r.get(n) for r in rows] for n in NAMES]
 
-    out = map_slices(own, media, schema, make)
+    own = files.select(*[F.col(f"`{c}`") for c in files.columns if c == media or c not in NAMES])
+    out = map_texts(own, media, COLUMNS, lambda: read, keep=True)
     return out if payload else out.drop("payload")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.batches import map_slices
+from furrow.llm.batches import map_texts
 from furrow.llm.components import components, local_roots
 from furrow.session import stored
 
@@ -49,14 +49,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp): the fingerprint of each row as a signed long."""
 
-    def make():
-        def f(pdf: pd.DataFrame) -> pd.DataFrame:
-            fps = np.array([fingerprint(t if isinstance(t, str) else None, shingle) for t in pdf[text]], np.uint64)
-            return pd.DataFrame({id: pdf[id], "fp": fps.view(np.int64)})
-
-        return f
-
-    return map_slices(docs.select(id, text), text, f"`{id}` {docs.schema[id].dataType.simpleString()}, fp long", make)
+    return map_texts(docs.select(id, text), text, "fp long", lambda: lambda texts: [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)])
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -185,14 +178,6 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     return marked.join(of_fp, "fp").select(id, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", groups=near_duplicates, **how) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose id names their group: one document of each. Of rows with the same id one stays; of rows
-    without an id, which can name no group, one of each text stays. ``groups`` gives each id its component_id."""
-    groups = groups(docs.filter(F.col(id).isNotNull()), id, text, **how)
-    named = groups.filter(F.col(id) == F.col("component_id")).select(id).distinct()
-    return docs.join(named, id, "left_semi").dropDuplicates([id]).unionByName(docs.filter(F.col(id).isNull()).dropDuplicates([text]))
-
-
 def hex_fingerprint(fp):
     """Sixteen lower-case hex digits of a signed long column."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
