@@ -1,11 +1,16 @@
 """Stupid-backoff language-model scores of all documents, from the counts of all documents.
 
 Equal texts are counted first where they stand, so that copies travel and are scored once. Texts are dealt by a hash into blocks of bounded size, the texts
-that a task sends to a block compressed together. For each order a block lists its n-grams once, as 64-bit keys in ascending
+that a task sends to a block compressed together. A block lists its n-grams of each order once, as 64-bit keys in ascending
 order; the lists are cut by key range, so that the rows (range, block, keys, counts) of one range are one partition of the count tables.
 A partition adds up its keys over all blocks and joins the totals back to the rows they came from; the rows return to their block, where they meet the
 exploded n-grams of its texts again, and each text's logarithms are summed and joined to its documents. Rows hold lists in place of single n-grams because a list of sorted
-keys takes about six bytes each on its way, and single rows twice as many and more in each of the shuffles.
+keys takes about six bytes each on its way, and single rows twice as many and more in each of the shuffles (the README has both measured).
+
+There are as many ranges as blocks, so tasks stay of one size whatever the corpus, and the number of rows is the square of the number of blocks: a row's list gets
+shorter as the corpus grows. ``block_chars`` goes with the memory of an executor: with blocks of 9 MB a row holds about a thousand keys at 30 GB, with blocks of 256 MB some
+hundreds at 100 TB. n-grams are told apart by 64-bit hashes: with 10^10 different ones the chance that any two share a key is about nine in ten,
+the share of n-grams that such a pair touches about 10^-9.
 
 With counts c, corpus size N, backoff factor f and least count m, the score of word i is c(i-2..i) / c(i-2..i-1) if c(i-2..i) >= m, else
 f c(i-1..i) / c(i-1) if c(i-1..i) >= m, else f^2 c(i) / N, and so on for other orders; at a text's start only the orders that fit are tried, without a
@@ -68,19 +73,15 @@ def _lists(words, n_words, copies, order):
         yield n, distinct, np.bincount(back, weight[real], len(distinct)).astype(np.int64)
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as their differences, eight planes of bytes, compressed: the upper planes are nearly empty."""
-    import zstandard
+def _pack(lists: list[np.ndarray]) -> bytes:
+    """Sorted lists of keys as their differences, eight planes of bytes, compressed: the upper planes are nearly empty."""
+    steps = np.concatenate([np.diff(keys, prepend=np.uint64(0)) for keys in lists])
+    return _pack_counts(steps)
 
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
 
-
-def _unpack(data: bytes) -> np.ndarray:
-    import zstandard
-
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(raw.T).view("<u8")[:, 0], dtype=np.uint64)
+def _unpack(data: bytes, sizes: list[int]) -> list[np.ndarray]:
+    steps, ends = _unpack_counts(data).view(np.uint64), np.cumsum(sizes)
+    return [np.cumsum(steps[b - n : b], dtype=np.uint64) for n, b in zip(sizes, ends)]
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
@@ -147,21 +148,24 @@ def _open_texts(frame: pd.DataFrame) -> tuple[list[bytes], list[bytes], np.ndarr
     return digests, texts, np.concatenate(copies)
 
 
-LISTS = "part int, block int, n int, keys binary, counts binary"
+LISTS = "part int, block int, sizes array<int>, keys binary, counts binary"
 
 
 def block_lists(blocks: DataFrame, order: int, parts: int) -> DataFrame:
-    """(part, block, n, keys, counts): each block's n-grams, cut into ``parts`` ranges of keys."""
+    """(part, block, sizes, keys, counts): each block's n-grams, cut into ``parts`` ranges of keys; a row has a list for each n, of ``sizes`` keys."""
 
     def lists(frame: pd.DataFrame) -> pd.DataFrame:
         _, texts, copies = _open_texts(frame)
         words, n_words = word_keys(texts)
-        cuts = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+        bounds = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+        found = [(keys, counts, [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]) for _, keys, counts in _lists(words, n_words, copies, order)]
         rows = []
-        for n, keys, counts in _lists(words, n_words, copies, order):
-            at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
-            rows += [(p, frame["block"].iat[0], n, _pack(keys[a:b]), _pack_counts(counts[a:b])) for p, (a, b) in enumerate(zip(at, at[1:])) if b > a]
-        return pd.DataFrame(rows, columns=["part", "block", "n", "keys", "counts"])
+        for p in range(parts):
+            own = [(keys[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for keys, counts, at in found]
+            sizes = [len(k) for k, _ in own]
+            if any(sizes):
+                rows.append((p, frame["block"].iat[0], sizes, _pack([k for k, _ in own]), _pack_counts(np.concatenate([c for _, c in own]))))
+        return pd.DataFrame(rows, columns=["part", "block", "sizes", "keys", "counts"])
 
     return blocks.groupBy("block").applyInPandas(lists, LISTS)
 
@@ -170,19 +174,20 @@ def total_counts(lists: DataFrame, least: int) -> DataFrame:
     """The same rows with the counts of the whole corpus in place of the block's; counts of n > 1 below ``least`` become 0."""
 
     def totals(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = [_unpack(k) for k in frame["keys"]]
-        counts = np.concatenate([_unpack_counts(c) for c in frame["counts"]])
-        distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, counts, len(distinct)).astype(np.int64)
-        if frame["n"].iat[0] > 1:
-            total[total < least] = 0
-        of_row, at = [], 0
-        for k in keys:
-            of_row.append(_pack_counts(total[back[at : at + len(k)]]))
-            at += len(k)
-        return pd.DataFrame({"part": frame["part"], "block": frame["block"], "n": frame["n"], "counts": of_row})
-
-    return lists.groupBy("part", "n").applyInPandas(totals, "part int, block int, n int, counts binary")
+        sizes = [list(s) for s in frame["sizes"]]
+        keys = [_unpack(k, s) for k, s in zip(frame["keys"], sizes)]
+        counts = [np.split(_unpack_counts(c), np.cumsum(s)[:-1]) for c, s in zip(frame["counts"], sizes)]
+        of_row: list[list[np.ndarray]] = [[] for _ in sizes]
+        for n in range(len(sizes[0])):
+            distinct, back = np.unique(np.concatenate([k[n] for k in keys]), return_inverse=True)
+            total = np.bincount(back, np.concatenate([c[n] for c in counts]), len(distinct)).astype(np.int64)
+            if n:
+                total[total < least] = 0
+            for row, own in zip(of_row, np.split(total[back], np.cumsum([s[n] for s in sizes])[:-1])):
+                row.append(own)
+        return pd.DataFrame({"part": frame["part"], "block": frame["block"], "sizes": frame["sizes"], "counts": [_pack_counts(np.concatenate(x)) for x in of_row]})
+
+    return lists.groupBy("part").applyInPandas(totals, "part int, block int, sizes array<int>, counts binary")
 
 
 def _scores(words: np.ndarray, n_words: np.ndarray, counts: list[np.ndarray], order: int, backoff: float, total: int) -> np.ndarray:
@@ -215,11 +220,9 @@ def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: in
         digests, found, _ = _open_texts(texts)
         distinct = dict(zip(digests, found))
         words, n_words = word_keys(list(distinct.values()))
-        lists = lists.sort_values(["n", "part"])
-        counts = []
-        for n in range(1, order + 1):
-            own = [_unpack_counts(c) for c in lists.loc[lists["n"] == n, "counts"]]
-            counts.append(np.concatenate(own) if own else np.zeros(0, np.int64))
+        lists = lists.sort_values("part")
+        own = [np.split(_unpack_counts(c), np.cumsum(s)[:-1]) for c, s in zip(lists["counts"], lists["sizes"])]
+        counts = [np.concatenate([np.zeros(0, np.int64), *(row[n] for row in own)]) for n in range(order)]
         return pd.DataFrame({"digest": list(distinct), "n_words": n_words, "log_score": _scores(words, n_words, counts, order, backoff, total)})
 
     scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, "digest binary, n_words long, log_score double")
