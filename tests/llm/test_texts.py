@@ -44,6 +44,16 @@ def test_token_cache_encodes_only_misses(spark, odd, none):
     assert sorted(r.n_tokens for r in tokencount.token_counts(odd, WORD_BPE, cache).collect()) == sorted(count_with_library([t for _, t in texts_of(odd)]))
 
 
+def test_tokenizers_that_keep_spaces_get_whole_texts(odd):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokencount.ends_at_white_space(WORD_BPE) and not tokencount.ends_at_white_space(path)
+    t = Tokenizer.from_file(path)
+    want = sorted(len(t.encode(x or "", add_special_tokens=False)) for _, x in texts_of(odd))
+    assert sorted(r.n_tokens for r in tokencount.token_counts(odd, path).collect()) == want
+
+
 @pytest.mark.parametrize("which", ["odd", "small"])
 def test_pieces(spark, odd, small, which):
     import sentencepiece
@@ -78,6 +88,35 @@ def test_spans_agree_with_library_for_each_way():
         assert ids[:-1].tolist() == whole.tolist() and first[:-1].tolist() == bounds[:-1].tolist() and end[:-1].tolist() == bounds[1:].tolist()
 
 
+def test_a_damaged_alignment_changes_the_spans(monkeypatch):
+    """The spans that the query digests come from the alignment; pieces that don't spell the normalised text are an error."""
+    whole, bad = pieces.normalise, pieces.Encoder(PIECES)
+    text = "Hello  world naïve"
+    good = bad.encode([text])
+    monkeypatch.setattr(pieces, "normalise", lambda *a: (whole(*a)[0], whole(*a)[1] // 2))
+    assert bad.encode([text])[3].tolist() != good[3].tolist()
+    monkeypatch.setattr(pieces, "normalise", lambda *a: (whole(*a)[0] + b"x", whole(*a)[1]))
+    with pytest.raises(ValueError, match="spell"):
+        bad.encode([text])
+
+
+def test_pieces_query(spark, small):
+    """The digests of the registered query against the library; spans against the library's own places."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = dict(texts_of(table(spark, small, "documents")))
+    rows = QUERIES["op8_sentencepiece_spans"](spark, small).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids, digest = sp.encode(texts[r.doc_id], add_eos=True), lambda x: hashlib.sha256(x.encode()).hexdigest()
+        spans = sp.encode(texts[r.doc_id], return_type="proto")
+        ends = [p.end for p in spans.pieces]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest(" ".join(map(str, ids))), digest(sp.decode(ids)))
+        if not any(sp.is_byte(i) for i in ids):  # the library gives bytes of one character no places of their own
+            assert r.spans_sha256 == digest(" ".join(map(str, [*ends, *(ends[-1:] or [0])])))
+
+
 def test_charmap_takes_the_longest_prefix():
     """Against the library's own normaliser, whose compiled map is read here."""
     import sentencepiece
@@ -114,7 +153,10 @@ def test_media_query(spark, small):
         raw = texts[r.doc_id].encode()
         full = raw.ljust(max(192, -(-len(raw) // 192) * 192))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
-        assert r.media_bytes > r.payload_bytes
+        n = len(full) // 192
+        assert r.media_bytes > r.payload_bytes and r.media_sha256 == hashlib.sha256(media.pack_frames(full)).hexdigest()
+        keys, head = range(0, n, 24), len(media.box(b"ftyp", b"isom", b"\0" * 12)) + 8
+        assert r.feature == f"codec=raw;size=16x12;duration={n / 24:.6f};samples={n};keyframes={len(keys)};first={head}+192;last={head + keys[-1] * 192}+192"
 
 
 def test_media_tables_of_other_files():
@@ -122,7 +164,7 @@ def test_media_tables_of_other_files():
 
     data = b"0123456789abcdef" * 4
     tables = [
-        media.full_box(b"stsd", struct.pack(">I", 1), media.box(b"mp4a", b"\0" * 28)), media.full_box(b"stts", struct.pack(">III", 1, 5, 10)),
+        media.full_box(b"stsd", struct.pack(">I", 1), media.box(b"mp4a", b"\0" * 28)), media.full_box(b"stts", struct.pack(">IIIII", 2, 4, 10, 1, 20)),
         media.full_box(b"stsc", struct.pack(">IIIIIII", 2, 1, 2, 1, 2, 1, 1)), media.full_box(b"stsz", struct.pack(">IIIIIII", 0, 5, 3, 4, 5, 6, 7)),
     ]
     head = media.box(b"ftyp", b"isom", b"\0\0\0\0")
@@ -131,13 +173,43 @@ def test_media_tables_of_other_files():
     mdia = media.box(b"mdia", media.full_box(b"mdhd", struct.pack(">IIIIHH", 0, 0, 100, 50, 0, 0)), media.box(b"minf", media.box(b"stbl", *tables)))
     f = head + media.box(b"mdat", data) + media.box(b"moov", media.box(b"trak", mdia))
     found = media.describe(f, payload=True)
-    assert found["codec"] == "mp4a" and found["duration"] == 0.5
+    assert found["codec"] == "mp4a" and found["duration"] == 0.6  # by the sample times; the header says 0.5
+    assert [k["seconds"] for k in found["keyframes"]] == [0.0, 0.1, 0.2, 0.3, 0.4]
     assert [(k["first_byte"] - at, k["n_bytes"]) for k in found["keyframes"]] == [(0, 3), (3, 4), (10, 5), (20, 6), (30, 7)]
     assert found["payload"] == data[:7] + data[10:15] + data[20:26] + data[30:37]
     for broken in (b"", f[:-9], b"\0\0\0\x04abcd", None, head):
         assert media.describe(broken)["error"]
 
 
+def test_media_fragments():
+    """Two fragments of a fragmented file: defaults from trex and tfhd, sizes, times and sync flags from the runs."""
+    import struct
+
+    full, box = media.full_box, media.box
+    table = [full(b"stsd", struct.pack(">I", 1), box(b"avc1", b"\0" * 78)), *(full(k, struct.pack(">I", 0)) for k in (b"stts", b"stsc", b"stco")), full(b"stsz", struct.pack(">II", 0, 0))]
+    mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), full(b"hdlr", struct.pack(">I4s12x", 0, b"vide"), b"\0"), box(b"minf", box(b"stbl", *table)))
+    moov = box(b"moov", box(b"trak", full(b"tkhd", struct.pack(">IIII", 0, 0, 7, 0)), mdia), box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 40, 5, 0x10000))))
+    head = box(b"ftyp", b"iso5", b"\0\0\0\0") + moov
+
+    def one(offset):  # three samples of five bytes and 40 ticks, the first of them a sync sample
+        return [full(b"trun", struct.pack(">IiI", 3, offset, 0), flags=0x5)]
+
+    def two(offset):  # a run with own sizes, times and flags, and one that goes on behind it
+        return [full(b"trun", struct.pack(">Ii6I", 2, offset, 10, 2, 0, 30, 4, 0x10000), flags=0x701), full(b"trun", struct.pack(">I", 1))]
+
+    def build(time, runs):
+        size = len(box(b"moof", full(b"mfhd", struct.pack(">I", 1)), box(b"traf", full(b"tfhd", struct.pack(">I", 7), flags=0x20000), full(b"tfdt", struct.pack(">Q", time), version=1), *runs(0))))
+        return box(b"moof", full(b"mfhd", struct.pack(">I", 1)), box(b"traf", full(b"tfhd", struct.pack(">I", 7), flags=0x20000), full(b"tfdt", struct.pack(">Q", time), version=1), *runs(size + 8)))
+
+    first = head + build(0, one) + box(b"mdat", b"aaaaabbbbbccccc")
+    f = first + build(500, two) + box(b"mdat", b"ddeeeefffff")
+    found = media.describe(f, payload=True)
+    assert found["payload"] == b"aaaaabbbbbcccccddeeeefffff" and found["n_samples"] == 6 and found["codec"] == "avc1"
+    assert [(k["sample"], f[k["first_byte"] : k["first_byte"] + k["n_bytes"]], k["seconds"]) for k in found["keyframes"]] == [(0, b"aaaaa", 0.0), (3, b"dd", 0.5)]
+    assert found["duration"] == 0.58 and found["tracks"][0]["n_keyframes"] == 2
+    assert media.describe(f[:-3])["error"] and media.describe(first[:-8])["error"]
+
+
 def test_license_markup():
     a = licenses.Automaton({"x": 'one <<beginOptional>>two <<beginOptional>>deep<<endOptional>><<endOptional>> three <<var;name="n";original="";match=".{1,2}">> end', "y": 'loop <<var;match=".+">> stop'})
     ok = lambda t: set(a.labels(licenses.words_of(t)))
