@@ -3,33 +3,38 @@
 The words of a source stand in one line: its documents in the order of a hash, cut into blocks of equal size. A recipe gives each
 source its weight, target and exact quota of blocks. The quotas of all sources are split over the output shards by a tree: a node
 draws, from the multivariate hypergeometric law, which part of its blocks goes to its left half. A source's draws are numbered; each pass over
-its blocks takes them in the order of a permutation of its own, and a shard owns a range of numbers, so shards draw disjoint blocks.
-Inside a shard draws are ordered by a hash.
+its blocks takes them in the order of a keyed permutation of its own, and a shard owns a range of numbers, those that the tree gave it, so shards draw
+disjoint blocks. What no shard owns isn't drawn. Inside a shard draws are ordered by a hash.
 
 The recipe has one row for each source, as mixing weights have, and is held on the driver; all that grows with the documents stays in Spark. Places
 in the line are found by two cumulative sums: over the buckets of a source (as many as its count of documents needs), and inside a
-bucket, so that no source of any size meets in one task.
+bucket, so that no source of any size meets in one task. Only rows that share both id and text always stand in one bucket.
 
-Defined results: null and empty texts have size 0 and are never drawn; a null source is a source of its own and comes last; rows with the same id
-stand next to each other in the line and are drawn on their own; an empty table gives an empty result. Columns of the input whose names the
-result needs are replaced.
+Defined results: null and empty texts have size 0 and are never drawn; a null source is a source of its own and comes last; rows with the same id, or
+none, are told apart by their texts and drawn on their own; equal rows are drawn one after the other; an empty table gives an empty result. ``mix`` replaces
+columns of the input called size, source_size, target or draws; ``drawn_texts`` returns all columns of the input whatever their names.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from furrow.llm.batches import map_slices
+from furrow.llm.batches import CHUNK_CHARS, cuts, release, small_batches
+from furrow.session import stored
 
 WEIGHTS = (5, 2, 1)
 #: Documents of one source in a bucket, which is ordered as a whole.
 BUCKET_ROWS = 2_000
+#: Rounds of the permutation of blocks; words of a shard that one task writes, unless that makes more than so many tasks of it.
+ROUNDS, SLOT_WORDS, SLOTS = 16, 3_000_000, 1_000
 
 
 def word_count(text):
@@ -48,8 +53,8 @@ class Share:
     quota: int
     ends: tuple[int, ...]
     """For each shard the number of the source's draws before its end."""
-    steps: tuple[tuple[int, int], ...]
-    """For each pass the factor and shift of its permutation of blocks."""
+    keys: tuple[tuple[int, ...], ...]
+    """For each pass the keys of its permutation of blocks."""
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> list[float]:
@@ -109,15 +114,15 @@ def _draw(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
     return int(min(max(round(rng.normal(n * p, spread)), 0, n - bad), good, n))
 
 
-def permutation(n: int, rng: np.random.Generator) -> tuple[int, int]:
-    """(factor, shift): k -> (factor * k + shift) mod n passes through all blocks once. Factors stay small enough for 64 bits."""
-    if n < 2:
-        return 1, 0
-    most = min(n, (1 << 62) // n)
-    while True:
-        factor = int(rng.integers(1, max(2, most)))
-        if np.gcd(factor, n) == 1 and (factor > 1 or n < 5):
-            return factor, int(rng.integers(0, n))
+def permuted(block_no: Column, keys: Column, blocks: Column) -> Column:
+    """The place of a block in a keyed permutation of 0 .. blocks - 1: in each round a block and its mirror image about the key change places or not, by a
+    hash of the larger of the two, which both share (a swap-or-not shuffle; Hoang, Morris, Rogaway 2012)."""
+
+    def swap(x, key):
+        other = F.pmod(key - x, blocks)
+        return F.when(F.xxhash64(key, F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
+
+    return F.aggregate(keys, block_no, swap)
 
 
 def recipe(sizes: list[tuple[str | None, int]], block: int, shards: int, seed: int, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> list[Share]:
@@ -130,58 +135,76 @@ def recipe(sizes: list[tuple[str | None, int]], block: int, shards: int, seed: i
     parts = split_tree(quotas, shards, np.random.default_rng(seed)) if len(quotas) else np.zeros((shards, 0), np.int64)
     ends = np.cumsum(parts, axis=0)
     passes = max(1, int(np.ceil(most)))
-    steps = [tuple(permutation(b, np.random.default_rng([seed, k, p])) for p in range(passes)) for k, b in enumerate(blocks)]
-    return [Share(name, s, g, b, int(q), tuple(ends[:, k].tolist()), steps[k]) for k, ((name, s), g, b, q) in enumerate(zip(ordered, goals, blocks, quotas))]
+    keys = [tuple(tuple(np.random.default_rng([seed, k, p]).integers(0, max(1, b), ROUNDS).tolist()) for p in range(passes)) for k, b in enumerate(blocks)]
+    return [Share(name, s, g, b, int(q), tuple(ends[:, k].tolist()), keys[k]) for k, ((name, s), g, b, q) in enumerate(zip(ordered, goals, blocks, quotas))]
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", block: int = 64, shards: int = 16, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``docs`` with size, source_size, target and draws: an array of (pass, shard, place, first_word, end_word), one for each part of a drawn block in the document.
+DRAWS = "array<struct<pass:int,shard:int,place:long,first_word:long,end_word:long>>"
 
-    ``place`` orders the draws inside their shard.
-    """
+
+def _mixed(docs: DataFrame, id: str, text: str, source: str, block: int, shards: int, seed: int, weights: tuple[int, ...], total: float, most: float) -> tuple[DataFrame, list[Share]]:
+    """The columns of ``docs`` as c0, c1, ... with id, size, source_size, target and draws; and the recipe."""
     spark = docs.sparkSession
-    names = ("size", "source_size", "target", "draws", "mix_bucket", "mix_buckets", "mix_start", "mix_name", "mix_null", "bucket_start", "blocks", "quota", "ends", "steps")
-    sized = docs.drop(*[n for n in names if n not in (id, text, source)]).withColumn("size", word_count(F.col(text)))
-    by_source = sized.groupBy(source).agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
-    shares = recipe([(r[0], r[1]) for r in by_source], block, shards, seed, weights, total, most)
-    buckets = spark.createDataFrame([(r[0] or "", r[0] is None, -(-r[2] // BUCKET_ROWS)) for r in by_source], "mix_name string, mix_null boolean, mix_buckets long")
-    # A null source as a plain pair of keys: the window below and the join share them, so texts are shuffled once.
-    sized = sized.withColumn("mix_name", F.coalesce(F.col(source), F.lit(""))).withColumn("mix_null", F.col(source).isNull())
-    # A bucket holds as many documents in a large source as in a small one.
-    sized = sized.join(F.broadcast(buckets), ["mix_name", "mix_null"]).withColumn("mix_bucket", F.pmod(F.xxhash64(F.lit(seed), id), "mix_buckets")).drop("mix_buckets")
-    keys = ["mix_name", "mix_null", "mix_bucket"]
-    sums = sized.groupBy(*keys).agg(F.sum("size").alias("bucket_size"))
-    starts = sums.select(*keys, (F.sum("bucket_size").over(Window.partitionBy("mix_name", "mix_null").orderBy("mix_bucket")) - F.col("bucket_size")).alias("bucket_start"))
-    line = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed + 1), id), id, "size")
-    placed = sized.withColumn("mix_start", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    schema = "source string, source_size long, target double, blocks long, quota long, ends array<long>, steps array<struct<factor:long,shift:long>>"
-    table = spark.createDataFrame([(s.source, s.size, s.target, s.blocks, s.quota, list(s.ends), list(s.steps)) for s in shares], schema)
+    key = [F.col(id), F.xxhash64(F.col(text))]
+    # A null source as a plain pair of keys: the window and the joins below share them, so texts are shuffled once.
+    sized = docs.select(
+        *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col(id).alias("id"), word_count(F.col(text)).alias("size"), F.coalesce(F.col(source), F.lit("")).alias("name"),
+        F.col(source).isNull().alias("none"), F.xxhash64(F.lit(seed), *key).alias("deal"), F.xxhash64(F.lit(seed + 1), *key).alias("order"),
+    )
+    fine_buckets = max(1, -(-docs.count() // BUCKET_ROWS))
+    fine = F.pmod("deal", F.lit(fine_buckets))
+    sums = stored(sized.groupBy("name", "none", fine.alias("fine")).agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "mix-sums")
+    by_source = sums.groupBy("name", "none").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows")).collect()
+    shares = recipe([(None if r["none"] else r["name"], r["size"]) for r in by_source], block, shards, seed, weights, total, most)
+    rows = {(None if r["none"] else r["name"]): r["rows"] for r in by_source}
+    schema = "name string, none boolean, source_size long, target double, blocks long, ends array<long>, keys array<array<long>>, buckets long"
     # A row for each source: the recipe's size, not the documents'.
-    table = table.select(F.coalesce("source", F.lit("")).alias("mix_name"), F.col("source").isNull().alias("mix_null"), *[c for c in table.columns if c != "source"])
-    joined = placed.join(starts.join(F.broadcast(table), ["mix_name", "mix_null"]), keys)
-    start, end = F.col("mix_start") + F.col("bucket_start"), F.col("mix_start") + F.col("bucket_start") + F.col("size")
+    table = F.broadcast(spark.createDataFrame([(s.source or "", s.source is None, s.size, s.target, s.blocks, list(s.ends), [list(k) for k in s.keys], -(-rows[s.source] // BUCKET_ROWS)) for s in shares], schema))
+    # A bucket holds as many documents in a large source as in a small one: fine buckets next to each other are joined.
+    bucket = F.floor(F.col("fine") * F.least("buckets", F.lit(fine_buckets)) / fine_buckets).cast("long")
+    keys = ["name", "none", "bucket"]
+    counted = table.select("name", "none", "buckets")
+    coarse = sums.join(F.broadcast(counted), ["name", "none"]).groupBy("name", "none", bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size"))
+    starts = coarse.select(*keys, (F.sum("bucket_size").over(Window.partitionBy("name", "none").orderBy("bucket")) - F.col("bucket_size")).alias("bucket_start"))
+    dealt = sized.withColumn("fine", fine).join(F.broadcast(counted), ["name", "none"]).withColumn("bucket", bucket).drop("fine", "buckets", "deal")
+    line = Window.partitionBy(*keys).orderBy("order", "id", "size")
+    placed = dealt.withColumn("start", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    joined = placed.join(starts.join(table, ["name", "none"]), keys)
+    start, end = F.col("start") + F.col("bucket_start"), F.col("start") + F.col("bucket_start") + F.col("size")
     inside = F.sequence(F.floor(start / block), F.floor((end - 1) / block))
-    return joined.withColumn("draws", F.when(F.col("size") > 0, F.flatten(F.transform(inside, lambda k: _draws_of(k, start, end, block, most, seed)))).otherwise(F.array().cast(DRAWS))).drop(
-        "mix_bucket", "mix_start", "bucket_start", "blocks", "quota", "ends", "steps", "mix_name", "mix_null"
-    )
-
-
-DRAWS = "array<struct<pass:int,shard:int,place:long,first_word:long,end_word:long>>"
+    draws = F.when(F.col("size") > 0, F.flatten(F.transform(inside, lambda k: _draws_of(k, start, end, block, most, seed)))).otherwise(F.array().cast(DRAWS))
+    return joined.select(*[f"c{k}" for k in range(len(docs.columns))], "id", "size", "source_size", "target", draws.alias("draws")), shares
 
 
 def _draws_of(block_no, start, end, block: int, most: float, seed: int):
-    """The draws of one block, cut to the document that stands at start..end."""
+    """The draws of one block, cut to the document that stands at start..end: those whose number lies in the range of a shard."""
     out = []
     for p in range(max(1, int(np.ceil(most)))):
-        step = F.col("steps")[p]
-        number = F.pmod(block_no * step["factor"] + step["shift"], F.col("blocks")) + F.lit(p) * F.col("blocks")
-        shard = F.size(F.filter("ends", lambda e: e <= number))  # noqa: B023  built at once
-        draw = F.struct(
-            F.lit(p).alias("pass"), shard.cast("int").alias("shard"), F.xxhash64(F.lit(seed), F.lit(p), F.col("mix_name"), F.col("mix_null"), block_no).alias("place"),
-            (F.greatest(block_no * block, start) - start).cast("long").alias("first_word"), (F.least((block_no + 1) * block, end) - start).cast("long").alias("end_word"),
+        number = permuted(block_no, F.col("keys")[p], F.col("blocks")) + F.lit(p) * F.col("blocks")
+        shard = F.transform(F.array(number), lambda n: F.size(F.filter("ends", lambda e: e <= n)))[0]
+        out.append(
+            F.struct(
+                F.lit(p).alias("pass"), shard.alias("shard"), F.xxhash64(F.lit(seed), F.lit(p), F.col("name"), F.col("none"), block_no).alias("place"),
+                (F.greatest(block_no * block, start) - start).cast("long").alias("first_word"), (F.least((block_no + 1) * block, end) - start).cast("long").alias("end_word"),
+            )
         )
-        out.append(F.when(number < F.col("quota"), draw))
-    return F.filter(F.array(*out), lambda d: d.isNotNull()).cast(DRAWS)
+    return F.filter(F.array(*out), lambda d: d["shard"] < F.size("ends")).cast(DRAWS)
+
+
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", block: int = 64, shards: int = 16, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
+    """``docs`` with size, source_size, target and draws: an array of (pass, shard, place, first_word, end_word), one for each part of a drawn block in the document.
+
+    ``place`` orders the draws inside their shard.
+    """
+    mixed, _ = _mixed(docs, id, text, source, block, shards, seed, weights, total, most)
+    new = ["size", "source_size", "target", "draws"]
+    return mixed.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c not in new or c in (id, text, source)], *[n for n in new if n not in (id, text, source)])
+
+
+def taken_by_shard(draws, shards: int = 16):
+    """Words that each shard takes of a document, repeats counted: an array with a place for each shard."""
+    own = lambda k: F.aggregate(F.filter(draws, lambda d: d["shard"] == k), F.lit(0).cast("long"), lambda n, d: n + d["end_word"] - d["first_word"])
+    return F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), own)
 
 
 def taken(draws):
@@ -189,43 +212,73 @@ def taken(draws):
     return F.aggregate(draws, F.lit(0).cast("long"), lambda n, d: n + d["end_word"] - d["first_word"])
 
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_BLANK = np.isin(np.arange(256), (32, 9, 10, 11, 12, 13))
 
 
-def cut(text: str, parts: list[tuple[int, int]]) -> str:
+def cut(text: bytes, parts: list[tuple[int, int]]) -> bytes:
     """The words of ``parts`` (first, end) of a text with the signs between them; parts that don't touch are put on lines of their own."""
-    spans = [m.span() for m in WORD.finditer(text)]
-    if parts == [(0, len(spans))]:
+    inside = np.concatenate([[False], ~_BLANK[np.frombuffer(text, np.uint8)], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if parts == [(0, len(starts))]:
         return text
-    return "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in parts)
-
-
-def drawn_texts(mixed: DataFrame, columns: list[str], text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """One row for each document and pass that draws from it: ``columns`` with the drawn words as text and its length in ``n_chars``."""
-    kinds = {f.name: f.dataType.simpleString() for f in mixed.schema}
-
-    def make():
-        def f(pdf: pd.DataFrame) -> pd.DataFrame:
-            places, texts = [], []
-            for k, (t, draws) in enumerate(zip(pdf[text], pdf["draws"])):
-                for p in sorted({d["pass"] for d in draws}):
-                    parts: list[tuple[int, int]] = []
-                    for a, b in sorted((d["first_word"], d["end_word"]) for d in draws if d["pass"] == p):
-                        parts[-1:] = [(parts[-1][0], b)] if parts and parts[-1][1] == a else [*parts[-1:], (a, b)]
-                    places.append(k)
-                    texts.append(cut(t, parts))
-            out = pdf.iloc[places][columns].copy()
-            out[text] = texts
-            if n_chars in columns:
-                out[n_chars] = [len(t) for t in texts]
-            return out
-
-        return f
-
-    return map_slices(mixed.select(*columns, "draws"), text, ", ".join(f"`{c}` {kinds[c]}" for c in columns), make)
-
-
-def drawn_rows(mixed: DataFrame, id: str = "doc_id") -> DataFrame:
-    """(shard, place, id, pass, first_word, end_word): one row for each draw, dealt to shards and ordered inside them."""
-    rows = mixed.select(id, F.explode("draws").alias("draw")).select("draw.shard", "draw.place", id, "draw.pass", "draw.first_word", "draw.end_word")
-    return rows.repartition("shard").sortWithinPartitions("shard", "place", "pass", id, "first_word")
+    return b"\n".join(text[starts[a] : ends[b - 1]] for a, b in parts)
+
+
+def shard_parts(draws: dict[str, np.ndarray]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(shard, place, parts) for each shard and pass that draws from a text: the words that it takes, parts that touch joined, and the place of its first draw."""
+    order = np.lexsort((draws["first_word"], draws["pass"], draws["shard"]))
+    held: tuple[int, int] | None = None
+    place, parts = 0, []
+    for k in order.tolist():
+        own, a, b = (int(draws["shard"][k]), int(draws["pass"][k])), int(draws["first_word"][k]), int(draws["end_word"][k])
+        if own != held:
+            if held is not None:
+                yield held[0], place, parts
+            held, place, parts = own, int(draws["place"][k]), []
+        place = min(place, int(draws["place"][k]))
+        parts[-1:] = [(parts[-1][0], b)] if parts and parts[-1][1] == a else [*parts[-1:], (a, b)]
+    if held is not None:
+        yield held[0], place, parts
+
+
+def drawn_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars", block: int = 64, shards: int = 16, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The columns of ``docs`` with the drawn words as text and its length in ``n_chars``: one row for each document, shard and pass that draws from it.
+
+    Rows are dealt to their shards and stand in the order of ``place`` there: a shard is a run of partitions with rows of all sources mixed.
+    """
+    mixed, shares = _mixed(docs, id, text, source, block, shards, seed, weights, total, most)
+    columns = [f"c{k}" for k in range(len(docs.columns))]
+    at, chars = docs.columns.index(text), docs.columns.index(n_chars) if n_chars in docs.columns else None
+    fields = [T.StructField(c, f.dataType) for c, f in zip(columns, docs.schema)]
+    names = [*columns, "shard", "place"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in cuts(sizes, CHUNK_CHARS):
+                part = batch.slice(a, b - a)
+                raw, draws = part.column(at).cast(pa.binary()).to_pylist(), part.column(len(columns))
+                flat = draws.flatten()
+                own = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("pass", "shard", "place", "first_word", "end_word")}
+                offset = np.concatenate([[0], np.cumsum(pc.list_value_length(draws).to_numpy(zero_copy_only=False).astype(np.int64))])
+                rows, dealt, places, texts = [], [], [], []
+                for k in np.flatnonzero(np.diff(offset)).tolist():
+                    for shard, place, parts in shard_parts({n: x[offset[k] : offset[k + 1]] for n, x in own.items()}):
+                        rows.append(k)
+                        dealt.append(shard)
+                        places.append(place)
+                        texts.append(cut(raw[k], parts))
+                out = part.select(range(len(columns))).take(pa.array(rows, pa.int64())).columns
+                out[at] = pa.array(texts, pa.binary()).cast(pa.string())
+                if chars is not None:
+                    out[chars] = pc.utf8_length(out[at]).cast(out[chars].type)
+                yield pa.RecordBatch.from_arrays([*out, pa.array(dealt, pa.int32()), pa.array(places, pa.int64())], names)
+        release()
+
+    small_batches(docs.sparkSession)
+    made = mixed.select(*columns, "draws").mapInArrow(run, T.StructType([*fields, T.StructField("shard", T.IntegerType()), T.StructField("place", T.LongType())]))
+    # A number of partitions of its own keeps files, and the row groups that the next stage reads at once, of moderate size.
+    slots = min(SLOTS, max(1, -(-sum(s.quota for s in shares) * block // (shards * SLOT_WORDS))))
+    dealt = made.withColumn("slot", F.pmod("place", F.lit(slots))).repartition(shards * slots, "shard", "slot").sortWithinPartitions("shard", "slot", "place", *[c for c, f in zip(columns, fields) if c == f"c{docs.columns.index(id)}"])
+    return dealt.select(*[F.col(c).alias(n) for c, n in zip(columns, docs.columns)])

@@ -12,7 +12,7 @@ from furrow.llm.langid import identify, train
 from furrow.llm.licenses import BASE, TEMPLATES, scan_licenses, template_regex
 from furrow.llm.lm import lm_scores
 from furrow.llm.media import media_columns, pack_texts
-from furrow.llm.mixing import mix, taken
+from furrow.llm.mixing import mix, taken_by_shard
 from furrow.llm.pieces import encode_texts
 from furrow.llm.quality import score_quality
 from furrow.llm.simhash import hex_fingerprint, near_duplicates
@@ -50,7 +50,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", taken(F.col("draws")).alias("taken"))
+    of_shards = mixed.select("doc_id", "size", "source_size", "target", taken_by_shard(F.col("draws")).alias("of_shards"))
+    taken = F.aggregate("of_shards", F.lit(0).cast("long"), lambda n, k: n + k)
+    return of_shards.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.concat_ws(",", F.col("of_shards").cast("array<string>")).alias("shard_words"))
 
 
 @query
@@ -95,7 +97,7 @@ def op8_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), F.sha2(F.concat_ws(" ", F.col("end_bytes").cast("array<string>")), 256).alias("spans_sha256"),
     )
 
 

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from furrow.llm import mixing
 from furrow.llm.queries import QUERIES
@@ -34,10 +35,13 @@ def test_tree_keeps_quotas():
     assert (big.sum(axis=0) == [5 * 10**9, 3 * 10**9]).all() and (big >= 0).all()
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 12, 97, 360])
-def test_permutation(n):
-    a, b = mixing.permutation(n, np.random.default_rng(n))
-    assert sorted((a * k + b) % n for k in range(n)) == list(range(n))
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 12, 97, 360, 1000])
+def test_permutation(spark, n):
+    keys = F.array(*[F.lit(int(k)) for k in np.random.default_rng(n).integers(0, n, mixing.ROUNDS)]).cast("array<long>")
+    got = [r.p for r in spark.range(n).orderBy("id").select(mixing.permuted(F.col("id"), keys, F.lit(n).cast("long")).alias("p")).collect()]
+    assert sorted(got) == list(range(n))
+    if n > 300:  # no stride: neighbours lie at many different distances
+        assert len({(b - a) % n for a, b in zip(got, got[1:])}) > n / 3
 
 
 @pytest.mark.parametrize("which", ["odd", "small"])
@@ -71,5 +75,48 @@ def test_reruns_agree(spark, small, none):
     one = QUERIES["op2_mix_sources"](spark, small)
     assert sorted(one.collect()) == sorted(QUERIES["op2_mix_sources"](spark, small).collect())
     assert mixing.mix(none).count() == 0
-    mixed = mixing.mix(table(spark, small, "documents"))
-    assert sum(r.end_word - r.first_word for r in mixing.drawn_rows(mixed).collect()) == sum(r.taken for r in one.collect())
+
+
+def all_to_the_first(quotas, shards, rng):
+    out = np.zeros((shards, len(quotas)), np.int64)
+    out[0] = quotas
+    return out
+
+
+def half_lost(quotas, shards, rng):
+    return split_tree(quotas, shards, rng) // 2
+
+
+split_tree = mixing.split_tree
+
+
+@pytest.mark.parametrize("damaged,taken_changes", [(all_to_the_first, False), (half_lost, True)])
+def test_a_damaged_tree_changes_the_query(spark, small, monkeypatch, damaged, taken_changes):
+    get = lambda: sorted(map(tuple, QUERIES["op2_mix_sources"](spark, small).collect()))
+    whole = get()
+    monkeypatch.setattr(mixing, "split_tree", damaged)
+    broken = get()
+    assert whole != broken and (sum(r[4] for r in whole) != sum(r[4] for r in broken)) == taken_changes
+
+
+def test_shards_hold_what_the_tree_gives_them(spark, small):
+    docs = table(spark, small, "documents")
+    rows = QUERIES["op2_mix_sources"](spark, small).collect()
+    shards = np.array([[int(x) for x in r.shard_words.split(",")] for r in rows])
+    assert shards.sum(axis=1).tolist() == [r.taken for r in rows] and shards.sum(axis=0).max() < 1.1 * shards.sum(axis=0).min()
+    out = mixing.drawn_texts(docs, shards=3)
+    parts = out.rdd.glom().collect()
+    assert len([p for p in parts if p]) <= 3 and sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for p in parts for r in p) == shards.sum()
+    longest = max(parts, key=len)
+    assert len({r.source for r in longest[:40]}) > 3 and [r.doc_id for r in longest] != sorted(r.doc_id for r in longest)
+
+
+def test_any_column_names(spark):
+    names = ["doc_id", "text", "source", "draws", "quota", "blocks", "keys", "size", "target", "place", "shard", "slot", "name", "none", "c0"]
+    rows = [(k, "w " * (k % 7), "ab"[k % 2], *["x"] * (len(names) - 3)) for k in range(30)] + [(None, "a b", None, *["x"] * (len(names) - 3))] * 2
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    assert mixing.mix(docs).count() == 32
+    out = mixing.drawn_texts(docs)
+    assert out.columns == names and {tuple(r)[3:] for r in out.collect()} == {("x",) * (len(names) - 3)}
+    none = docs.limit(0)
+    assert mixing.drawn_texts(none).count() == 0 and mixing.mix(none).count() == 0
