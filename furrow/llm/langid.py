@@ -24,14 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.batches import map_slices
+from furrow.llm.batches import decide, map_texts
 
 UNDETERMINED = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 GRAMS, BITS, PER_LANGUAGE, LEXICON = 4, 16, 200, 20_000
 SEGMENT = 64
 #: Characters labelled at a time: a word's features take some hundred bytes each, so this bounds a task's memory.
-SLICE_CHARS = 700_000
+SLICE_CHARS = 400_000
 
 
 class Features:
@@ -261,28 +261,22 @@ def train(docs: DataFrame, use: Column, id: str = "doc_id", text: str = "text",
 def identify(docs: DataFrame, model: Model | None, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, lang_pred, score) for each row."""
 
-    def make():
-        def f(pdf: pd.DataFrame) -> pd.DataFrame:
-            texts = [t if isinstance(t, str) else None for t in pdf[text]]
-            names, scores = model.predict(texts) if model else ([UNDETERMINED] * len(texts), [0.0] * len(texts))
-            return pd.DataFrame({id: pdf[id], "lang_pred": names, "score": scores})
-
-        return f
+    def label(texts: list[str | None]) -> list:
+        return list(model.predict(texts)) if model else [[UNDETERMINED] * len(texts), [0.0] * len(texts)]
 
-    return map_slices(docs.select(id, text), text, f"`{id}` {docs.schema[id].dataType.simpleString()}, lang_pred string, score double", make, SLICE_CHARS)
+    return map_texts(docs.select(id, text), text, "lang_pred string, score double", lambda: label, SLICE_CHARS)
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, whose main language holds at least ``least`` of the words' marginals."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    if not model:
+        return docs.limit(0)
 
     def make():
-        def f(pdf: pd.DataFrame) -> pd.DataFrame:
-            if not model:
-                return pdf.iloc[:0]
-            names, scores = model.predict([t if isinstance(t, str) else None for t in pdf[text]])
-            return pdf[[n != UNDETERMINED and s >= least for n, s in zip(names, scores)]]
+        def known(texts: list[str | None]) -> np.ndarray:
+            names, scores = model.predict(texts)
+            return np.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores)], bool)
 
-        return f
+        return known
 
-    return map_slices(docs, text, schema, make, SLICE_CHARS)
+    return docs.filter(decide(docs.sparkSession, make, SLICE_CHARS)(F.col(text)))

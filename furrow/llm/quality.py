@@ -7,7 +7,8 @@ scored by the sums of the other folds, and isotonic regression over a fixed numb
 
 Defined results: a null text counts as empty and is scored like any other; labelled rows whose label is null, and labels without a document, are
 passed over; a document labelled twice counts twice; without any usable label every score is 0.5, with one class only that class's share; repeated
-rows each keep their row; an empty table gives an empty result.
+rows each keep their row; an empty table gives an empty result; other columns of the input are ignored, or returned unchanged by ``keep_good``.
+Labels beyond ``TRAINING_ROWS`` are drawn by a hash of their ids, the same at every run.
 """
 
 from __future__ import annotations
@@ -19,13 +20,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.batches import map_slices
-from furrow.session import stored
+from furrow.llm.batches import decide, map_texts
+from furrow.session import drop_stored, stored
 
 STATISTICS = (
     "log_bytes", "word_bytes", "upper", "digits", "blanks", "lines", "exclaim", "bars", "marks", "stops", "beyond_ascii", "distinct_words", "top_word", "distinct_lines", "marked_words", "entropy", "capital_words", "word_spread",
 )
-FOLDS, PARTIALS, BINS = 4, 8, 2_000
+FOLDS, BINS = 4, 2_000
+#: Tasks that sum normal equations (the training rows are bounded), and tasks that add up their sums.
+TASKS, ADDERS = 64, 8
+#: Labelled rows that the model is fitted on; of more labels about so many are drawn by a hash. Also bounds what is sent to all tasks.
+TRAINING_ROWS = 200_000
 _SIGNS = np.arange(256)
 _IS = {
     "upper": (_SIGNS >= 65) & (_SIGNS <= 90), "letter": ((_SIGNS | 32) >= 97) & ((_SIGNS | 32) <= 122) & (_SIGNS < 128) | (_SIGNS >= 128), "digits": (_SIGNS >= 48) & (_SIGNS <= 57),
@@ -61,13 +66,7 @@ def statistics(text: str | None) -> np.ndarray:
 def document_statistics(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, x): the statistics of each row's whole text."""
 
-    def make():
-        def f(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({id: pdf[id], "x": [statistics(t if isinstance(t, str) else None) for t in pdf[text]]})
-
-        return f
-
-    return map_slices(docs.select(id, text), text, f"`{id}` {docs.schema[id].dataType.simpleString()}, x array<double>", make)
+    return map_texts(docs.select(id, text), text, "x array<double>", lambda: lambda texts: [[statistics(t) for t in texts]])
 
 
 @dataclass(frozen=True)
@@ -125,14 +124,14 @@ def _sum_rows(frame: DataFrame, size: int) -> np.ndarray:
         yield pd.DataFrame({"fold": range(FOLDS), "part": [t.tobytes() for t in total]})
 
     out = np.zeros((FOLDS, size))
-    for row in frame.repartition(PARTIALS).mapInPandas(run, "fold int, part binary").collect():
+    for row in frame.repartition(ADDERS).mapInPandas(run, "fold int, part binary").collect():
         out[row.fold] += np.frombuffer(row.part)
     return out
 
 
 def fit(training: DataFrame, features: int = 200, width: float = 4.0, ridge: float = 1e-3, seed: int = 11) -> Model:
     """Fit on rows (fold, x, y) with y 0 or 1. ``width``: the kernel's, in standard deviations of the statistics."""
-    d = len(STATISTICS)
+    d, training = len(STATISTICS), training.coalesce(TASKS)
     moments = training.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
     if not moments:
         return Model(fourier(np.zeros(d), np.ones(d), 1, width, seed), np.zeros(2), np.array([0.0]), np.array([0.5]))
@@ -168,16 +167,24 @@ def fit(training: DataFrame, features: int = 200, width: float = 4.0, ridge: flo
     return Model(transform, solve(total.sum(axis=0)), raw, probability)
 
 
-def training_rows(stats: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", id: str = "doc_id") -> DataFrame:
-    """(fold, x, y): statistics of the labelled rows that aren't held out. ``held_out``: over the id column."""
-    chosen = labels.filter(F.col(label).isin(0, 1) & ~F.coalesce(held_out, F.lit(True))).select(id, F.col(label).cast("double").alias("y"))
+def training_ids(labels: DataFrame, held_out: Column, label: str = "quality", id: str = "doc_id", most: int = TRAINING_ROWS) -> DataFrame:
+    """(id, y): usable labels of rows that aren't held out; of more than ``most`` about that many, those with the smallest hashes."""
+    rows = labels.filter(F.col(id).isNotNull() & F.col(label).isin(0, 1) & ~F.coalesce(held_out, F.lit(True))).select(id, F.col(label).cast("double").alias("y"))
+    n = rows.count()
+    return rows if n <= most else rows.filter(F.pmod(F.xxhash64(F.lit(29), id), F.lit(1 << 40)) < int(most / n * (1 << 40)))
+
+
+def training_rows(stats: DataFrame, chosen: DataFrame, id: str = "doc_id") -> DataFrame:
+    """(fold, x, y): statistics of the labelled rows ``chosen(id, y)``."""
     return stats.join(chosen, id).select(F.pmod(F.xxhash64(id), F.lit(FOLDS)).cast("int").alias("fold"), "x", "y")
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id: str = "doc_id", text: str = "text", label: str = "quality", most: int = TRAINING_ROWS) -> DataFrame:
     """(id, score, predicted) for each row of ``docs``, learned from the labels of rows that aren't ``held_out``."""
     stats = stored(document_statistics(docs, id, text), "statistics")
-    model = fit(stored(training_rows(stats, labels, held_out, label, id), "training"))
+    training = stored(training_rows(stats, training_ids(labels, held_out, label, id, most), id), "training")
+    model = fit(training)
+    drop_stored(training)
 
     def score(batches):
         for pdf in batches:
@@ -187,17 +194,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id: str
     return stats.mapInPandas(score, f"`{id}` {docs.schema[id].dataType.simpleString()}, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, unchanged. Texts are scored where they stand: no shuffle moves them."""
-    stats = stored(document_statistics(docs, id, text), "statistics")
-    model = fit(stored(training_rows(stats, labels, held_out, label, id), "training"))
-
-    def make():
-        def accepted(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack([statistics(t if isinstance(t, str) else None) for t in pdf[text]])
-            return pdf[model.score(x) >= 0.5]
-
-        return accepted
+def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, id: str = "doc_id", text: str = "text", label: str = "quality", most: int = TRAINING_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, unchanged.
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_slices(docs, text, schema, make)
+    Statistics for training are made of labelled texts only: their ids, about ``most`` at the most, are sent to the texts. All texts are then scored where
+    they stand, and only the decisions come back from Python.
+    """
+    chosen = stored(training_ids(labels, held_out, label, id, most), "labelled")
+    labelled = docs.select(id, text).join(F.broadcast(chosen.select(id).distinct()), id, "left_semi")
+    training = stored(training_rows(document_statistics(labelled, id, text), chosen, id), "training")
+    model = fit(training)
+    drop_stored(training)
+    good = decide(docs.sparkSession, lambda: lambda texts: model.score(np.stack([statistics(t) for t in texts])) >= 0.5)
+    return docs.filter(good(F.col(text)))

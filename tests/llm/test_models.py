@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -123,6 +124,69 @@ def test_quality_of_held_out_documents(spark):
     assert len(got) > 100 and np.mean([r.quality == r.predicted for r in got]) > 0.96 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_quality_query_against_a_plain_fit(spark, small):
+    """All rows in one matrix: moments, folds, ridge, and pooling of neighbours until shares rise."""
+    texts = {r.doc_id: r.text for r in table(spark, small, "documents").select("doc_id", "text").collect()}
+    fold = {r.doc_id: r.f for r in table(spark, small, "documents").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)).alias("f")).collect()}
+    labels = [(r.doc_id, r.quality) for r in table(spark, small, "labels").collect() if r.quality in (0, 1) and r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    x, y, f = np.array([quality.statistics(texts[i]) for i, _ in labels]), np.array([q for _, q in labels], float), np.array([fold[i] for i, _ in labels])
+    z = quality.fourier(x.mean(axis=0), x.std(axis=0), 200, 4.0, 11)
+    m = z(x)
+    penalty = lambda n: np.diag([1e-3 * n / 200] * 200 + [1e-9])
+    solve = lambda rows: np.linalg.solve(m[rows].T @ m[rows] + penalty(rows.sum()), m[rows].T @ y[rows])
+    raw = np.zeros(len(y))
+    for k in range(quality.FOLDS):
+        raw[f == k] = m[f == k] @ solve(f != k)
+    bins = np.minimum(((np.clip(raw, -1, 2) + 1) / 3 * quality.BINS).astype(int), quality.BINS - 1)
+    pools = [[(b + 0.5) / quality.BINS * 3 - 1, float((bins == b).sum()), y[bins == b].sum()] for b in sorted(set(bins.tolist()))]
+    while bad := [k for k in range(len(pools) - 1) if pools[k][2] / pools[k][1] >= pools[k + 1][2] / pools[k + 1][1]]:
+        (ra, na, pa), (rb, nb, pb) = pools[bad[0] : bad[0] + 2]
+        pools[bad[0] : bad[0] + 2] = [[(ra * na + rb * nb) / (na + nb), na + nb, pa + pb]]
+    weights = solve(np.ones(len(y), bool))
+    for r in QUERIES["op3_quality"](spark, small).collect():
+        own = float(np.clip((z(quality.statistics(texts[r.doc_id])[None]) @ weights)[0], -1, 2))
+        want = 0.999 * np.interp(own, [p[0] for p in pools], [p[2] / p[1] for p in pools]) + 0.001 * min(max(own, 0), 1)
+        assert r.score == pytest.approx(want, abs=1e-5) and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_language_query_against_a_plain_pass(spark, small):
+    """The sample drawn row by row, and every text walked word by word with the whole chain in double precision."""
+    rows = table(spark, small, "documents").select("doc_id", "text", "lang", F.xxhash64(F.lit(17), "doc_id").alias("h")).collect()
+    held_out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    sample = []
+    for la in sorted({r.lang for r in rows if r.lang}):
+        own = sorted((r.h, r.text) for r in rows if r.lang == la and r.text is not None and not held_out(r.doc_id))
+        sample += [(t, la) for _, t in own[: langid.PER_LANGUAGE]]
+    model = langid.fit(sample)
+    move = np.exp(model.transitions - model.transitions.max())
+    got = {r.doc_id: r for r in QUERIES["op1_language_id"](spark, small).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        words = langid.WORDS.findall((r.text or "").lower())
+        if not words:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        psi = np.exp([langid.Features([w], model.lexicon).emissions(model.weights)[0] for w in words])
+        n = len(model.languages)
+        alpha, beta = [np.full(n, 1 / n)], [np.ones(n)]
+        for p in psi:
+            a = alpha[-1] @ move * p
+            alpha.append(a / a.sum())
+        for p in psi[:0:-1]:
+            b = move @ (p * beta[-1])
+            beta.append(b / b.sum())
+        marginal = np.array(alpha[1:]) * np.array(beta[::-1])
+        mean = (marginal / marginal.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert got[r.doc_id].lang_pred == model.languages[mean.argmax()] and got[r.doc_id].score == pytest.approx(mean.max(), abs=1e-5) and got[r.doc_id].held_out == held_out(r.doc_id)
+
+
+def test_bounded_training_sample(spark):
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    few = quality.training_ids(labels, F.lit(False), most=1000)
+    assert 800 < few.count() < 1200 and few.exceptAll(quality.training_ids(labels, F.lit(False), most=1000)).count() == 0
+    assert quality.training_ids(labels, F.col("doc_id") < 10).count() == 19_990
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (5, None), (8, 0), (99, 1), (None, 1), (4, 1)], "doc_id long, quality int")
     assert odd.count() == quality.score_quality(odd, labels, F.lit(False)).count() == 12
