@@ -203,13 +203,9 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 
 def taken_by_shard(draws, shards: int = 16):
     """Words that each shard takes of a document, repeats counted: an array with a place for each shard."""
-    own = lambda k: F.aggregate(F.filter(draws, lambda d: d["shard"] == k), F.lit(0).cast("long"), lambda n, d: n + d["end_word"] - d["first_word"])
-    return F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), own)
-
-
-def taken(draws):
-    """Words of a document that its draws take, repeats counted."""
-    return F.aggregate(draws, F.lit(0).cast("long"), lambda n, d: n + d["end_word"] - d["first_word"])
+    own = lambda all_, k: F.aggregate(F.filter(all_, lambda d: d["shard"] == k), F.lit(0).cast("long"), lambda n, d: n + d["end_word"] - d["first_word"])
+    # An array of one makes the draws a variable: as an expression they would be drawn anew for each shard.
+    return F.transform(F.array(draws), lambda all_: F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda k: own(all_, k)))[0]
 
 
 _BLANK = np.isin(np.arange(256), (32, 9, 10, 11, 12, 13))
