@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.llm.conversations import damage, repair
 from furrow.llm.embeddings import near_duplicate_vectors
 from furrow.llm.langid import identify, train
 from furrow.llm.licenses import BASE, TEMPLATES, scan_licenses, template_regex
@@ -15,6 +16,7 @@ from furrow.llm.media import media_columns, pack_texts
 from furrow.llm.mixing import mix, taken_by_shard
 from furrow.llm.pieces import encode_texts
 from furrow.llm.quality import score_quality
+from furrow.llm.resample import resample
 from furrow.llm.simhash import hex_fingerprint, near_duplicates
 from furrow.llm.tokencount import token_counts
 from furrow.session import table
@@ -156,3 +158,32 @@ FROM t LEFT JOIN b USING (n) LEFT JOIN f USING (n) LEFT JOIN a USING (n)"""
 
 
 ORACLE_SQL["op4_license_templates"] = _licenses_sql()
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# DuckDB has no crc32: its table of 256 entries follows from the polynomial, and each distinct word is digested byte by byte.
+ORACLE_SQL["op11_importance_resampling"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT r, x, count(*) AS k FROM (SELECT r, unnest(w) AS x FROM d) GROUP BY r, x), ew AS (SELECT x, count(*) AS k FROM (SELECT unnest(w) AS x FROM e) GROUP BY x),
+v AS (SELECT DISTINCT x FROM dw UNION SELECT x FROM ew),
+h AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS f),
+y AS (SELECT x, list_transform(range(1, CAST(len(hex(encode(x))) AS BIGINT), 2), lambda i: CAST('0x' || substr(hex(encode(x)), i, 2) AS BIGINT)) AS b FROM v),
+c AS (SELECT x, xor(list_reduce(list_prepend(4294967295, b), lambda a, z: xor(a // 256, f[xor(a, z) % 256 + 1])), 4294967295) % 10000 AS bucket FROM y, h),
+s AS (SELECT bucket, sum(k) AS s FROM dw JOIN c USING (x) GROUP BY bucket), t AS (SELECT bucket, sum(k) AS t FROM ew JOIN c USING (x) GROUP BY bucket),
+n AS (SELECT coalesce((SELECT sum(s) FROM s), 0) + 10000 AS ns, coalesce((SELECT sum(t) FROM t), 0) + 10000 AS nt),
+g AS (SELECT s.bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * CAST(ns AS DOUBLE) / ((CAST(s AS DOUBLE) + 1) * CAST(nt AS DOUBLE)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), n),
+m AS (SELECT r, CAST(floor(sum(k * gain) / sum(k)) AS BIGINT) AS weight FROM dw JOIN c USING (x) JOIN g USING (bucket) GROUP BY r),
+z AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN m USING (r)),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM z LEFT JOIN o USING (r)"""
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damage(table(spark, sf_dir, "conversations")), F.col("there"))

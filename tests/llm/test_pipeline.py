@@ -39,7 +39,7 @@ def test_stages(spark, small, states):
     assert rows(known) == rows(good.join(found.filter("lang_pred <> 'und' AND score >= 0.3"), "doc_id", "left_semi"))
     texts = [(r.doc_id, r.text) for r in known.collect()]
     assert sorted(r.doc_id for r in single.collect()) == sorted({c for _, c in brute(texts)}) and single.exceptAll(known).count() == 0
-    taken = {r.doc_id: r.taken for r in mixing.mix(single, block=P.MIX_BLOCK).select("doc_id", mixing.taken(F.col("draws")).alias("taken")).collect()}
+    taken = {r.doc_id: sum(r.taken) for r in mixing.mix(single, block=P.MIX_BLOCK).select("doc_id", mixing.taken_by_shard(F.col("draws")).alias("taken")).collect()}
     words: dict = {}
     source = {r.doc_id: r.text for r in single.collect()}
     for r in mixed.collect():
