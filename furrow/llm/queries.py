@@ -16,6 +16,7 @@ from furrow.llm.media import media_columns, pack_texts
 from furrow.llm.mixing import mix, taken_by_shard
 from furrow.llm.pieces import encode_texts
 from furrow.llm.quality import score_quality
+from furrow.llm.repeats import remove_repeats
 from furrow.llm.resample import resample
 from furrow.llm.simhash import hex_fingerprint, near_duplicates
 from furrow.llm.tokencount import token_counts
@@ -187,3 +188,24 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN r
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations")), F.col("there"))
+
+
+@query
+def op13_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op13_repeated_strings"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, doc_id, i, substr(x, 2 * i + 1, 200) AS s FROM (SELECT r, doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS i FROM d)),
+f AS (SELECT s, min(coalesce(doc_id, 9223372036854775807)) AS id FROM w GROUP BY s),
+k AS (SELECT s, id, min(i) AS i FROM w JOIN f USING (s) WHERE coalesce(doc_id, 9223372036854775807) = id GROUP BY s, id),
+m AS (SELECT w.r, w.i FROM w JOIN k USING (s) WHERE (coalesce(w.doc_id, 9223372036854775807), w.i) > (k.id, k.i)),
+g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM m),
+n AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS n FROM g),
+b AS (SELECT r, min(i) AS a, max(i) + 100 AS b FROM n GROUP BY r, n),
+l AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM b),
+q AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head FROM l JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head || substr(x, 2 * last + 1), x))) AS kept_sha256 FROM d LEFT JOIN q USING (r)"""
