@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furrow.session import stored
 
@@ -170,32 +173,77 @@ def fill_focal(df: DataFrame, target: DataFrame, value: str, windows: list[int],
     return out
 
 
-def fill_nearest(df: DataFrame, target: DataFrame, value: str, bucket: int = 16) -> DataFrame:
+def _nearest_in_row(sites: tuple[np.ndarray, np.ndarray], row: int, wanted: np.ndarray) -> np.ndarray:
+    """For each column of ``wanted`` (ascending) the number of its nearest site; ``sites``: (rows, columns) with columns ascending, one site for each column. Ties to the lowest row, then column.
+
+    Least values of a family of parabolas: the best site moves right as the target does, so the targets in the middle part the sites for those on both sides, all of one depth at once.
+    """
+    rows, columns = sites
+    # Scaled so that whole numbers order by distance, then row; of equals the first, which has the lowest column, is taken.
+    scale = int(rows.max() - rows.min()) + 1
+    height = (rows - row) ** 2 * scale + (rows - rows.min())
+    best = np.zeros(len(wanted), np.int64)
+    parts = np.array([[0, len(wanted), 0, len(rows) - 1]])  # first target, end, first site, last site
+    while len(parts):
+        first, end, low, high = parts.T
+        middle = (first + end) // 2
+        n = high - low + 1
+        starts = np.cumsum(n) - n
+        site = np.arange(n.sum()) - np.repeat(starts - low, n)
+        cost = height[site] + (columns[site] - np.repeat(wanted[middle], n)) ** 2 * scale
+        least = np.minimum.reduceat(cost, starts)
+        hits = np.flatnonzero(cost == np.repeat(least, n))
+        found = site[hits[np.searchsorted(hits, starts)]]
+        best[middle] = found
+        parts = np.concatenate([np.stack([first, middle, low, found], 1), np.stack([middle + 1, end, found, high], 1)])
+        parts = parts[parts[:, 0] < parts[:, 1]]
+    return best
+
+
+def fill_nearest(df: DataFrame, target: DataFrame, value: str) -> DataFrame:
     """``target`` cells take the value of the nearest cell that has one, however far, ties to the lowest row, then column.
 
-    Cells meet in their own and adjoining buckets of the grid; a find counts once no cell outside them can be nearer. The buckets double for
-    those not yet served. After the first round cells between four others that have values are left out: one of the four is always nearer.
+    An exact distance transform in two steps. Targets with a value of their own are served by a join. For the others only cells with a neighbour missing count, as behind any other there is a nearer one.
+    Along its column such a cell is the nearest for an interval of rows, half way to the next ones; in a row of targets each column so has one candidate, and the lower envelope of their
+    parabolas gives all targets of the row theirs. A row is one task's group, as long as the grid is wide; rows without targets are left out. Work grows with columns times rows of
+    targets, not with the distance.
+
+    Defined results: targets without row or column, and all targets where no cell has a value, get null; of several values of one cell the smallest counts; repeated targets return as often; an empty table of targets gives an
+    empty result; other columns don't come back.
     """
-    valid = stored(df.filter(F.col(value).isNotNull()).select(F.col("row_no").alias("v_row"), F.col("col_no").alias("v_col"), F.col(value).alias("v")).filter("v_row IS NOT NULL AND v_col IS NOT NULL"))
-    todo, nothing = target.select("row_no", "col_no"), F.lit(None).cast(df.schema[value].dataType).alias(value)
-    if valid.isEmpty():
-        return todo.withColumn(value, nothing)
-    done = todo.filter("row_no IS NULL OR col_no IS NULL").select("row_no", "col_no", nothing)
-    todo, first = stored(todo.filter("row_no IS NOT NULL AND col_no IS NOT NULL")), True
-    around = F.sequence(F.lit(-1), F.lit(1))
-    while not todo.isEmpty():
-        held = valid.withColumn("by", F.floor(F.col("v_row") / bucket)).withColumn("bx", F.floor(F.col("v_col") / bucket))
-        near = todo.withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around)).withColumn("by", F.floor(F.col("row_no") / bucket) + F.col("dy")).withColumn("bx", F.floor(F.col("col_no") / bucket) + F.col("dx"))
-        d2 = (F.col("v_row") - F.col("row_no")) ** 2 + (F.col("v_col") - F.col("col_no")) ** 2
-        best = near.join(held, ["by", "bx"]).groupBy("row_no", "col_no").agg(F.min(F.struct(d2.alias("d2"), "v_row", "v_col", "v")).alias("b"))
-        sure = stored(best.filter(F.col("b.d2") <= bucket**2).select("row_no", "col_no", F.col("b.v").alias(value)))
-        done, todo = done.unionByName(sure), stored(todo.join(sure, ["row_no", "col_no"], "left_anti"))
-        if first and not todo.isEmpty():
-            sides = F.explode(F.array(*[F.struct((F.col("v_row") + y).alias("v_row"), (F.col("v_col") + x).alias("v_col")) for y, x in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
-            inner = valid.select("v_row", "v_col").distinct().select(sides.alias("s")).groupBy("s.v_row", "s.v_col").count().filter("count = 4")
-            valid, first = stored(valid.join(inner, ["v_row", "v_col"], "left_anti")), False
-        bucket *= 2
-    return done
+    place = ["row_no", "col_no"]
+    kind = df.schema[value].dataType
+    # The caller's value may have any name: it is v from here on.
+    valid = df.filter(F.col(value).isNotNull() & F.col("row_no").isNotNull() & F.col("col_no").isNotNull()).select(*[F.col(c).cast("long").alias(c) for c in place], F.col(value).alias("v"))
+    valid = stored(valid.groupBy(*place).agg(F.min("v").alias("v")), "valid")
+    met = stored(target.select(*[F.col(c).cast("long").alias(c) for c in place]).join(valid, place, "left"), "met")
+    open_ = met.filter("v IS NULL AND row_no IS NOT NULL AND col_no IS NOT NULL").select(*place)
+    span = open_.agg(F.min("row_no"), F.max("row_no")).first()
+    served = met.filter("v IS NOT NULL OR row_no IS NULL OR col_no IS NULL").select(*place, "v")
+    if span[0] is None or valid.isEmpty():
+        return met.select(*place, F.col("v").alias(value))
+    sides = F.explode(F.array(*[F.struct((F.col("row_no") + y).alias("row_no"), (F.col("col_no") + x).alias("col_no")) for y, x in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
+    inner = valid.select(sides.alias("s")).groupBy("s.row_no", "s.col_no").count().filter("count = 4").select(*place)
+    edge = valid.join(inner, place, "left_anti")
+    column = Window.partitionBy("col_no").orderBy("row_no")
+    # Half way between two rows the upper one counts.
+    low, high = F.floor((F.lag("row_no").over(column) + F.col("row_no")) / 2) + 1, F.floor((F.col("row_no") + F.lead("row_no").over(column)) / 2)
+    reach = edge.withColumn("low", F.greatest(F.coalesce(low, F.lit(span[0])), F.lit(span[0]))).withColumn("high", F.least(F.coalesce(high, F.lit(span[1])), F.lit(span[1]))).filter("low <= high")
+    rows = open_.select(F.col("row_no").alias("at")).distinct()
+    sites = reach.select(F.explode(F.sequence("low", "high")).alias("at"), *place, "v").join(rows, "at", "left_semi")
+    both = sites.withColumn("open", F.lit(False)).unionByName(open_.select(F.col("row_no").alias("at"), *place, F.lit(None).cast(kind).alias("v"), F.lit(True).alias("open")))
+
+    def run(table: pa.Table) -> pa.Table:
+        row, columns, is_open = (table[c].to_numpy() for c in ("row_no", "col_no", "open"))
+        is_open = is_open.astype(bool)
+        at = int(table["at"][0].as_py())
+        held, wanted = np.flatnonzero(~is_open), np.flatnonzero(is_open)
+        held, wanted = held[np.argsort(columns[held], kind="stable")], wanted[np.argsort(columns[wanted], kind="stable")]
+        best = held[_nearest_in_row((row[held], columns[held]), at, columns[wanted])]
+        return pa.table([pa.array(row[wanted]), pa.array(columns[wanted]), table["v"].take(pa.array(best))], [*place, "v"])
+
+    found = both.groupBy("at").applyInArrow(run, T.StructType([T.StructField(c, T.LongType()) for c in place] + [T.StructField("v", kind)]))
+    return served.unionByName(found).select(*place, F.col("v").alias(value))
 
 
 def fill_default(value, default: float, where):
@@ -233,6 +281,34 @@ def dissolve(parts: DataFrame, key: str, attributes: list[str], order: str = "pa
     return parts.groupBy(key).agg(*[F.min_by(a, order).alias(a) for a in attributes], F.count("*").alias("n_parts"))
 
 
+def dissolve_outline(edges: DataFrame, key: str = "country_code") -> DataFrame:
+    """(key, x1, y1, x2, y2): the outline of all parts of a key together, from the edges of its parts in any direction.
+
+    Edges that two parts share are inside the whole and cancel out. Edges are taken by the line on which they lie (upright, level or, for slanted ones, the edge itself), cut at every end
+    that lies there, and a piece stays if an odd number of edges covers it; pieces that touch and lie between the same two changes come back as one. So a long edge of one part goes
+    against several short ones of its neighbours. Slanted edges cancel only where both ends are equal, as their lines can't be told apart exactly in floating point.
+
+    Defined results: parts must not overlap in area (a place that two parts cover counts as outside, by the same rule of odd numbers as in G20); edges of no length or with a null coordinate are dropped; a
+    null key is a key; an edge that stands there twice cancels itself; pieces have x1 < x2, or x1 = x2 and y1 < y2; an empty table gives an empty result; other columns don't come back.
+    """
+    ends = ("x1", "y1", "x2", "y2")
+    whole = edges.select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(c) for c in ends]).filter(" AND ".join(f"{c} IS NOT NULL" for c in ends)).filter("x1 <> x2 OR y1 <> y2")
+    turned = (F.col("x1") > F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") > F.col("y2")))
+    swapped = {"x1": "x2", "y1": "y2", "x2": "x1", "y2": "y1"}
+    plain = whole.select("k", *[F.when(turned, F.col(swapped[c])).otherwise(F.col(c)).alias(c) for c in ends])
+    # Equal edges first: a group-by that combines before its shuffle leaves the odd ones.
+    odd = plain.groupBy("k", *ends).agg(F.count("*").alias("n")).filter("n % 2 = 1").drop("n")
+    slanted = odd.filter("x1 <> x2 AND y1 <> y2")
+    upright = F.col("x1") == F.col("x2")
+    on_line = odd.filter("x1 = x2 OR y1 = y2").select("k", upright.alias("upright"), F.when(upright, F.col("x1")).otherwise(F.col("y1")).alias("line"), F.when(upright, F.col("y1")).otherwise(F.col("x1")).alias("a"), F.when(upright, F.col("y2")).otherwise(F.col("x2")).alias("b"))
+    # Each end changes whether what follows is covered by an odd number; ends that meet in even number change nothing.
+    changes = on_line.select("k", "upright", "line", F.explode(F.array("a", "b")).alias("at")).groupBy("k", "upright", "line", "at").agg(F.count("*").alias("n")).filter("n % 2 = 1")
+    along = Window.partitionBy("k", "upright", "line").orderBy("at")
+    pieces = changes.withColumn("place", F.row_number().over(along)).withColumn("to", F.lead("at").over(along)).filter("place % 2 = 1")
+    straight = pieces.select("k", F.when(F.col("upright"), F.col("line")).otherwise(F.col("at")).alias("x1"), F.when(F.col("upright"), F.col("at")).otherwise(F.col("line")).alias("y1"), F.when(F.col("upright"), F.col("line")).otherwise(F.col("to")).alias("x2"), F.when(F.col("upright"), F.col("to")).otherwise(F.col("line")).alias("y2"))
+    return straight.unionByName(slanted).select(F.col("k").alias(key), *ends)
+
+
 def assign_codes(df: DataFrame, name: str = "iso3") -> DataFrame:
     """(name, code): 1..n in alphabetical order; null and -99 have none."""
     distinct = df.filter(F.col(name).isNotNull() & (F.col(name) != "-99")).select(name).distinct()

@@ -77,6 +77,18 @@ def logit_sensitivity(scored: DataFrame) -> DataFrame:
     return scored.select("*", F.explode(scores).alias("s")).select(*scored.columns, "s.scenario", "s.score")
 
 
+def sensitivity_correlations(scored: DataFrame, by: str | None = None) -> DataFrame:
+    """T5: (scenario, by, rho): rank correlation of each scenario's scores with those of the base, over all cells or in each group of ``by``; T6 on all scenarios at once.
+
+    Scores count as equal up to twelve digits, so that sums in another order are ties. Cells without a score in either don't count; rho is null where a scenario has one score only. A null in ``by`` is a group; an empty table gives an empty result.
+    """
+    even = lambda s: F.round(logit_score(s), 12)
+    scores = [F.struct(F.lit(n).alias("scenario"), even(s).alias("score")) for n, s in sensitivity_scenarios()[1:]]
+    rows = scored.select((F.col(by) if by else F.lit(None)).alias("g"), even(SLOPES).alias("base"), F.explode(F.array(*scores)).alias("s")).select("g", "base", "s.scenario", "s.score")
+    out = spearman(rows, "base", "score", ["scenario", "g"] if by else ["scenario"])
+    return out.select("scenario", F.col("g").alias(by), "rho") if by else out.select("scenario", "rho")
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by, rho): rank correlation over complete rows, ties with their mean rank, inside each group; null where x or y is constant.
 

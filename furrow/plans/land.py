@@ -193,6 +193,23 @@ def t5_logit_sensitivity(spark, sf):
     return rows.groupBy("scenario").agg(F.avg("score").alias("mean_score"), F.min("score").alias("least_score"), F.max("score").alias("largest_score"))
 
 
+def _correlations_sql() -> str:
+    score = lambda k: f"round(1 / (1 + exp(-(({k['field']!r} * (field - 20)) + ({k['erosion']!r} * (12 - 12.0)) + ({k['aridity']!r} * (aridity - 0.65)) + ({k['crop_mix']!r} * (crop_mix - 0.5))))), 12)"
+    every = " UNION ALL ".join(f"SELECT '{n}' AS scenario, cell_id, {score(k)} AS score FROM base" for n, k in S.sensitivity_scenarios()[1:])
+    part = "PARTITION BY g, scenario"
+    ranks = ", ".join(f"rank() OVER ({part} ORDER BY {c}) + (count(*) OVER ({part}, {c}) - 1) / 2.0 AS {r}" for c, r in (("b", "rb"), ("score", "rs")))
+    return upto("scored", f"""SELECT scenario, g AS country_code, CASE WHEN min(rb) < max(rb) AND min(rs) < max(rs) THEN corr(rb, rs) END AS rho FROM (SELECT scenario, g, {ranks} FROM
+      (WITH base AS (SELECT cell_id, field, aridity, crop_mix, {score(S.SLOPES)} AS b, cc AS country_code FROM scored JOIN (SELECT cell_id, aridity, country_code AS cc FROM cells) AS y USING (cell_id) WHERE crop_mix IS NOT NULL), every AS ({every})
+      SELECT scenario, CAST(NULL AS BIGINT) AS g, b, score FROM base JOIN every USING (cell_id) UNION ALL SELECT scenario, country_code, b, score FROM base JOIN every USING (cell_id)) AS w) AS z GROUP BY scenario, g""", "rho")
+
+
+@plan(_correlations_sql())
+def t5_sensitivity_correlations(spark, sf):
+    """Each scenario against the base: over all cells (no country) and by country."""
+    cells = scored(spark, sf)[1].drop("score")
+    return S.sensitivity_correlations(cells).select("scenario", F.lit(None).cast("long").alias("country_code"), "rho").unionByName(S.sensitivity_correlations(cells, "country_code"))
+
+
 @plan(oracle("""SELECT country_code, corr(rx, ry) AS rho FROM (SELECT country_code, rank() OVER (PARTITION BY country_code ORDER BY depth) + (count(*) OVER (PARTITION BY country_code, depth) - 1) / 2.0 AS rx,
   rank() OVER (PARTITION BY country_code ORDER BY aridity) + (count(*) OVER (PARTITION BY country_code, aridity) - 1) / 2.0 AS ry FROM cells) AS z GROUP BY 1""", "cells", doubles="rho"))
 def t6_spearman(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from furrow.operators import applied as AP
 from furrow.operators import metrics as E
 from furrow.operators import models as L
 from furrow.operators import tillage as C
@@ -277,26 +278,30 @@ def x4_distinct_mapping(spark, sf):
 
 @plan(oracle("SELECT a.row_no, a.col_no, max(b.depth) - min(b.depth) AS relief FROM cells a JOIN cells b ON abs(b.row_no - a.row_no) <= 1 AND abs(b.col_no - a.col_no) <= 1 GROUP BY 1, 2", "cells"))
 def x5_window_function(spark, sf):
-    """A user's function over windows: tiles with their halo go to it as frames."""
+    """A user's function over windows: tiles with their halo go to it as arrays."""
     import numpy as np
-    import pandas as pd
 
-    side = 16
-    c = view(spark, sf, "cells").select("row_no", "col_no", "depth")
-    around = F.array(*[F.struct(F.floor((F.col("row_no") + dy) / side).alias("ty"), F.floor((F.col("col_no") + dx) / side).alias("tx")) for dy in (-1, 1) for dx in (-1, 1)])
-    dealt = c.select("*", F.explode(F.array_distinct(around)).alias("t")).select("row_no", "col_no", "depth", "t.ty", "t.tx")
+    relief = lambda w: np.nanmax(w, axis=(1, 2)) - np.nanmin(w, axis=(1, 2))
+    return AP.apply_windows(view(spark, sf, "cells"), "depth", 1, relief, "relief double", side=16)
 
-    def relief(frame: pd.DataFrame) -> pd.DataFrame:
-        ty, tx = int(frame["ty"].iat[0]), int(frame["tx"].iat[0])
-        grid = np.full((side + 2, side + 2), np.nan)
-        y, x = frame["row_no"].to_numpy() - ty * side + 1, frame["col_no"].to_numpy() - tx * side + 1
-        grid[y, x] = frame["depth"]
-        stack = np.stack([grid[dy : dy + side, dx : dx + side] for dy in range(3) for dx in range(3)])
-        ys, xs = np.nonzero(~np.isnan(grid[1:-1, 1:-1]))
-        near = stack[:, ys, xs]
-        return pd.DataFrame({"row_no": ys + ty * side, "col_no": xs + tx * side, "relief": np.nanmax(near, axis=0) - np.nanmin(near, axis=0)})
 
-    return dealt.groupBy("ty", "tx").applyInPandas(relief, "row_no long, col_no long, relief double")
+@plan(oracle("""SELECT a.row_no, a.col_no, CASE WHEN a.row_no BETWEEN 2 AND (SELECT max(row_no) - 2 FROM cells) AND a.col_no BETWEEN 2 AND 61 THEN median(b.depth) FILTER (WHERE b.depth < 25 AND b.depth <> 0) END AS middle
+  FROM cells a LEFT JOIN cells b ON abs(b.row_no - a.row_no) <= 2 AND abs(b.col_no - a.col_no) <= 2 WHERE a.depth >= 25 GROUP BY 1, 2""", "cells", doubles="middle"))
+def x5_window_median(spark, sf):
+    """The median of the values within two cells of those that have none; windows that leave the grid give null."""
+    import numpy as np
+
+    cells = view(spark, sf, "cells")
+    rows = cells.agg(F.max("row_no")).first()[0] + 1
+
+    def middle(w: np.ndarray) -> np.ndarray:
+        flat = np.where(w == 0, np.nan, w).reshape(len(w), -1)
+        out = np.full(len(w), np.nan)
+        some = ~np.isnan(flat).all(axis=1)
+        out[some] = np.nanmedian(flat[some], axis=1)
+        return out
+
+    return AP.apply_windows(cells.filter("depth < 25"), "depth", 2, middle, "middle double", cells.filter("depth >= 25"), (rows, 64), pad=False)
 
 
 @plan(upto("coded", "SELECT cell_id, count(DISTINCT code) AS n_codes, sum(code) AS code_sum FROM coded WHERE code IS NOT NULL GROUP BY 1").replace("sum(code) AS", "CAST(sum(code) AS BIGINT) AS"))
@@ -306,6 +311,31 @@ def x6_function_along_axis(spark, sf):
     return coded.groupBy("cell_id").agg(F.countDistinct("code").alias("n_codes"), F.sum("code").alias("code_sum"))
 
 
+_AXIS = """, axis AS (SELECT cell_id, crop, code, row_number() OVER (PARTITION BY cell_id ORDER BY crop) AS k FROM coded WHERE code IS NOT NULL),
+runs AS (SELECT cell_id, code, count(*) AS n FROM (SELECT cell_id, code, k - row_number() OVER (PARTITION BY cell_id, code ORDER BY k) AS g FROM axis) AS z GROUP BY cell_id, code, g),
+counts AS (SELECT cell_id, code, count(*) AS n FROM axis GROUP BY 1, 2)
+SELECT cell_id, CAST(min(code) FILTER (WHERE n = most) AS BIGINT) AS mode, max(longest) AS longest_run FROM (SELECT *, max(n) OVER (PARTITION BY cell_id) AS most FROM counts) AS c JOIN (SELECT cell_id, max(n) AS longest FROM runs GROUP BY 1) AS r USING (cell_id) GROUP BY cell_id"""
+
+
+@plan(upto("coded", _AXIS))
+def x6_apply_along(spark, sf):
+    """Functions of the caller along the crop axis: the most frequent code, the smallest of equals, and the longest run of one code, which no aggregate gives."""
+    import numpy as np
+
+    coded = classes(spark, sf).select("cell_id", "crop", C.category_code().alias("code")).filter("code IS NOT NULL")
+
+    def mode(codes: np.ndarray) -> int:
+        values, n = np.unique(codes, return_counts=True)
+        return int(values[n.argmax()])
+
+    def longest(codes: np.ndarray) -> int:
+        edges = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1], [True]]))
+        return int(np.diff(edges).max())
+
+    modes = AP.apply_along(coded, ["cell_id"], "crop", ["code"], mode, "mode long")
+    return modes.join(AP.apply_along(coded, ["cell_id"], "crop", ["code"], longest, "longest_run long"), "cell_id")
+
+
 @plan(oracle("SELECT event_id, least(greatest(ndvi, 0.01), 0.08) AS v FROM obs WHERE cloudy_pct < 50", "obs", doubles="v"))
 def x7_per_scene_map(spark, sf):
     clear = lambda df: df.filter("cloudy_pct < 50")

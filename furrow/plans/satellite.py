@@ -127,7 +127,7 @@ def g16_fill_focal(spark, sf):
   FROM (SELECT row_no, col_no FROM cells) AS a, (SELECT row_no, col_no, depth FROM cells WHERE depth > 45) AS b) AS z WHERE k = 1""", "cells"))
 def g17_fill_nearest(spark, sf):
     c = cells(spark, sf)
-    return G.fill_nearest(c.filter("depth > 45").select("row_no", "col_no", F.col("depth").alias("v")), c, "v", bucket=8)
+    return G.fill_nearest(c.filter("depth > 45").select("row_no", "col_no", F.col("depth").alias("v")), c, "v")
 
 
 @plan(oracle("SELECT cell_id, CASE WHEN depth > 10 THEN coalesce(CASE WHEN field > 2 THEN field END, 20) END AS field FROM cells", "cells"))
@@ -167,6 +167,25 @@ def g21_dissolve(spark, sf):
     return G.dissolve(table(spark, sf, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("part_id")), "region", ["name"])
 
 
+_OUTLINE = """, q AS (SELECT (row_no // 4 + col_no // 16) % 5 AS country, row_no AS r, col_no AS c FROM cells WHERE row_no % 2 = 0
+  UNION ALL SELECT (row_no // 4 + col_no // 16) % 5, row_no, col_no + d FROM cells, range(2) AS t(d) WHERE row_no % 2 = 1 AND col_no % 2 = 0),
+u AS (SELECT country, upright, line, a FROM (SELECT country, false AS upright, r AS line, c AS a FROM q UNION ALL SELECT country, false, r + 1, c FROM q UNION ALL SELECT country, true, c, r FROM q UNION ALL SELECT country, true, c + 1, r FROM q) AS z
+  GROUP BY ALL HAVING count(*) % 2 = 1),
+m AS (SELECT country, upright, line, min(a) AS a, max(a) + 1 AS b FROM (SELECT *, a - row_number() OVER (PARTITION BY country, upright, line ORDER BY a) AS g FROM u) AS z GROUP BY country, upright, line, g)
+SELECT country, CAST(CASE WHEN upright THEN line ELSE a END AS DOUBLE) AS x1, CAST(CASE WHEN upright THEN a ELSE line END AS DOUBLE) AS y1, CAST(CASE WHEN upright THEN line ELSE b END AS DOUBLE) AS x2, CAST(CASE WHEN upright THEN b ELSE line END AS DOUBLE) AS y2 FROM m"""
+
+
+@plan(oracle("", "cells").strip() + _OUTLINE)
+def g21_dissolve_outline(spark, sf):
+    """Cells as parts of blocks of country: unit squares in even rows, boxes of two cells in odd ones, whose long edges go against two short ones."""
+    c = cells(spark, sf).filter("row_no % 2 = 0 OR col_no % 2 = 0")
+    wide = F.when(F.col("row_no") % 2 == 1, 2).otherwise(1)
+    x1, y1, x2, y2 = (k.cast("double") for k in (F.col("col_no"), F.col("row_no"), F.col("col_no") + wide, F.col("row_no") + 1))
+    sides = F.array(*[F.struct(a.alias("x1"), b.alias("y1"), d.alias("x2"), e.alias("y2")) for a, b, d, e in ((x1, y1, x2, y1), (x2, y1, x2, y2), (x2, y2, x1, y2), (x1, y2, x1, y1))])
+    country = (F.floor(F.col("row_no") / 4) + F.floor(F.col("col_no") / 16)) % 5
+    return G.dissolve_outline(c.select(country.alias("country"), F.explode(sides).alias("e")).select("country", "e.*"), "country")
+
+
 @plan("SELECT iso3, CAST(dense_rank() OVER (ORDER BY iso3) AS INTEGER) AS code FROM (SELECT DISTINCT substr(n_name, 1, 3) AS iso3 FROM nation) AS z")
 def g22_assign_codes(spark, sf):
     return G.assign_codes(table(spark, sf, "nation").select(F.substring("n_name", 1, 3).alias("iso3")))
