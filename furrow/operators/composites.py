@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.operators.ranges import exact_percentiles
 from furrow.operators.scenes import to_mjd
 
 
@@ -22,8 +23,10 @@ def mean_composite(obs: DataFrame, value: str, pixel: str = "pixel_id") -> DataF
 
 
 def median_composite(obs: DataFrame, value: str, pixel: str = "pixel_id") -> DataFrame:
-    """The exact median over time."""
-    return obs.groupBy(pixel).agg(F.expr(f"percentile(`{value}`, 0.5)").alias("median"))
+    """The exact median over time, however many observations a pixel has; null for pixels without a value."""
+    found = exact_percentiles(obs, [pixel], value, {"median": 0.5})
+    bare = obs.groupBy(pixel).agg(F.count(value).alias("n")).filter("n = 0").select(pixel, F.lit(None).cast("double").alias("median"))
+    return found.unionByName(bare)
 
 
 def quality_mosaic(obs: DataFrame, order: str, pixel: str = "pixel_id", ts: str = "ts", highest: bool = True, scene: str = "event_id") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.operators.ranges import exact_percentiles
+
 
 def mass_check(coarse: DataFrame, fine: DataFrame, crop: str, inside, area: str = "area", factor: float = 1600) -> DataFrame:
     """Coarse area by ``factor`` against fine area of one crop inside a window: sums, difference, percent and the largest cell."""
@@ -65,8 +67,9 @@ def histogram_auto(df: DataFrame, column: str, least: int = 10, most: int = 50)
 
 
 def value_summary(df: DataFrame, column: str) -> DataFrame:
-    """Mean, exact median and sample standard deviation beside the histogram."""
-    return df.agg(F.avg(column).alias("mean"), F.expr(f"percentile(`{column}`, 0.5)").alias("median"), F.stddev_samp(column).alias("std"))
+    """Mean, exact median and sample standard deviation beside the histogram; the median is sought by ranges, so the table is never one buffer."""
+    one = df.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"))
+    return one.crossJoin(exact_percentiles(df, [], column, {"median": 0.5})).select("mean", "median", "std")  # one row against one row
 
 
 def label_proportions(df: DataFrame, labels: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.operators.ranges import exact_percentiles
 from furrow.session import stored
 
 
@@ -23,10 +24,16 @@ def cluster_sizes(df: DataFrame) -> DataFrame:
 
 
 def cluster_timeseries(composites: DataFrame, clusters: DataFrame, value: str = "mean", pixel: str = "pixel_id") -> DataFrame:
-    """K3: (cluster, bin, mean, std, p05, p25, p75, p95, n): one group-by over cluster and bin."""
-    joined = composites.join(clusters.select(pixel, "cluster"), pixel)
-    out = joined.groupBy("cluster", "bin").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.expr(f"percentile(`{value}`, array(0.05, 0.25, 0.75, 0.95))").alias("p"), F.count("*").alias("n"))
-    return out.select("cluster", "bin", "mean", "std", *[F.col("p")[k].alias(n) for k, n in enumerate(("p05", "p25", "p75", "p95"))], "n")
+    """K3: (cluster, bin, mean, std, p05, p25, p75, p95, n) over the pixels of each cluster and bin; the percentiles are exact and sought by ranges, so no cluster is one buffer.
+
+    A cluster and bin without any value has nulls; a null bin is one of its own.
+    """
+    joined = composites.join(clusters.select(pixel, "cluster"), pixel).select("cluster", "bin", F.col(value).alias("k_value"))
+    means = joined.groupBy("cluster", "bin").agg(F.avg("k_value").alias("mean"), F.stddev_pop("k_value").alias("std"), F.count("*").alias("n"))
+    shares = {"p05": 0.05, "p25": 0.25, "p75": 0.75, "p95": 0.95}
+    found = exact_percentiles(joined, ["cluster", "bin"], "k_value", shares).withColumnsRenamed({"cluster": "k_cluster", "bin": "k_bin"})
+    out = means.join(found, F.col("cluster").eqNullSafe(F.col("k_cluster")) & F.col("bin").eqNullSafe(F.col("k_bin")), "left")
+    return out.select("cluster", "bin", "mean", "std", *shares, "n")
 
 
 def detect_peaks(series: DataFrame, prominence: float = 0.1, distance: int = 30, by: str = "cluster", at: str = "doy", value: str = "mean") -> DataFrame:
