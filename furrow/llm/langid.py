@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import io
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from furrow.llm.batches import decide, map_texts
 
 UNDETERMINED = "und"
-WORDS = re.compile(r"[^\W\d_]+")
+#: Letters are those of Unicode category L. ``\w`` also takes numbers that are no decimal digits (superscripts, fractions, circled and Roman numerals).
+_NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 GRAMS, BITS, PER_LANGUAGE, LEXICON = 4, 16, 200, 20_000
 SEGMENT = 64
 #: Characters labelled at a time: a word's features take some hundred bytes each, so this bounds a task's memory.

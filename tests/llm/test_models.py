@@ -91,6 +91,14 @@ def test_language_of_odd_rows(odd, none):
     assert {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_numbers_are_no_letters(spark):
+    """Superscripts, fractions, circled and Roman numerals and digits of other scripts: none is of category L."""
+    docs = spark.createDataFrame([(1, "²½ Ⅷ ①"), (2, "123"), (3, "١٢"), (4, "the ² thing")], "doc_id long, text string")
+    model = langid.train(docs.withColumn("lang", F.lit("en")).filter("doc_id = 4"), F.lit(True))
+    assert sorted((r.doc_id, r.lang_pred, r.score > 0) for r in langid.identify(docs, model).collect()) == [(1, "und", False), (2, "und", False), (3, "und", False), (4, "en", True)]
+    assert langid.WORDS.findall("a²b 一 é_x ªº") == ["a", "b", "一", "é", "x", "ªº"]
+
+
 def test_isotonic_against_plain_means():
     raw = np.arange(6.0)
     x, p = quality.isotonic(raw, np.ones(6), np.array([0, 1, 0, 0, 1, 1.0]))
