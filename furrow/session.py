@@ -46,3 +46,8 @@ def drop_stored(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now. Its cleaner does so once the driver's JVM has collected their plans, which a driver with memory to spare may put off for half an hour."""
+    spark.sparkContext._jvm.System.gc()
