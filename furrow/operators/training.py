@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.session import stored
+from furrow.operators.neighbours import nearest_of_class
 
 
 def soft_labels(grouped: DataFrame, labels: tuple[str, ...] = ("conservation", "conventional", "traditional")) -> DataFrame:
@@ -120,77 +118,25 @@ def split(df: DataFrame, shares: dict[str, float], key: str, label: str | None =
     return placed.withColumn("part", out).drop("rank_", "class_rows_")
 
 
-def nearest_of_class(rows: DataFrame, features: str = "features", label: str = "label", key: str = "id", k: int = 5, cell: float = 1.0, crowd: int = 2000) -> DataFrame:
-    """(key, near_): the ``k`` nearest other rows of the class, as (d2, o_key, o_features) from the nearest on, ties to the smallest key.
+def smote(df: DataFrame, features: str = "features", label: str = "label", key: str = "id", k: int = 5) -> DataFrame:
+    """Synthetic rows that bring each class up to the largest: a row of the class moved by a hashed share towards one of its ``k`` nearest neighbours
+    in the class, over all features (``nearest_of_class``).
 
-    Rows meet in their own and adjoining cells of a grid over the first two features, of a size by the density of the class and at most ``cell`` at first. A
-    row is served once no row outside these cells can be nearer than its k-th, or its whole class was seen; the cells double for the others. Cells with more
-    than ``crowd`` rows are dealt into tiles, and each pair of cell and tile passes on its k best only. Rows with missing features have no neighbours.
+    A row without neighbours (the only one of its class, or with missing features) is copied as it is; rows without a label make a class without neighbours; other columns don't come back.
     """
-    whole = F.forall(features, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = stored(rows.filter(F.col(features).isNotNull() & whole).select(key, label, features, F.col(features)[0].alias("x_"), F.coalesce(F.get(F.col(features), F.lit(1)), F.lit(0.0)).alias("y_")), "rows")
-    wide, high = F.max("x_") - F.min("x_"), F.max("y_") - F.min("y_")
-    per = F.greatest(F.sqrt(wide * high * k / F.count("*")), F.greatest(wide, high) * k / F.count("*"))
-    sizes = stored(rows.groupBy(label).agg(F.count("*").alias("all_"), F.when(per > 0, F.least(per, F.lit(float(cell)))).otherwise(F.lit(float(cell))).alias("cell_")).filter("all_ > 1"), "sizes")
-    todo, done, scale = rows.join(F.broadcast(sizes.select(label)), label, "left_semi"), None, 1.0
-    here = [label, "gx", "gy"]
-    around = F.sequence(F.lit(-1), F.lit(1))
-    group = [*here, "own", "tile"]
-    of_key, of_features = rows.schema[key].dataType.simpleString(), rows.schema[features].dataType.simpleString()
-
-    def best_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        seeks, held = pdf[pdf["seeks"]], pdf[~pdf["seeks"]].sort_values(key)
-        out = {key: [], "seen": [], "d2": [], "o_key": [], "o_features": []}
-        if len(seeks) and len(held):
-            theirs, keys, lists = np.stack(held[features].to_numpy()), held[key].to_numpy(), held[features].to_numpy()
-            for me, mine in zip(seeks[key], seeks[features]):
-                d2 = np.zeros(len(held))
-                for j, x in enumerate(mine):
-                    d2 += (x - theirs[:, j]) * (x - theirs[:, j])
-                other = np.flatnonzero(keys != me)
-                best = other[np.argsort(d2[other], kind="stable")[:k]]
-                out[key] += [me] * len(best)
-                out["seen"] += [len(other), *[0] * (len(best) - 1)][: len(best)]
-                out["d2"] += d2[best].tolist()
-                out["o_key"] += keys[best].tolist()
-                out["o_features"] += [lists[p] for p in best]
-        return pd.DataFrame(out | {"o_features": pd.Series(out["o_features"], dtype=object)})
-
-    while True:
-        size = F.col("cell_") * scale
-        held = rows.join(F.broadcast(sizes), label).withColumn("gx", F.floor(F.col("x_") / size)).withColumn("gy", F.floor(F.col("y_") / size))
-        crowded = held.groupBy(*here).agg(F.ceil(F.count("*") / crowd).cast("int").alias("tiles"))
-        members = held.join(crowded, here).withColumn("tile", F.pmod(F.xxhash64(key), F.col("tiles")).cast("int"))
-        seekers = todo.join(F.broadcast(sizes), label).withColumn("gx", F.floor(F.col("x_") / size)).withColumn("gy", F.floor(F.col("y_") / size))
-        seekers = seekers.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).withColumn("gx", F.col("gx") + F.col("dx")).withColumn("gy", F.col("gy") + F.col("dy"))
-        asking = seekers.join(crowded, here).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("own", F.pmod(F.xxhash64(key), F.col("tiles")).cast("int"))
-        offered = members.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        met = asking.select(*group, key, features, F.lit(True).alias("seeks")).unionByName(offered.select(*group, key, features, F.lit(False).alias("seeks")))
-        part = met.groupBy(*group).applyInPandas(best_of, f"`{key}` {of_key}, seen long, d2 double, o_key {of_key}, o_features {of_features}")
-        best = part.groupBy(key).agg(F.sum("seen").alias("seen"), F.slice(F.array_sort(F.collect_list(F.struct("d2", "o_key", "o_features"))), 1, k).alias("near_"))
-        judged = todo.select(key, label).join(F.broadcast(sizes), label).join(best, key)
-        sure = stored(judged.filter((F.col("seen") >= F.col("all_") - 1) | ((F.size("near_") >= k) & (F.element_at("near_", -1)["d2"] < size * size * (1 - 1e-9)))).select(key, "near_"), "near")
-        done = sure if done is None else done.unionByName(sure)
-        todo = stored(todo.join(sure, key, "left_anti"), "todo")
-        if todo.isEmpty():
-            return done
-        scale *= 2
-
-
-def smote(df: DataFrame, features: str = "features", label: str = "label", key: str = "id", k: int = 5, cell: float = 1.0) -> DataFrame:
-    """Synthetic rows that bring each class up to the largest: a row of the class moved by a hashed share towards one of its ``k`` nearest neighbours
-    in the class, over all features (``nearest_of_class``)."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n_"))
-    need = counts.crossJoin(F.broadcast(counts.agg(F.max("n_").alias("most_")))).filter("n_ < most_").withColumn("need_", F.col("most_") - F.col("n_"))
-    rows = df.join(F.broadcast(need), label)
-    best = nearest_of_class(rows, features, label, key, k, cell)
-    # The only row of a class is copied as it is.
-    base = class_rank(rows, key, [label]).join(best, key, "left").withColumn("near_", F.coalesce("near_", F.array(F.struct(F.lit(0.0).alias("d2"), F.col(key).alias("o_key"), F.col(features).alias("o_features")))))
-    times = F.floor(F.col("need_") / F.col("n_")) + F.when(F.col("rank_") <= F.col("need_") % F.col("n_"), 1).otherwise(0)
+    counts = df.groupBy(F.col(label).alias("m_label")).agg(F.count("*").alias("m_n"))
+    need = counts.crossJoin(F.broadcast(counts.agg(F.max("m_n").alias("m_most")))).filter("m_n < m_most").withColumn("m_need", F.col("m_most") - F.col("m_n"))  # against one row
+    rows = df.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(features).alias("features")).join(need, F.col("label").eqNullSafe(F.col("m_label"))).drop("m_label")
+    short = need.select(F.col("m_label").alias("of_label"), "m_n", "m_need")
+    best = nearest_of_class(rows, "features", "label", "key", k).join(short, F.col("label").eqNullSafe(F.col("of_label"))).drop("of_label")
+    alone = F.array(F.struct(F.lit(0.0).alias("d2"), F.col("key").alias("o_key"), F.col("features").alias("o_features")))
+    base = class_rank(best, "key", ["label"]).withColumn("near_", F.when(F.size("near_") > 0, F.col("near_")).otherwise(alone))
+    times = F.floor(F.col("m_need") / F.col("m_n")) + F.when(F.col("rank_") <= F.col("m_need") % F.col("m_n"), 1).otherwise(0)
     copies = base.withColumn("copy_", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>"))))
-    pick = F.element_at("near_", (F.pmod(F.xxhash64(key, "copy_"), F.size("near_")) + 1).cast("int"))["o_features"]
-    lam = F.pmod(F.xxhash64("copy_", key), F.lit(1000)) / 1000
-    return copies.select(F.xxhash64(key, "copy_").alias(key), label, F.zip_with(features, pick, lambda a, b: a + lam * (b - a)).alias(features))
+    pick = F.element_at("near_", (F.pmod(F.xxhash64("key", "copy_"), F.size("near_")) + 1).cast("int"))["o_features"]
+    lam = F.pmod(F.xxhash64("copy_", "key"), F.lit(1000)) / 1000
+    moved = F.zip_with("features", pick, lambda a, b: a + lam * (b - a))
+    return copies.select(F.xxhash64("key", "copy_").alias(key), F.col("label").alias(label), moved.alias(features))
 
 
 def haversine(lat1, lon1, lat2, lon2, radius: float = 6371.0):

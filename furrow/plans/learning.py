@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from furrow.operators import applied as AP
 from furrow.operators import metrics as E
 from furrow.operators import models as L
+from furrow.operators import neighbours as N
 from furrow.operators import tillage as C
 from furrow.operators import training as M
 from furrow.plans.base import oracle, plan, view
@@ -123,7 +124,7 @@ def m12_split(spark, sf):
 def m13_smote(spark, sf):
     """Rows of each class after balancing; every class ends as large as the largest."""
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("label"), F.array((F.col("c_acctbal") / 1000), (F.col("c_custkey") % 10).cast("double")).alias("features"))
-    made = M.smote(rows, cell=20.0)
+    made = M.smote(rows)
     return rows.select("label").unionByName(made.select("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -135,8 +136,18 @@ QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, o_key) <= 5"""
 def m13_nearest_of_class(spark, sf):
     """The neighbours that M13 interpolates with."""
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("label"), F.array((F.col("c_acctbal") / 1000), (F.col("c_custkey") % 10).cast("double")).alias("features"))
-    near = M.nearest_of_class(rows, k=5, cell=1.0).select("id", F.explode("near_").alias("o")).select("id", "o.o_key", "o.d2")
-    return near.join(rows.select("id", "label"), "id").select("label", "id", "o_key", "d2")
+    near = N.nearest_of_class(rows, k=5).select("label", "id", F.explode("near_").alias("o"))
+    return near.select("label", "id", "o.o_key", "o.d2")
+
+
+@plan("""WITH c AS (SELECT vec_id AS id, label, CAST(embedding[1:13] AS DOUBLE[]) AS f FROM embeddings)
+SELECT label, id, o_key, round(d2, 6) AS d2 FROM (SELECT a.label, a.id, b.id AS o_key, list_aggregate(list_transform(list_zip(a.f, b.f), lambda p: (p[1] - p[2]) * (p[1] - p[2])), 'sum') AS d2 FROM c a JOIN c b ON a.label = b.label AND a.id <> b.id) AS z
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(d2, 12), o_key) <= 5""")
+def m13_nearest_many_features(spark, sf):
+    """Neighbours over thirteen features."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.slice(F.col("embedding").cast("array<double>"), 1, 13).alias("features"))
+    near = N.nearest_of_class(rows, k=5, crowd=200).select("label", "id", F.explode("near_").alias("o"))
+    return near.select("label", "id", "o.o_key", "o.d2")
 
 
 @plan(oracle("SELECT y_true, y_pred, count(*) AS n FROM predictions GROUP BY 1, 2", "predictions"))

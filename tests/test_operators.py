@@ -115,7 +115,7 @@ def test_augment_moves_every_pixel_once(spark):
 def test_smote_balances(spark):
     rng = np.random.default_rng(1)
     rows = [(k, 0 if k < 50 else 1, rng.normal(size=2).tolist()) for k in range(63)]
-    made = training.smote(spark.createDataFrame(rows, "id long, label int, features array<double>"), cell=1.0)
+    made = training.smote(spark.createDataFrame(rows, "id long, label int, features array<double>"))
     assert made.filter("label = 1").count() == 37 and made.count() == 37
 
 
@@ -126,7 +126,7 @@ def test_smote_neighbours_against_all_pairs(spark, crowd):
     rows = [(k, 1, (rng.normal(size=4) * (1 if k % 6 else 200)).tolist()) for k in range(50)] + [(50 + k, 1, [0.5, 0.5, 0.0, 1.0]) for k in range(8)]
     rows += [(100 + k, 2, [1000.0 * k, -1.0 * k, 3.0, float(k)]) for k in range(3)] + [(200, 3, [1.0, 2.0, 3.0, 4.0])]
     got = {}
-    for r in training.nearest_of_class(spark.createDataFrame(rows, "id long, label int, features array<double>"), k=5, cell=1.0, crowd=crowd).collect():
+    for r in training.nearest_of_class(spark.createDataFrame(rows, "id long, label int, features array<double>"), k=5, crowd=crowd).collect():
         got[r.id] = [n.o_key for n in r.near_]
     for i, label, f in rows:
         others = sorted((sum((a - b) * (a - b) for a, b in zip(f, g)), j) for j, m, g in rows if m == label and j != i)
@@ -135,7 +135,7 @@ def test_smote_neighbours_against_all_pairs(spark, crowd):
 
 def test_smote_interpolates_sparse_classes(spark):
     rows = [(k, 0, [0.0, 0.0]) for k in range(12)] + [(20 + k, 1, [100.0 * k, 0.0]) for k in range(3)]
-    made = training.smote(spark.createDataFrame(rows, "id long, label int, features array<double>"), cell=1.0).collect()
+    made = training.smote(spark.createDataFrame(rows, "id long, label int, features array<double>")).collect()
     assert len(made) == 9 and sum(r.features not in [f for _, _, f in rows] for r in made) >= 8
 
 
