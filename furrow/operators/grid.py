@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furrow.operators.columns import pack, unpack
 from furrow.session import stored
 
 
@@ -133,8 +134,12 @@ def focal_box(df: DataFrame, value: str, size: int, ny: int, nx: int, tile: int
     Separable: sums along rows, then along columns of those sums. An even size reaches half back and one less forward. Cells beyond
     the grid count as absent.
     """
+    return _box_sums(spine(df, tile, size, ny, nx).join(df.select("row_no", "col_no", F.col(value).alias("v")), ["row_no", "col_no"], "left"), size)
+
+
+def _box_sums(dense: DataFrame, size: int) -> DataFrame:
+    """(row, column, focal_sum, focal_n) of ``dense(row_no, col_no, v)``, v null where nothing is."""
     back, ahead = size // 2, (size - 1) // 2
-    dense = spine(df, tile, size, ny, nx).join(df.select("row_no", "col_no", F.col(value).alias("v")), ["row_no", "col_no"], "left")
     along_row = Window.partitionBy("row_no").orderBy("col_no").rangeBetween(-back, ahead)
     along_col = Window.partitionBy("col_no").orderBy("row_no").rangeBetween(-back, ahead)
     first = dense.select("row_no", "col_no", F.sum(F.coalesce("v", F.lit(0.0))).over(along_row).alias("s"), F.sum(F.when(F.col("v").isNotNull(), 1).otherwise(0)).over(along_row).alias("n"))
@@ -163,14 +168,29 @@ def dasymetric(coarse: DataFrame, fraction: DataFrame, size: int, ny: int, nx: i
     return coarse.join(shares, ["row_no", "col_no"]).select("row_no", "col_no", "crop", (F.col("area") * F.col("weight")).alias("area")).filter("area IS NOT NULL")
 
 
-def fill_focal(df: DataFrame, target: DataFrame, value: str, windows: list[int], ny: int, nx: int) -> DataFrame:
-    """``target`` cells without a value take the rounded mean of valid, non-zero neighbours, in growing windows."""
-    out = target.join(df.select("row_no", "col_no", value), ["row_no", "col_no"], "left")
+def fill_focal(df: DataFrame, target: DataFrame, value: str, windows: list[int], ny: int, nx: int, tile: int = 64) -> DataFrame:
+    """``target`` cells without a value take the rounded mean of valid, non-zero neighbours, in growing windows.
+
+    Each pass starts from the cells that are still open: sums are taken only in their tiles and in those that a window reaches from there, and what a pass has filled is written and is a source of the next. So
+    the last passes, with the widest windows, touch the few places that are left.
+
+    Defined results: only target cells are sources; 0 is a value but no source; a cell that no window fills keeps null; of several values of one cell the first in order counts; repeated targets return as often;
+    cells without row or column keep null. Columns of ``target`` come back, one called like the value is replaced.
+    """
+    place = ["row_no", "col_no"]
+    own = pack(target, row_no=F.col("row_no").cast("long"), col_no=F.col("col_no").cast("long"))
+    given = df.select(*[F.col(c).cast("long").alias(c) for c in place], F.col(value).alias("v")).filter("v IS NOT NULL").groupBy(*place).agg(F.min("v").alias("v"))
+    known = stored(own.select(*place).filter("row_no IS NOT NULL AND col_no IS NOT NULL").distinct().join(given, place, "left"), "known")
+    filled, open_, source = known.filter("v IS NOT NULL"), known.filter("v IS NULL").select(*place), known.filter("v IS NOT NULL AND v <> 0")
     for size in windows:
-        valid = out.filter(F.col(value).isNotNull() & (F.col(value) != 0))
-        mean = focal_box(valid, value, size, ny, nx).filter("focal_n > 0").select("row_no", "col_no", F.bround(F.col("focal_sum") / F.col("focal_n")).alias("fill_"))
-        out = out.join(mean, ["row_no", "col_no"], "left").withColumn(value, F.coalesce(value, "fill_")).drop("fill_")
-    return out
+        if open_.isEmpty():
+            break
+        dense = spine(open_, tile, size, ny, nx).join(source, place, "left")
+        mean = _box_sums(dense, size).filter("focal_n > 0").select(*place, F.bround(F.col("focal_sum") / F.col("focal_n")).alias("v"))
+        new = stored(open_.join(mean, place), "filled")
+        filled, source, open_ = filled.unionByName(new), source.unionByName(new.filter("v <> 0")), stored(open_.join(new, place, "left_anti"), "open")
+    met = own.join(filled.select(F.col("row_no").alias("f_row"), F.col("col_no").alias("f_col"), "v"), (F.col("row_no") == F.col("f_row")) & (F.col("col_no") == F.col("f_col")), "left")
+    return unpack(met, target.columns, **{value: F.col("v")})
 
 
 def _nearest_in_row(sites: tuple[np.ndarray, np.ndarray], row: int, wanted: np.ndarray) -> np.ndarray:
@@ -328,7 +348,8 @@ def income_levels(history: DataFrame, year: int = 2010) -> DataFrame:
 
 def high_income_mask(cells: DataFrame, income: DataFrame, least: int = 3, mark: int = 400) -> DataFrame:
     """``cells`` with high: the mark where the country's income code is at least ``least``, else null."""
-    return cells.join(F.broadcast(income.select("country_code", "income_code")), "country_code", "left").withColumn("high", F.when(F.col("income_code") >= least, mark)).drop("income_code")
+    met = pack(cells, c="country_code").join(income.select(F.col("country_code").alias("i_c"), F.col("income_code").alias("i_code")), F.col("c") == F.col("i_c"), "left")
+    return unpack(met, cells.columns, high=F.when(F.col("i_code") >= least, mark))
 
 
 def crosses(px, py):
@@ -341,6 +362,7 @@ def points_within(points: DataFrame, edges: DataFrame, bucket: float, crowd: int
 
     Points and edges meet in bands of y, so an edge is tested only against points of the bands that it spans. A band with more than ``crowd`` points is dealt by a hash
     into parts, each of which gets the band's edges. Points without x or y are outside; of several polygons the one with the largest id counts.
+    A column of the points that is called country_code is replaced; all others come back.
     """
     at = lambda v: F.floor(v / bucket)
     placed = points.select("point_id", "x", "y", at(F.col("y")).alias("band"))
@@ -350,4 +372,5 @@ def points_within(points: DataFrame, edges: DataFrame, bucket: float, crowd: int
     dealt = placed.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("point_id"), F.col("parts")).cast("int")).drop("parts")
     met = dealt.join(spans, ["band", "part"]).filter(crosses(F.col("x"), F.col("y")))
     inside = met.groupBy("point_id", "polygon_id").agg(F.count("*").alias("n"), F.first("country_code").alias("country_code")).filter("n % 2 = 1")
-    return points.join(inside.groupBy("point_id").agg(F.max_by("country_code", "polygon_id").alias("country_code")), "point_id", "left")
+    found = inside.groupBy("point_id").agg(F.max_by("country_code", "polygon_id").alias("of_polygon")).select(F.col("point_id").alias("p_id"), "of_polygon")
+    return unpack(pack(points, id="point_id").join(found, F.col("id") == F.col("p_id"), "left"), points.columns, country_code=F.col("of_polygon"))

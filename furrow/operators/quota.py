@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.operators.columns import pack, unpack
 from furrow.session import stored
 
 #: Names of countries in the statistics that differ from the crosswalk's.
@@ -70,17 +71,19 @@ def quota_cutoff(cells: DataFrame, targets: DataFrame, group: str = "country_cod
     """(group, cutoff): the highest score at which the area of cells with at least this score reaches the target; if never, the lowest score.
 
     ``cells(group, score, area)``, ``targets(group, target)``. Ties share a cumulative sum, so the cutoff is unique. Rows without group or score are passed over, a null
-    area counts as 0, groups without a target have no row.
+    area counts as 0, groups without a target have no row, an empty table gives an empty result; other columns are ignored.
     """
-    summed = stored(cells.filter(F.col("score").isNotNull() & F.col(group).isNotNull()).groupBy(group, "score").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("area")))
-    return _crossing(summed, targets, group, "score", False, buckets).select(group, F.coalesce("q_cross", "q_last").alias("cutoff"))
+    rows = cells.select(F.col(group).alias("g"), "score", "area").filter("score IS NOT NULL AND g IS NOT NULL")
+    summed = stored(rows.groupBy("g", "score").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("area")))
+    found = _crossing(summed, targets.select(F.col(group).alias("g"), "target"), "g", "score", False, buckets)
+    return found.select(F.col("g").alias(group), F.coalesce("q_cross", "q_last").alias("cutoff"))
 
 
 def quota_allocate(cells: DataFrame, cutoffs: DataFrame, group: str = "country_code") -> DataFrame:
-    """``cells`` with allocated: the area of winners, 0 for others, null where the area is. A column called allocated is replaced, others keep their names."""
-    joined = cells.join(cutoffs.select(group, F.col("cutoff").alias("q_cutoff")), group, "left")
-    wins = F.coalesce(F.col("score") >= F.col("q_cutoff"), F.lit(False))
-    return joined.withColumn("allocated", F.when(F.col("area").isNotNull(), F.when(wins, F.col("area")).otherwise(0.0))).select(*[c for c in cells.columns if c != "allocated"], "allocated")
+    """``cells`` with allocated: the area of winners, 0 for others, null where the area is. A column called allocated is replaced; all others come back, whatever they are called."""
+    joined = pack(cells, g=group, score="score", area="area").join(cutoffs.select(F.col(group).alias("c_g"), "cutoff"), F.col("g") == F.col("c_g"), "left")
+    wins = F.coalesce(F.col("score") >= F.col("cutoff"), F.lit(False))
+    return unpack(joined, cells.columns, allocated=F.when(F.col("area").isNotNull(), F.when(wins, F.col("area")).otherwise(0.0)))
 
 
 def quota_allocate_nearest(cells: DataFrame, targets: DataFrame, group: str = "country_code", tie: str = "take", buckets: int = 1000) -> DataFrame:
@@ -88,22 +91,23 @@ def quota_allocate_nearest(cells: DataFrame, targets: DataFrame, group: str = "c
     short is closer (at equal distance as ``tie`` says); groups below their target win every cell with area.
 
     Every row of ``cells`` comes back; those without score, area or group, and those of groups without a target, don't win. Scores are summed first; only the cells
-    that share the score at which the target is crossed are told apart by cell_id, again by ranges whose areas are summed first.
+    that share the score at which the target is crossed are told apart by cell_id, again by ranges whose areas are summed first. A column called wins is replaced; all others come back, whatever they are called.
     """
-    rows = cells.filter(F.col("score").isNotNull() & F.col("area").isNotNull() & F.col(group).isNotNull())
-    summed = stored(rows.groupBy(group, "score").agg(F.sum("area").alias("area")))
-    by_score = _crossing(summed, targets, group, "score", True, buckets)
-    tied = rows.join(by_score.select(group, F.col("q_cross").alias("score"), "q_before", "q_target"), [group, "score"]).select(group, (-F.col("cell_id")).alias("q_key"), "area", "q_before", "q_target")
-    left = tied.groupBy(group).agg((F.first("q_target") - F.first("q_before")).alias("target"))
-    by_id = _crossing(tied.groupBy(group, "q_key").agg(F.sum("area").alias("area")), left, group, "q_key", True, buckets)
+    own = pack(cells, g=group, score="score", area="area", cell="cell_id")
+    rows = own.drop("own").filter("score IS NOT NULL AND area IS NOT NULL AND g IS NOT NULL")
+    summed = stored(rows.groupBy("g", "score").agg(F.sum("area").alias("area")))
+    by_score = _crossing(summed, targets.select(F.col(group).alias("g"), "target"), "g", "score", True, buckets)
+    tied = rows.join(by_score.select("g", F.col("q_cross").alias("score"), "q_before", "q_target"), ["g", "score"]).select("g", (-F.col("cell")).alias("q_key"), "area", "q_before", "q_target")
+    left = tied.groupBy("g").agg((F.first("q_target") - F.first("q_before")).alias("target"))
+    by_id = _crossing(tied.groupBy("g", "q_key").agg(F.sum("area").alias("area")), left, "g", "q_key", True, buckets)
     # The first cell above the target: what stands before it is within, so it can be the one more.
-    last = by_id.join(tied.select(group, F.col("q_key").alias("q_cross"), "area"), [group, "q_cross"]).groupBy(group, "q_cross").agg(F.first("q_target").alias("q_target"), F.first("q_before").alias("q_before"), F.sum("area").alias("q_area"))
+    last = by_id.join(tied.select("g", F.col("q_key").alias("q_cross"), "area"), ["g", "q_cross"]).groupBy("g", "q_cross").agg(F.first("q_target").alias("q_target"), F.first("q_before").alias("q_before"), F.sum("area").alias("q_area"))
     short, long = F.col("q_target") - F.col("q_before"), F.abs(F.col("q_before") + F.col("q_area") - F.col("q_target"))
-    last = stored(last.select(group, (-F.col("q_cross")).alias("q_cell"), ((short > long) if tie == "skip" else (short >= long)).alias("q_more")))
-    known = stored(by_score.join(last, group, "left").select(group, "q_target", "q_total", "q_cross", "q_cell", "q_more"))
-    ahead = (F.col("score") > F.col("q_cross")) | (F.col("score") == F.col("q_cross")) & ((F.col("cell_id") < F.col("q_cell")) | (F.col("cell_id") == F.col("q_cell")) & F.col("q_more"))
+    last = stored(last.select("g", (-F.col("q_cross")).alias("q_cell"), ((short > long) if tie == "skip" else (short >= long)).alias("q_more")))
+    known = stored(by_score.join(last, "g", "left").select("g", "q_target", "q_total", "q_cross", "q_cell", "q_more"))
+    ahead = (F.col("score") > F.col("q_cross")) | (F.col("score") == F.col("q_cross")) & ((F.col("cell") < F.col("q_cell")) | (F.col("cell") == F.col("q_cell")) & F.col("q_more"))
     wins = F.when(F.col("score").isNotNull(), F.when(F.col("q_total") <= F.col("q_target"), F.col("area") > 0).otherwise(F.col("area").isNotNull() & ahead))
-    return cells.join(known, group, "left").withColumn("wins", F.coalesce(wins, F.lit(False))).select(*[c for c in cells.columns if c != "wins"], "wins")
+    return unpack(own.join(known, "g", "left"), cells.columns, wins=F.coalesce(wins, F.lit(False)))
 
 
 def scenario_blend(potential, allocated, share: float = 0.5):

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.operators.columns import pack, unpack
 from furrow.operators.neighbours import nearest_of_class
+from furrow.session import stored
 
 
 def soft_labels(grouped: DataFrame, labels: tuple[str, ...] = ("conservation", "conventional", "traditional")) -> DataFrame:
@@ -26,18 +28,20 @@ def hash_order(key, seed: int = 0):
 
 
 def stratified_quota(df: DataFrame, per_class: int, per_tile: int, key: str = "cell_id", tile: str = "tile_id", label: str = "label", seed: int = 0) -> DataFrame:
-    """M3: up to ``per_tile`` rows of each tile and class, then ``per_class`` of each class, in a hashed order."""
-    h = hash_order(F.col(key), seed)
-    capped = df.withColumn("k_", F.row_number().over(Window.partitionBy(tile, label).orderBy(h, key))).filter(F.col("k_") <= per_tile)
-    return capped.withColumn("k_", F.row_number().over(Window.partitionBy(label).orderBy(h, key))).filter(F.col("k_") <= per_class).drop("k_")
+    """M3: up to ``per_tile`` rows of each tile and class, then ``per_class`` of each class, in a hashed order. Ties of the hash go to the smaller key; null tiles and labels are groups; all columns come back."""
+    own = pack(df, key=key, tile=tile, label=label).withColumn("h", hash_order(F.col("key"), seed))
+    # Ranks with a bound are cut before the shuffle too, so a large class is not sorted whole.
+    capped = own.withColumn("k", F.row_number().over(Window.partitionBy("tile", "label").orderBy("h", "key"))).filter(F.col("k") <= per_tile).drop("k")
+    return unpack(capped.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "key"))).filter(F.col("k") <= per_class), df.columns)
 
 
 def borrow_dates(df: DataFrame, key: str, date: str) -> DataFrame:
-    """M4: rows without a date take one of the valid dates, picked by the hash of their key."""
-    valid = df.filter(F.col(date).isNotNull()).groupBy(date).agg(F.count("*").alias("n_")).withColumn("i_", F.row_number().over(Window.orderBy(date)) - 1)  # one row for each date
-    n = valid.agg(F.count("*").alias("dates_"))
-    wanted = df.crossJoin(F.broadcast(n)).withColumn("i_", F.when(F.col(date).isNull(), hash_order(F.col(key)) % F.nullif(F.col("dates_"), F.lit(0))))
-    return wanted.join(F.broadcast(valid.select("i_", F.col(date).alias("lent_"))), "i_", "left").withColumn(date, F.coalesce(date, "lent_")).drop("i_", "lent_", "dates_")
+    """M4: rows without a date take one of the valid dates, picked by the hash of their key; without any valid date they stay as they are. All columns come back in their places."""
+    valid = df.filter(F.col(date).isNotNull()).groupBy(F.col(date).alias("lent")).agg(F.count("*").alias("n")).select("lent", (F.row_number().over(Window.orderBy("lent")) - 1).alias("place"))  # one row for each date
+    own = pack(df, key=key, day=date).crossJoin(F.broadcast(valid.agg(F.count("*").alias("dates"))))  # against one row
+    wanted = own.withColumn("at", F.when(F.col("day").isNull(), hash_order(F.col("key")) % F.nullif(F.col("dates"), F.lit(0))))
+    met = wanted.join(valid, F.col("at") == F.col("place"), "left")
+    return unpack(met, [c for c in df.columns if c != date], **{date: F.coalesce("day", "lent")}).select(*df.columns)
 
 
 def union_and_shuffle(a: DataFrame, b: DataFrame, key: str, seed: int = 0) -> DataFrame:
@@ -48,14 +52,29 @@ def union_and_shuffle(a: DataFrame, b: DataFrame, key: str, seed: int = 0) -> Da
 def patch_composite(patches: DataFrame, obs: DataFrame, days: int = 15, values: tuple[str, ...] = ("value",), scale: float = 1.0) -> DataFrame:
     """M6: the means of observations within so many days of each patch's date: ``patches(patch_id, tile_id, date)``, ``obs(tile_id, ts, ...)``.
 
-    An interval join by tile and by buckets of days, so that only neighbouring buckets meet.
+    Observations are summed by tile and day, the only time that they are shuffled; the days' sums are added up along the calendar of each tile, which is as long as the period that was observed. A patch then takes the
+    difference of two of these, that of the last day of its interval and that of the day before the first, by joins on tile and day. So an observation is not repeated for the patches that it
+    belongs to. Day sums are decimals of twelve places from there on: nothing is lost in the difference.
+
+    Defined results: null, NaN and infinite values don't count in a mean but their observations count in n_obs; without any value the mean is null and without any observation n_obs is 0; so for a null date or
+    tile. Observations without day or tile are passed over. Columns of ``patches`` called n_obs or like a value are replaced; all others come back, repeated patches too.
     """
-    width = 2 * days + 1
-    bucket = lambda c: F.floor(F.unix_date(c) / width)
-    near = patches.withColumn("b_", F.explode(F.sequence(bucket(F.date_sub("date", days)), bucket(F.date_add("date", days)))))
-    met = near.join(obs.withColumn("b_", bucket(F.to_date("ts"))), ["tile_id", "b_"]).filter(F.abs(F.datediff(F.to_date("ts"), "date")) <= days)
-    means = met.groupBy("patch_id").agg(*[(F.avg(v) * scale).alias(v) for v in values], F.count("*").alias("n_obs"))
-    return patches.join(means, "patch_id", "left").withColumn("n_obs", F.coalesce("n_obs", F.lit(0)))
+    sums = [f"s{k}" for k in range(len(values))] + [f"n{k}" for k in range(len(values))] + ["n"]
+    real = [F.when(~F.isnan(F.col(v).cast("double")) & (F.abs(F.col(v).cast("double")) < float("inf")), F.col(v).cast("double")) for v in values]
+    seen = obs.select(F.col("tile_id").alias("tile"), F.unix_date(F.to_date("ts")).alias("day"), *[r.alias(f"v{k}") for k, r in enumerate(real)]).filter("tile IS NOT NULL AND day IS NOT NULL")
+    added = [F.coalesce(F.sum(f"v{k}"), F.lit(0.0)).cast("decimal(38, 12)").alias(f"s{k}") for k in range(len(values))] + [F.count(f"v{k}").alias(f"n{k}") for k in range(len(values))]
+    by_day = stored(seen.groupBy("tile", "day").agg(*added, F.count("*").alias("n")), "days")
+    last = by_day.agg(F.max("day")).first()[0]
+    last = 0 if last is None else last
+    along = Window.partitionBy("tile").orderBy("day")
+    running = by_day.select("tile", "day", F.coalesce(F.lead("day").over(along) - 1, F.lit(last)).alias("until"), *[F.sum(c).over(along).alias(c) for c in sums])
+    calendar = running.select("tile", F.explode(F.sequence("day", "until")).alias("at"), *sums)
+    upto = lambda side: calendar.select(F.col("tile").alias(f"{side}_tile"), F.col("at").alias(f"{side}_at"), *[F.col(c).alias(f"{side}_{c}") for c in sums])
+    own = pack(patches, tile="tile_id", high=F.least(F.unix_date(F.date_add("date", days)), F.lit(last)), low=F.least(F.unix_date(F.date_sub("date", days + 1)), F.lit(last)))
+    met = own.join(upto("b"), (F.col("tile") == F.col("b_tile")) & (F.col("high") == F.col("b_at")), "left").join(upto("a"), (F.col("tile") == F.col("a_tile")) & (F.col("low") == F.col("a_at")), "left")
+    between = lambda c: F.coalesce(F.col(f"b_{c}"), F.lit(0)) - F.coalesce(F.col(f"a_{c}"), F.lit(0))
+    means = {v: F.try_divide(between(f"s{k}").cast("double"), between(f"n{k}").cast("double")) * scale for k, v in enumerate(values)}
+    return unpack(met, patches.columns, **means, n_obs=between("n").cast("long"))
 
 
 def patch_preprocess(px: DataFrame, size: int, bands: list[str], divisor: float = 10_000.0, ndvi: str = "ndvi", low: float = -0.1, high: float = 0.8, full: int | None = None) -> DataFrame:
@@ -109,13 +128,14 @@ def class_rank(df: DataFrame, key: str, by: list[str], seed: int = 0) -> DataFra
 
 
 def split(df: DataFrame, shares: dict[str, float], key: str, label: str | None = None, seed: int = 0) -> DataFrame:
-    """``df`` with part: exact shares (of each class, if ``label``) in a hashed order."""
-    placed = class_rank(df, key, [label] if label else [], seed)
+    """``df`` with part: exact shares (of each class, if ``label``) in a hashed order. A column called part is replaced; all others come back. Rows without a label are in no part and don't come back."""
+    own = pack(df, key=key, **({"label": label} if label else {}))
+    placed = class_rank(own, "key", ["label"] if label else [], seed)
     out, total = F.lit(None).cast("string"), 1.0
     for name, share in reversed(list(shares.items())):
         out = F.when(F.col("rank_") <= F.bround(F.col("class_rows_") * total), name).otherwise(out) if total < 1 else F.lit(name)
         total -= share
-    return placed.withColumn("part", out).drop("rank_", "class_rows_")
+    return unpack(placed, df.columns, part=out)
 
 
 def smote(df: DataFrame, features: str = "features", label: str = "label", key: str = "id", k: int = 5) -> DataFrame:

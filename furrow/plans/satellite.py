@@ -123,6 +123,17 @@ def g16_fill_focal(spark, sf):
     return G.fill_focal(c.filter("depth > 25").select("row_no", "col_no", F.col("depth").alias("v")), c.select("row_no", "col_no"), "v", [5], 4096, 64).select("row_no", "col_no", "v")
 
 
+_FILL = "SELECT a.row_no, a.col_no, coalesce(any_value(a.v), round_even(avg(b.v), 0)) AS v FROM {of} AS a LEFT JOIN {of} AS b ON b.v IS NOT NULL AND b.v <> 0 AND b.row_no BETWEEN a.row_no - {r} AND a.row_no + {r} AND b.col_no BETWEEN a.col_no - {r} AND a.col_no + {r} GROUP BY 1, 2"
+
+
+@plan(oracle(_FILL.format(of=f"({_FILL.format(of='(SELECT row_no, col_no, CASE WHEN depth > 47 THEN depth WHEN depth = 20 THEN 0 END AS v FROM cells)', r=1)})", r=3), "cells"))
+def g16_fill_focal_passes(spark, sf):
+    """Two windows: what the first fills is a source of the second; zeros are values, but no sources."""
+    c = cells(spark, sf)
+    known = c.filter("depth > 47 OR depth = 20").select("row_no", "col_no", F.when(F.col("depth") > 47, F.col("depth")).otherwise(0.0).alias("v"))
+    return G.fill_focal(known, c.select("row_no", "col_no"), "v", [3, 7], 4096, 64).select("row_no", "col_no", "v")
+
+
 @plan(oracle("""SELECT row_no, col_no, v FROM (SELECT a.row_no, a.col_no, b.depth AS v, row_number() OVER (PARTITION BY a.row_no, a.col_no ORDER BY (b.row_no - a.row_no) * (b.row_no - a.row_no) + (b.col_no - a.col_no) * (b.col_no - a.col_no), b.row_no, b.col_no) AS k
   FROM (SELECT row_no, col_no FROM cells) AS a, (SELECT row_no, col_no, depth FROM cells WHERE depth > 45) AS b) AS z WHERE k = 1""", "cells"))
 def g17_fill_nearest(spark, sf):
