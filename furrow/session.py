@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,11 +32,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "stored") -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back, which cuts its lineage."""
+def stored(df: DataFrame, name: str = "stored", compression: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder once and read it back, which cuts its lineage. ``compression``: one of Parquet's, if not the session's."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,4 +51,5 @@ def drop_stored(df: DataFrame) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now. Its cleaner does so once the driver's JVM has collected their plans, which a driver with memory to spare may put off for half an hour."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
