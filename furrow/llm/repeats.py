@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.batches import release, small_batches, text_slices
-from furrow.session import drop_stored, stored
+from furrow.session import drop_stored, free_shuffles, stored
 
-PACK_BYTES, GROUP_BYTES, MOST = 2_000_000, 1_500_000, 3_000
+PACK_BYTES, GROUP_BYTES, MOST, SLICE = 2_000_000, 1_500_000, 3_000, 1 << 15
 _END = 255  # never a byte of UTF-8: it ends every text and content
 _LAST_ID = (1 << 63) - 1
 PACKS = "ids array<long>, sizes array<int>, data binary"
@@ -74,46 +74,55 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _grams(data: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hashes of all runs of ``k`` bytes, k >= 8."""
+def _grams(data: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of all runs of ``k`` bytes, k >= 8, or of those that begin ``at`` some places."""
     words = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
     n = len(data) - k + 1
-    h = np.full(n, k, np.uint64)
-    for at in [*range(0, k - 7, 8), *([k - 8] if k % 8 else [])]:
-        h += words[at : at + n]
+    h = np.full(n if at is None else len(at), k, np.uint64)
+    for off in [*range(0, k - 7, 8), *([k - 8] if k % 8 else [])]:
+        h += words[off : off + n] if at is None else words[at + off]
         h *= np.uint64(0xD6E8FEB86659FD93)
         _mix(h)
     return h
 
 
-def anchor_runs(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, number of starts, anchor's place, anchor's hash) of the runs of strings of ``length`` bytes that share an anchor; ``data``: texts, each with its end sign."""
-    k = length // 5
-    w = length - k + 1
-    if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))  # type: ignore[return-value]
-    grams = _grams(data, k)
+def _least_places(data: np.ndarray, k: int, w: int) -> np.ndarray:
+    """For each run of ``w`` neighbouring substrings of ``k`` bytes the place of the one with the least hash, the leftmost of equal ones."""
     # Half of a hash orders the substrings, the place in the other half makes the leftmost win and is the answer.
-    least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+    least = _grams(data, k)
+    least &= np.uint64(0xFFFFFFFF00000000)
+    least |= np.arange(len(least), dtype=np.uint64)
     reach = 1
     while 2 * reach <= w:
         least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
     if reach < w:
         least = np.minimum(least[: len(least) - (w - reach)], least[w - reach :])
-    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def anchor_runs(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, number of starts, anchor's place, anchor's hash) of the runs of strings of ``length`` bytes that share an anchor; ``data``: texts, each with its end sign."""
+    k = length // 5
+    if len(data) < length:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))  # type: ignore[return-value]
+    place = np.empty(len(data) - length + 1, np.int64)
+    for a in range(0, len(place), SLICE):  # slices stay in a processor's cache
+        n = min(SLICE, len(place) - a)
+        place[a : a + n] = _least_places(data[a : a + n + length - 1], k, length - k + 1)
+        place[a : a + n] += a
     ends = np.cumsum(sizes + 1)
     inside = np.zeros(len(data) + 1, np.int8)
     whole = sizes >= length
     inside[(ends - sizes - 1)[whole]] += 1
     inside[(ends - length)[whole]] -= 1  # behind the last start
-    real = np.cumsum(inside[:-1])[: len(place)] > 0
+    real = np.cumsum(inside[:-1], dtype=np.int8)[: len(place)] > 0
     new = np.ones(len(place), bool)
     new[1:] = (place[1:] != place[:-1]) | ~real[:-1]
     first = np.flatnonzero(new & real)
     # A run ends before the next one, or where its text has no further start.
     stops = np.flatnonzero(np.append(new[1:] | ~real[1:], True) & real) + 1
-    return first, stops - first, place[first], grams[place[first]]
+    return first, stops - first, place[first], _grams(data, k, place[first])
 
 
 def _opened(batches: Iterator[pa.RecordBatch]):
@@ -146,13 +155,13 @@ def repeated_anchors(packs: DataFrame, length: int) -> DataFrame:
 def _digest(content: bytes) -> int:
     import xxhash
 
-    return int.from_bytes(xxhash.xxh3_64_digest(content), "big", signed=True)
+    return int.from_bytes(xxhash.xxh3_64_digest(content), "big", signed=True)  # as a signed number
 
 
-def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
+def _segment_batch(rows: list) -> pa.RecordBatch:
+    """A batch of ``SEGMENTS`` from its columns."""
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
-    columns = list(zip(*rows)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in SEGMENTS.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], [x.split()[0] for x in SEGMENTS.split(", ")])
 
 
 def segments(packs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
@@ -160,22 +169,24 @@ def segments(packs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     high = length - length // 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for row, ids, sizes, data in _opened(batches):
-            pack, keys = row["pack"].as_py(), np.sort(np.asarray(row["keys"].values.to_numpy()).view(np.uint64))
+            keys = np.sort(np.asarray(row["keys"].values.to_numpy()).view(np.uint64))
             first, n, place, key = anchor_runs(data, sizes, length)
             mine = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
-            first, n, place, key = first[mine], n[mine], place[mine], key[mine].view(np.int64)
+            first, n, place, key = first[mine], n[mine], place[mine], key[mine]
             begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
             of = np.searchsorted(begins, first, "right") - 1
-            raw, seen, rows = data.tobytes(), set(), []
-            for a, m, p, k, r, s in zip(first.tolist(), n.tolist(), (place - first).tolist(), key.tolist(), of.tolist(), (first - begins[of]).tolist()):
-                content = raw[a : a + m - 1 + length]
-                digest = _digest(content)
-                new = (k, digest) not in seen
-                if new:
-                    seen.add((k, digest))
-                rows.append((pack, r, s, _LAST_ID if ids[r] is None else ids[r], k, digest, content if new else None, p, 0, high))
-            yield _segment_batch(rows)
+            raw, digest_of = data.tobytes(), xxhash.xxh3_64_intdigest
+            spans = list(zip(first.tolist(), (first + n - 1 + length).tolist()))
+            digest = np.fromiter((digest_of(raw[a:b]) for a, b in spans), np.uint64, len(spans))
+            new = np.zeros(len(spans), bool)
+            new[np.unique(digest, return_index=True)[1]] = True  # equal contents have equal anchors
+            texts = [raw[a:b] if x else None for (a, b), x in zip(spans, new.tolist())]
+            own = np.array([_LAST_ID if i is None else i for i in ids], np.int64)
+            same = np.zeros(len(spans), np.int32)
+            yield _segment_batch([np.full(len(spans), row["pack"].as_py()), of, first - begins[of], own[of], key.view(np.int64), digest.view(np.int64), texts, place - first, same, same + high])
         release()
 
     return packs.join(anchors, "pack").mapInArrow(run, SEGMENTS)
@@ -203,7 +214,7 @@ def halved(rows: DataFrame, length: int) -> DataFrame:
                         shared = r["content"][r["anchor"] - low : r["anchor"] - high + length]
                         key = _digest(shared + low.to_bytes(4, "big") + high.to_bytes(4, "big"))
                         out.append((r["pack"], r["row"], r["start"] + a, r["id"], key, _digest(content), content, r["anchor"] - a, low, high))
-            yield _segment_batch(out)
+            yield _segment_batch(list(zip(*out)) or [()] * 10)
 
     return rows.mapInArrow(run, SEGMENTS)
 
@@ -212,96 +223,131 @@ class RunLengthIndex:
     """Burrows-Wheeler transform in runs of texts without the sign 255, with suffix array samples at both ends of every run; rows that share ``length`` bytes are known."""
 
     def __init__(self, texts: list[bytes], length: int):
-        self.data = data = np.frombuffer(b"\xff".join([*texts, b""]), np.uint8)
-        self.length, n = length, len(data)
+        data = np.frombuffer(b"\xff".join([*texts, b""]), np.uint8)
+        n = len(data)
         sizes = np.array([len(t) for t in texts], np.int64)
         self.begins = np.cumsum(sizes + 1) - sizes - 1
         self.text_of = np.repeat(np.arange(len(texts)), sizes + 1)
         left = np.repeat(self.begins + sizes + 1, sizes + 1) - np.arange(n)  # bytes up to the end sign, with it
-        rank, reach, same = self._first(data, left), 5, None
-        order = None
-        most = int(left.max(initial=1))
+        self.padded = np.concatenate([data, np.full(8, _END, np.uint8)])
+        self.data = self.padded[:n]
+        order, rank, reach = self._first(data, left)
+        same, most = None, int(left.max(initial=1))
+        open_ = np.arange(n)
         while True:
             if same is None and 2 * reach > length:
-                same = (rank, rank[np.minimum(np.arange(n) + length - reach, n - 1)])
+                same = (rank.copy(), rank[np.minimum(np.arange(n) + length - reach, n - 1)])
             if reach >= most and same is not None:
                 break
-            behind = np.zeros(n, np.int64)
-            behind[: n - reach] = rank[reach:] + 1
-            behind[left <= reach] = 0
-            order, rank = self._ranked(rank, behind)
+            open_ = self._refined(order, rank, open_, left, reach)
             reach *= 2
-        if order is None:
-            order, _ = self._ranked(rank, np.zeros(n, np.int64))
         # Equal suffixes are equal up to their end signs: they stand in the order of their texts, which is that of their places.
         whole = left[order] > length
+        a, b = same[0][order], same[1][order]
         new = np.ones(n, bool)
-        new[1:] = (same[0][order[1:]] != same[0][order[:-1]]) | (same[1][order[1:]] != same[1][order[:-1]]) | ~whole[1:] | ~whole[:-1]
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | ~whole[1:] | ~whole[:-1]
         self.groups, self.order = np.flatnonzero(new), order
+        self.group_of = np.cumsum(new, dtype=np.int32) - 1
         last = data[order - 1]
-        cut = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
+        edge = np.ones(n, bool)
+        edge[1:] = last[1:] != last[:-1]
+        cut = np.flatnonzero(edge)
+        self.run_of = np.cumsum(edge, dtype=np.int32) - 1  # a row's run without a search
         self.starts, self.sign = cut, last[cut].astype(np.int64)
         ends = np.append(cut[1:], n)
         self.at_start, self.at_end, self.ends = order[cut], order[ends - 1], ends
         by_sign = np.argsort(self.sign, kind="stable")
-        before = np.cumsum(ends[by_sign] - cut[by_sign]) - (ends[by_sign] - cut[by_sign])
         self.jump = np.empty(len(cut), np.int64)  # LF of the first row of each run
-        self.jump[by_sign] = before
+        self.jump[by_sign] = np.cumsum(ends[by_sign] - cut[by_sign]) - (ends[by_sign] - cut[by_sign])
         self.runs = self.sign[by_sign] * len(cut) + by_sign  # by sign, then place
 
     @staticmethod
-    def _first(data: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Ranks by five bytes, none behind an end sign."""
-        padded = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.int64)
-        key = np.zeros(len(data), np.int64)
-        for k in range(5):
-            key = key << 8 | np.where(left > k, padded[k : k + len(data)], 0)
-        return RunLengthIndex._ranked(key, np.zeros(len(data), np.int64), 40)[1]
+    def _first(data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, int]:
+        """(ranks by the first bytes, how many): as many as fit into a number beside the place, none behind an end sign."""
+        n, there = len(data), np.bincount(data, minlength=256) > 0
+        small = np.cumsum(there)[data]  # from 1 on; the end sign is the largest
+        width, bits = int(small.max(initial=1)).bit_length(), max(1, n.bit_length())
+        reach = max(1, min(8, (63 - bits) // width))
+        key = small.copy()
+        for k in range(1, reach):
+            key <<= width
+            key[: n - k] |= small[k:]
+        # Where an end sign stands among these bytes, what follows it is blanked.
+        near = np.flatnonzero(left < reach)
+        blank = (reach - left[near]) * width
+        key[near] = key[near] >> blank << blank
+        order, new = RunLengthIndex._sorted(key, None, np.arange(n), reach * width, bits)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+        return order, rank, reach
+
+    @staticmethod
+    def _refined(order: np.ndarray, rank: np.ndarray, open_: np.ndarray, left: np.ndarray, reach: int) -> np.ndarray:
+        """Doubles the bytes by which suffixes are ordered, in place, and returns those that are still tied. A rank is the first place of its ties, so only these move, inside their places."""
+        n, bits = len(rank), max(1, len(rank).bit_length())
+        old = rank[open_]
+        tied = np.bincount(old, minlength=n)[old] > 1
+        tied &= left[open_] > reach  # others are equal up to their end signs: done
+        open_, old = open_[tied], old[tied]
+        behind = rank[open_ + reach] + 1
+        by, new = RunLengthIndex._sorted(old, behind, open_, bits, bits)
+        if not len(by):
+            return by
+        old, at = rank[by], np.arange(len(by))
+        first = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))
+        place = old + at - np.repeat(first, np.diff(np.append(first, len(by))))
+        order[place] = by
+        rank[by] = place[np.flatnonzero(new)][np.cumsum(new) - 1]
+        return by
 
     @staticmethod
-    def _ranked(first: np.ndarray, second: np.ndarray, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(order by (first, second, place), dense ranks of the pairs)."""
-        n = len(first)
-        bits = max(1, int(n).bit_length())
-        if (width or 2 * bits) + bits <= 63:  # all three numbers in one: sorting values is much faster than sorting places
-            key = first if width else first << bits | second
-            packed = key << bits | np.arange(n)
+    def _sorted(first: np.ndarray, second: np.ndarray | None, place: np.ndarray, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places by (first, second, place), whether each begins a new pair). ``first`` has ``width`` bits, the others ``bits``."""
+        new = np.ones(len(first), bool)
+        if width + bits * (1 if second is None else 2) <= 63:  # all in one number: sorting values is much faster than sorting places
+            packed = first << bits
+            if second is not None:
+                packed |= second
+                packed <<= bits
+            packed |= place
             packed.sort()
-            order, key = packed & ((1 << bits) - 1), packed >> bits
-        else:
-            order = np.lexsort((second, first))
-            key = None
-        new = np.zeros(n, bool)
-        new[1:] = key[1:] != key[:-1] if key is not None else (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        return order, rank
+            by = packed & ((1 << bits) - 1)
+            packed >>= bits
+            new[1:] = packed[1:] != packed[:-1]
+            return by, new
+        second = np.zeros(len(first), np.int64) if second is None else second
+        order = np.lexsort((place, second, first))
+        a, b = first[order], second[order]
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return place[order], new
 
     def _shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """How many bytes the texts at ``a`` and ``b`` share, ``most`` at most."""
+        """How many bytes the texts at ``a`` and ``b`` share, ``most`` at most; eight at a time. Matches have no end sign in them, so none is counted."""
+        words = np.ndarray((len(self.padded) - 7,), "<u8", self.padded, strides=(1,))
         shared, going = np.zeros(len(a), np.int64), np.flatnonzero(most > 0)
+        last = len(words) - 1
         while len(going):
-            x, y = a[going] + shared[going], b[going] + shared[going]
-            fits = (x < len(self.data)) & (y < len(self.data)) & (shared[going] < most[going])
-            going, x, y = going[fits], x[fits], y[fits]
-            going = going[(self.data[x] == self.data[y]) & (self.data[x] != _END)]
-            shared[going] += 1
-        return shared
+            x = words[np.minimum(a[going] + shared[going], last)] ^ words[np.minimum(b[going] + shared[going], last)]
+            # Zero bits below the lowest one that is set, in bytes.
+            same = np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)
+            shared[going] += same
+            going = going[(same == 8) & (shared[going] < most[going])]
+        return np.minimum(shared, most)
 
     def stream(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Matching statistics, from the last byte of all texts to the first: (numbers of the texts that have a byte there, its place, row, length of the longest match that starts there) for each step."""
         sizes = np.array([len(t) for t in texts], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
-        ends = np.cumsum(sizes)
-        row, length = (np.zeros(len(texts), np.int64) for _ in range(2))
+        queue = np.argsort(-sizes, kind="stable")  # longest first: those that have a byte left are always the first ones
+        sizes, ends = sizes[queue], np.cumsum(sizes)[queue]
+        row, length = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         place = np.full(len(texts), self.at_start[0])  # of row 0
-        n_runs, queue = len(self.starts), np.argsort(-sizes, kind="stable")
-        long_first = -sizes[queue]
+        n_runs = len(self.starts)
         for step in range(1, int(sizes.max(initial=0)) + 1):
-            who = queue[: np.searchsorted(long_first, -step, "right")]
-            sign = data[ends[who] - step].astype(np.int64)
-            q, at, n = row[who], place[who], length[who]
-            run = np.searchsorted(self.starts, q, "right") - 1
+            m = int(np.searchsorted(-sizes, -step, "right"))
+            sign = data[ends[:m] - step].astype(np.int64)
+            q, at, n = row[:m], place[:m], length[:m]
+            run = self.run_of[q].astype(np.int64)
             off = np.flatnonzero(self.sign[run] != sign)
             if len(off):
                 near = np.searchsorted(self.runs, sign[off] * n_runs + run[off])
@@ -315,41 +361,42 @@ class RunLengthIndex:
                 q[off] = np.where(above, self.ends[up] - 1, self.starts[down])
                 at[off] = np.where(above, self.at_end[up], self.at_start[down])
                 n[off] = np.maximum(s_up, s_down)
-            found = n >= 0  # a sign that the index doesn't have ends every match
-            q = np.where(found, self.jump[run] + q - self.starts[run], 0)
-            row[who], place[who], length[who] = q, np.where(found, at - 1, self.at_start[0]), np.where(found, n + 1, 0)
-            yield who, sizes[who] - step, q, length[who]
+            q += self.jump[run] - self.starts[run]
+            at -= 1
+            n += 1
+            if len(off) and len(lost := off[n[off] == 0]):  # a sign that the index doesn't have ends every match
+                q[lost], at[lost] = 0, self.at_start[0]
+            yield queue[:m], sizes[:m] - step, q, n
 
 
-def earliest_places(frame: dict[str, list], length: int) -> Iterator[tuple[int, int, list[tuple[int, int, int, int]]]]:
-    """(key, digest, parts) of the contents of a group that have an earlier or another occurrence; part: (first string, end, id and start of the earliest place of the first)."""
+def earliest_places(frame: dict[str, list], length: int) -> tuple[np.ndarray, ...]:
+    """(content, first string, end, id, start) of the parts of a group's contents that stand earlier or elsewhere too: id and start are of the earliest place of the part's first string."""
     texts, n = frame["content"], np.array(frame["n"])
     index = RunLengthIndex(texts, length)
     ids, of_id = np.unique(np.array(frame["id"], np.int64), return_inverse=True)
     starts = np.array(frame["start"], np.int64)
     # Earliest place of the rows that share their first bytes: the number of the id above, the start in the lower 40 bits.
-    of = index.text_of[index.order]
-    own = of_id.astype(np.int64) << 40
-    earliest = np.minimum.reduceat(own[of] + starts[of] + index.order - index.begins[of], index.groups)
+    own = (of_id.astype(np.int64) << 40) + starts
+    at_text = (own - index.begins)[index.text_of] + np.arange(len(index.text_of))
+    earliest = np.minimum.reduceat(at_text[index.order], index.groups)
     counts = np.array([len(t) - length + 1 for t in texts], np.int64)
     begins = np.concatenate([[0], np.cumsum(counts)])
-    found = np.repeat(own + starts, counts) + np.arange(begins[-1]) - np.repeat(begins[:-1], counts)
+    string, number = np.arange(begins[-1]), np.repeat(np.arange(len(texts)), counts)
+    itself = (own - begins[:-1])[number] + string
+    found = itself.copy()
     for who, at, row, matched in index.stream(texts):
-        hit = matched >= length
-        found[begins[who[hit]] + at[hit]] = earliest[np.searchsorted(index.groups, row[hit], "right") - 1]
+        hit = np.flatnonzero(matched >= length)
+        if len(hit):
+            found[begins[who[hit]] + at[hit]] = earliest[index.group_of[row[hit]]]
     # Strings in a row whose earliest places are in a row too are one part.
-    string = np.arange(begins[-1])
-    number = np.repeat(np.arange(len(texts)), counts)
     new = np.ones(len(string), bool)
-    new[1:] = (np.diff(found) != 1) | (np.diff(number) != 0)
+    new[1:] = (np.diff(found) != 1) | (number[1:] != number[:-1])
     first = np.flatnonzero(new)
     end = np.append(first[1:], len(string))
-    worth = (n[number[first]] > 1) | (found[first] != (own + starts)[number[first]] + first - begins[number[first]])
-    parts: dict[int, list] = {}
-    for t, a, b, e in zip(number[first][worth].tolist(), first[worth].tolist(), end[worth].tolist(), found[first][worth].tolist()):
-        parts.setdefault(t, []).append((a - int(begins[t]), b - int(begins[t]), int(ids[e >> 40]), e & ((1 << 40) - 1)))
-    for t, own_parts in parts.items():
-        yield frame["key"][t], frame["digest"][t], own_parts
+    worth = (n[number[first]] > 1) | (found[first] != itself[first])
+    first, end = first[worth], end[worth]
+    of, place = number[first], found[first]
+    return of, first - begins[of], end - begins[of], ids[place >> 40], place & ((1 << 40) - 1)
 
 
 def places(each: DataFrame, length: int, group_bytes: int) -> DataFrame:
@@ -358,11 +405,12 @@ def places(each: DataFrame, length: int, group_bytes: int) -> DataFrame:
     groups = max(1, -(-size // group_bytes))
 
     def run(table: pa.Table) -> pa.Table:
-        rows = list(earliest_places(table.to_pydict(), length))
-        keys, digests, parts = zip(*rows) if rows else ((), (), ())
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("id", pa.int64()), ("start", pa.int64())]))
-        parts = [[dict(zip(("first", "end", "id", "start"), p)) for p in own] for own in parts]
-        return pa.table([pa.array(keys, pa.int64()), pa.array(digests, pa.int64()), pa.array(parts, kind)], ["key", "digest", "parts"])
+        of, *parts = earliest_places(table.to_pydict(), length)
+        own, n = np.unique(of, return_counts=True)
+        kinds = (("first", pa.int32()), ("end", pa.int32()), ("id", pa.int64()), ("start", pa.int64()))
+        flat = pa.StructArray.from_arrays([pa.array(p).cast(k) for p, (_, k) in zip(parts, kinds)], [name for name, _ in kinds])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), flat)
+        return pa.table([table["key"].take(pa.array(own)), table["digest"].take(pa.array(own)), lists], ["key", "digest", "parts"])
 
     return each.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("group").applyInArrow(run, PLACES)
 
@@ -377,34 +425,37 @@ def marks(found: DataFrame, placed: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 100, pack_bytes: int = PACK_BYTES, group_bytes: int = GROUP_BYTES, most: int = MOST) -> DataFrame:
     """(id, n_bytes, spans, kept) of each row: the removed runs of bytes and what is left of the text. ``length``: 40 or more."""
-    packs = stored(pack_texts(docs, id, text, pack_bytes), "packs")
+    spark = docs.sparkSession
+    packs = stored(pack_texts(docs, id, text, pack_bytes), "packs")  # compressed already
     anchors = repeated_anchors(packs, length)
-    now = stored(segments(packs, anchors, length), "segments")
+    free_shuffles(spark)
+    now = stored(segments(packs, anchors, length), "segments", "zstd")
     drop_stored(anchors)
+    free_shuffles(spark)
     hits = None
     while True:
-        each = stored(contents(now), "contents")
+        each = stored(contents(now), "contents", "zstd")
         of_key = each.groupBy("key").agg(F.count("*").alias("n_contents"), F.sum("n").alias("n_all"))
         crowded = stored(of_key.filter(F.col("n_contents") > most).select("key"), "crowded")
         is_crowded = crowded.limit(1).count() > 0
         alone = of_key.filter(F.col("n_all") == 1).select("key")
         placed = stored(places(each.join(crowded if is_crowded else alone, "key", "left_anti"), length, group_bytes), "places")
+        free_shuffles(spark)
         own = marks(now, placed)
         hits = own if hits is None else hits.unionByName(own)
         if not is_crowded:
             break
         hot = now.drop("content").join(crowded, "key").join(each.select("key", "digest", "content"), ["key", "digest"])
-        now = stored(halved(hot.select(*[x.split()[0] for x in SEGMENTS.split(", ")]), length), "segments")
+        now = stored(halved(hot.select(*[x.split()[0] for x in SEGMENTS.split(", ")]), length), "segments", "zstd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, ids, sizes, data in _opened(batches):
             begins = np.concatenate([[0], np.cumsum(sizes + 1)])
             change = np.zeros(len(data) + 1, np.int32)
-            for own in row["hits"].as_py() or ():
-                for hit in own:
-                    at = int(begins[hit["row"]])
-                    change[at + hit["first"]] += 1
-                    change[at + hit["end"] - 1 + length] -= 1
+            if row["hits"].is_valid:
+                of, first, end = (row["hits"].values.flatten().field(c).to_numpy() for c in ("row", "first", "end"))
+                np.add.at(change, begins[of] + first, 1)
+                np.add.at(change, begins[of] + end - 1 + length, -1)
             gone = np.cumsum(change[:-1]) > 0
             edges = np.flatnonzero(np.diff(gone.view(np.int8), prepend=0, append=0))
             of = np.searchsorted(begins, edges[::2], "right") - 1
