@@ -1,15 +1,11 @@
-"""Classical models through MLlib."""
+"""Classical models through MLlib. Boosted trees (M20) are in ``boosting``."""
 
 from __future__ import annotations
 
-import random
-
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,25 +20,6 @@ def fit_forest(df: DataFrame, features: list[str], target: str, classify: bool =
     return _assembled(features, kind(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed)).fit(df)
 
 
-#: What the random search of M20 draws from, by parameter of the boosted trees. Shares of features and rows stand for column and row sampling, the least gain
-#: of a split and the least share of a leaf for the penalties that MLlib's trees don't have.
-BOOSTED = {
-    "maxIter": [100, 200, 300, 500], "stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 6, 9], "minInstancesPerNode": [1, 3, 5], "subsamplingRate": [0.7, 0.85, 1.0], "featureSubsetStrategy": ["0.7", "0.85", "1.0"],
-    "minInfoGain": [0.0, 0.001, 0.01, 0.1], "minWeightFractionPerNode": [0.0, 0.005, 0.01, 0.02],
-}
-
-
-def fit_boosted(df: DataFrame, features: list[str], target: str, draws: int = 100, folds: int = 10, seed: int = 0, choices: dict[str, list] = BOOSTED):
-    """Boosted trees, one against the rest, with a random search over eight parameters by cross-validation. A model for each of ``draws`` and ``folds``, so both bound
-    the work; equal draws are tried once."""
-    base, rng = GBTClassifier(seed=seed), random.Random(seed)
-    drawn = {tuple(rng.choice(v) for v in choices.values()) for _ in range(draws)}
-    rest = OneVsRest(classifier=base, labelCol=target, featuresCol="feature_vector")
-    maps = [{rest.classifier: base.copy({base.getParam(n): v for n, v in zip(choices, d)})} for d in sorted(drawn, key=str)]
-    rows = VectorAssembler(inputCols=features, outputCol="feature_vector").transform(df)
-    return CrossValidator(estimator=rest, estimatorParamMaps=maps, evaluator=MulticlassClassificationEvaluator(labelCol=target), numFolds=folds, seed=seed).fit(rows)
-
-
 def fit_tree(df: DataFrame, features: list[str], target: str, depth: int = 30, seed: int = 0):
     """One tree by entropy gain; MLlib's depth ends at 30."""
     return _assembled(features, DecisionTreeClassifier(labelCol=target, impurity="entropy", maxDepth=min(depth, 30), seed=seed)).fit(df)

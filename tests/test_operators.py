@@ -260,12 +260,3 @@ def test_forest_and_tree_learn_a_threshold(spark):
     wood = models.fit_forest(df, ["a", "b"], "z", classify=False, trees=30, depth=6)
     err = [r.z - r.prediction for r in wood.transform(df).select("z", "prediction").collect()]
     assert np.mean(np.square(err)) < 0.1 * np.var([r[3] for r in rows])
-
-
-def test_boosted_search_keeps_the_best_draw(spark):
-    df, _ = labelled(spark)
-    choices = models.BOOSTED | {"maxIter": [1, 3], "maxDepth": [1, 2], "minWeightFractionPerNode": [0.0, 0.49]}
-    found = models.fit_boosted(df, ["a", "b"], "y", draws=3, folds=2, choices=choices)
-    assert len(choices) == 8 and 1 < len(found.avgMetrics) <= 3 and max(found.avgMetrics) > 0.9
-    got = found.transform(models.VectorAssembler(inputCols=["a", "b"], outputCol="feature_vector").transform(df)).select("y", "prediction").collect()
-    assert np.mean([r.y == r.prediction for r in got]) > 0.9
