@@ -50,10 +50,10 @@ def barest_date(points: DataFrame, obs: DataFrame, point: str, scene: str, ndvi:
 
 
 def phenology_metrics(obs: DataFrame, value: str, pixel: str = "pixel_id", ts: str = "ts", scene: str = "event_id") -> DataFrame:
-    """(pixel, peak_time, min_time, mean_time, mean_value): MJD of the highest and lowest value, mean MJD and mean value."""
+    """(pixel, peak_time, min_time, mean_time, mean_value): MJD of the highest and lowest value, mean MJD (of whole microseconds, so exact) and mean value."""
     mjd = to_mjd(F.col(ts))
     return obs.groupBy(pixel).agg(
-        F.min_by(mjd, F.struct(-F.col(value), F.col(ts), F.col(scene))).alias("peak_time"), F.min_by(mjd, F.struct(F.col(value), F.col(ts), F.col(scene))).alias("min_time"), F.avg(mjd).alias("mean_time"), F.avg(value).alias("mean_value"),
+        F.min_by(mjd, F.struct(-F.col(value), F.col(ts), F.col(scene))).alias("peak_time"), F.min_by(mjd, F.struct(F.col(value), F.col(ts), F.col(scene))).alias("min_time"), (F.avg(F.unix_micros(F.col(ts).cast("timestamp"))) / 86_400_000_000 + 40_587).alias("mean_time"), F.avg(value).alias("mean_value"),
     )
 
 

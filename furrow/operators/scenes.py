@@ -68,7 +68,7 @@ def scale_bands(obs: DataFrame, selection: str, keys: list[str], factor: float =
 
 def to_mjd(ts):
     """A timestamp as modified Julian day."""
-    return F.unix_millis(ts.cast("timestamp")) / 86_400_000 + 40_587
+    return F.unix_micros(ts.cast("timestamp")) / 86_400_000_000 + 40_587
 
 
 def mjd_to_doy(mjd, base: float = 58_484):

@@ -28,7 +28,7 @@ VIEWS = {
     # Reported areas of countries: in thousands, some 0, some absent.
     "reported": "SELECT CAST(n_nationkey + 1 AS BIGINT) AS country_code, CAST((n_nationkey % 4) * 0.5 AS DOUBLE) AS value FROM {nation} WHERE n_nationkey % 6 <> 5",
     # Observations: events of pixels with a class and a clear-sky score.
-    "obs": """SELECT event_id, event_id AS scene_id, ts, user_id % 97 AS pixel_id, user_id % 13 AS tile_id, user_id, event_type, value, value / 1000 AS ndvi, CAST(event_id % 12 AS INT) AS scl, CAST((event_id * 37) % 100 AS DOUBLE) / 100 AS cs_cdf,
+    "obs": """SELECT event_id, event_id AS scene_id, ts, user_id AS pixel_id, user_id % 13 AS tile_id, user_id, event_type, value, value / 1000 AS ndvi, CAST(event_id % 12 AS INT) AS scl, CAST((event_id * 37) % 100 AS DOUBLE) / 100 AS cs_cdf,
         CAST((event_id * 13) % 100 AS DOUBLE) AS cloudy_pct FROM {events}""",
     # Patches: embeddings as 8 x 8 pixels.
     "predictions": "SELECT doc_id, quality AS y_true, CAST(CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS INT) AS y_pred, CAST((doc_id * 31) % 50 AS DOUBLE) / 100 + quality * 0.4 AS p1, toxic FROM {labels} WHERE quality IS NOT NULL",
@@ -54,11 +54,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in df.dtypes])
 
 
-def plan(sql: str | None = None):
-    """Register a query under its function's name; its doubles are rounded to six digits."""
+def plan(sql: str | None = None, digits: int = 6):
+    """Register a query under its function's name; its doubles are rounded to ``digits``."""
 
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f

@@ -288,7 +288,7 @@ def r9_scale_bands(spark, sf):
     return R.scale_bands(li, "false_colour", ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
-@plan("SELECT event_id, CAST(floor(epoch_ms(ts) / 86400000.0 + 40587) AS BIGINT) AS mjd_day, CAST(floor(epoch_ms(ts) / 86400000.0 + 40587 - 58484 + 1) AS BIGINT) AS doy, CAST((floor(epoch_ms(ts) / 86400000.0 + 40587) - 40587) * 86400000 AS BIGINT) AS day_ms FROM events")
+@plan("SELECT event_id, CAST(floor(epoch_us(ts) / 86400000000.0 + 40587) AS BIGINT) AS mjd_day, CAST(floor(epoch_us(ts) / 86400000000.0 + 40587 - 58484 + 1) AS BIGINT) AS doy, CAST((floor(epoch_us(ts) / 86400000000.0 + 40587) - 40587) * 86400000 AS BIGINT) AS day_ms FROM events")
 def r10_to_mjd(spark, sf):
     mjd = R.to_mjd(F.col("ts"))
     return table(spark, sf, "events").select("event_id", F.floor(mjd).alias("mjd_day"), F.floor(R.mjd_to_doy(mjd)).alias("doy"), R.mjd_to_ms(F.floor(mjd)).alias("day_ms"))
@@ -314,7 +314,7 @@ def r13_quadrant_of(spark, sf):
 
 
 COMPOSITE = """comp AS (SELECT pixel_id, bin, avg(value) AS mean, any_value(mjd) AS mjd FROM (SELECT *, CAST(floor(datediff('day', DATE '2024-01-02', CAST(ts AS DATE)) / 3.0) AS BIGINT) AS bin FROM obs) AS o
-  JOIN (SELECT bin, avg(m) AS mjd FROM (SELECT DISTINCT CAST(floor(datediff('day', DATE '2024-01-02', CAST(ts AS DATE)) / 3.0) AS BIGINT) AS bin, epoch_ms(ts) / 86400000.0 + 40587 AS m FROM obs) AS d GROUP BY 1) AS t USING (bin) WHERE bin >= 0 GROUP BY 1, 2)"""
+  JOIN (SELECT bin, avg(m) AS mjd FROM (SELECT DISTINCT CAST(floor(datediff('day', DATE '2024-01-02', CAST(ts AS DATE)) / 3.0) AS BIGINT) AS bin, epoch_us(ts) / 86400000000.0 + 40587 AS m FROM obs) AS d GROUP BY 1) AS t USING (bin) WHERE bin >= 0 GROUP BY 1, 2)"""
 
 
 def with_obs(*steps: str, body: str, doubles: str = "", digits: int = 6) -> str:
@@ -359,7 +359,7 @@ def r24_barest_date(spark, sf):
     return P.barest_date(o.select("pixel_id").distinct(), o, "pixel_id", "user_id", "value", "ts", 40)
 
 
-@plan(oracle("""SELECT pixel_id, first(m ORDER BY value DESC, ts, event_id) AS peak_time, first(m ORDER BY value, ts, event_id) AS min_time, avg(m) AS mean_time, avg(value) AS mean_value FROM (SELECT *, epoch_ms(ts) / 86400000.0 + 40587 AS m FROM obs) AS z GROUP BY 1""", "obs", doubles="peak_time min_time mean_time mean_value"))
+@plan(oracle("""SELECT pixel_id, first(m ORDER BY value DESC, ts, event_id) AS peak_time, first(m ORDER BY value, ts, event_id) AS min_time, avg(m) AS mean_time, avg(value) AS mean_value FROM (SELECT *, epoch_us(ts) / 86400000000.0 + 40587 AS m FROM obs) AS z GROUP BY 1""", "obs", doubles="peak_time min_time mean_time mean_value"))
 def r25_phenology_metrics(spark, sf):
     return P.phenology_metrics(obs(spark, sf), "value")
 
@@ -478,9 +478,9 @@ def k2_cluster_sizes(spark, sf):
     return K.cluster_sizes(clusters(spark, sf))
 
 
-@plan(with_obs(COMPOSITE, CLUSTERS, SERIES, body="SELECT * FROM ser", doubles="mean std p05 p25 p75 p95", digits=3))
+@plan(with_obs(COMPOSITE, CLUSTERS, SERIES, body="SELECT * FROM ser", doubles="mean std p05 p25 p75 p95", digits=9), digits=9)  # interpolated means of hundredths: fewer digits would meet halves
 def k3_cluster_timeseries(spark, sf):
-    return rounded(series(spark, sf), 3)
+    return series(spark, sf)
 
 
 @plan(with_obs(COMPOSITE, CLUSTERS, SERIES, body="""SELECT cluster, CAST(doy AS DOUBLE) AS doy, mean FROM (SELECT cluster, bin * 3 AS doy, mean, lag(mean) OVER (PARTITION BY cluster ORDER BY bin) AS a, lead(mean) OVER (PARTITION BY cluster ORDER BY bin) AS b FROM ser) AS z WHERE mean > a AND mean > b""", doubles="mean"))
