@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.session import stored
-
 
 def same_keys(a: DataFrame, b: DataFrame, keys: list[str]):
     """Equality of keys in which null equals null; true for no keys."""
@@ -20,11 +18,11 @@ def running_sums(df: DataFrame, by: list[str], order: str, sums: list[str], desc
     """``df``, one row for each group and value of the number ``order``, with run_<c> for each of ``sums``: the sum of c over the rows up to this one.
 
     A group's values are cut at approximate quantiles into ranges of about equal size; the ranges' sums are added up first (at most ``ranges`` rows for each group), and only
-    the rows of one range are ordered in one task. Rows whose ``order`` is null are passed over; a null in a key is a group of its own. Columns that begin with r_ are used here.
+    the rows of one range are ordered in one task. ``df`` is read three times: give it a stored table or the result of a group-by, whose shuffle Spark reads again. Rows whose ``order`` is null are passed over; a null in a key is a group of its own. Columns that begin with r_ are used here.
     """
     rows = df.filter(F.col(order).isNotNull())
     shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    cuts = stored(rows.groupBy(*[F.col(c).alias(f"r_{c}") for c in by]).agg(F.percentile_approx(order, shares, F.lit(10 * ranges)).alias("r_cuts")), "ranges")
+    cuts = rows.groupBy(*[F.col(c).alias(f"r_{c}") for c in by]).agg(F.percentile_approx(order, shares, F.lit(10 * ranges)).alias("r_cuts"))
     on = F.lit(True)
     for c in by:
         on = on & rows[c].eqNullSafe(cuts[f"r_{c}"])
@@ -33,7 +31,7 @@ def running_sums(df: DataFrame, by: list[str], order: str, sums: list[str], desc
     mine = [f"r_{c}" for c in by] + ["r_part"]
     totals = marked.groupBy(*mine).agg(*[F.sum(c).alias(f"r_sum_{c}") for c in sums])
     up = Window.partitionBy(*mine[:-1]).orderBy("r_part") if by else Window.partitionBy(F.lit(0)).orderBy("r_part")  # at most a row for each range
-    before = stored(totals.select(*[F.col(m).alias(f"{m}_") for m in mine], *[(F.sum(f"r_sum_{c}").over(up) - F.col(f"r_sum_{c}")).alias(f"r_before_{c}") for c in sums]), "range-sums")
+    before = totals.select(*[F.col(m).alias(f"{m}_") for m in mine], *[(F.sum(f"r_sum_{c}").over(up) - F.col(f"r_sum_{c}")).alias(f"r_before_{c}") for c in sums])
     met = F.lit(True)
     for m in mine:
         met = met & marked[m].eqNullSafe(before[f"{m}_"])

@@ -94,22 +94,28 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
     Rows are counted by (group, x, y) and ranks are running counts over the distinct values, so neither a large group nor a common value meets in one task.
     """
-    pairs = stored(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("s_x"), F.col(y).alias("s_y")).agg(F.count("*").alias("s_n")))
+    keys = [f"s_by_{k}" for k in range(len(by))]
+    complete = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = stored(complete.groupBy(*[F.col(b).alias(k) for k, b in zip(keys, by)], F.col(x).cast("double").alias("s_x"), F.col(y).cast("double").alias("s_y")).agg(F.count("*").alias("s_n")), "pairs")
+    # Both columns in one long table, so that both are ranked by the same steps.
+    both = F.explode(F.array(F.struct(F.lit(0).alias("s_column"), F.col("s_x").alias("s_v")), F.struct(F.lit(1).alias("s_column"), F.col("s_y").alias("s_v"))))
+    ties = pairs.select(*keys, both.alias("s"), "s_n").groupBy(*keys, "s.s_column", "s.s_v").agg(F.sum("s_n").alias("s_ties"))
+    ranks = stored(running_sums(ties, [*keys, "s_column"], "s_v", ["s_ties"]).withColumn("s_rank", F.col("run_s_ties") - (F.col("s_ties") - 1) / 2), "ranks")
     ranked = pairs
-    for c in ("s_x", "s_y"):
-        steps = running_sums(pairs.groupBy(*by, c).agg(F.sum("s_n").alias("s_ties")), by, c, ["s_ties"])
-        steps = stored(steps.select(*[F.col(b).alias(f"s_by_{b}") for b in by], F.col(c).alias(f"{c}_key"), (F.col("run_s_ties") - (F.col("s_ties") - 1) / 2).alias(f"{c}_rank")))
-        on = F.col(c) == F.col(f"{c}_key")
-        for b in by:
-            on = on & F.col(b).eqNullSafe(F.col(f"s_by_{b}"))
-        ranked = ranked.join(steps, on).drop(f"{c}_key", *[f"s_by_{b}" for b in by])
+    for k, c in enumerate(("s_x", "s_y")):
+        own = ranks.filter(F.col("s_column") == k).select(*[F.col(b).alias(f"{b}_{k}") for b in keys], F.col("s_v").alias(f"s_v_{k}"), F.col("s_rank").alias(f"{c}_rank"))
+        on = F.col(c) == F.col(f"s_v_{k}")
+        for b in keys:
+            on = on & F.col(b).eqNullSafe(F.col(f"{b}_{k}"))
+        ranked = ranked.join(own, on)
     # The mean rank is (n + 1) / 2 on both sides.
-    sizes = stored(pairs.groupBy(*[F.col(b).alias(f"s_by_{b}") for b in by]).agg(((F.sum("s_n") + 1) / 2).alias("s_mean")))
+    sizes = pairs.groupBy(*[F.col(b).alias(f"{b}_n") for b in keys]).agg(((F.sum("s_n") + 1) / 2).alias("s_mean"))
     on = F.lit(True)
-    for b in by:
-        on = on & F.col(b).eqNullSafe(F.col(f"s_by_{b}"))
+    for b in keys:
+        on = on & F.col(b).eqNullSafe(F.col(f"{b}_n"))
     dx, dy, n = F.col("s_x_rank") - F.col("s_mean"), F.col("s_y_rank") - F.col("s_mean"), F.col("s_n")
-    return ranked.join(sizes, on).groupBy(*by).agg(F.try_divide(F.sum(n * dx * dy), F.sqrt(F.sum(n * dx * dx)) * F.sqrt(F.sum(n * dy * dy))).alias("rho"))
+    sums = ranked.join(sizes, on).groupBy(*keys).agg(F.try_divide(F.sum(n * dx * dy), F.sqrt(F.sum(n * dx * dx)) * F.sqrt(F.sum(n * dy * dy))).alias("rho"))
+    return sums.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], "rho")
 
 
 def spearman_global(df: DataFrame, x: str, y: str) -> float:

@@ -206,7 +206,7 @@ def _correlations_sql() -> str:
 @plan(_correlations_sql())
 def t5_sensitivity_correlations(spark, sf):
     """Each scenario against the base: over all cells (no country) and by country."""
-    cells = scored(spark, sf)[1].drop("score")
+    cells = stored(scored(spark, sf)[1].drop("score"), "scored")
     return S.sensitivity_correlations(cells).select("scenario", F.lit(None).cast("long").alias("country_code"), "rho").unionByName(S.sensitivity_correlations(cells, "country_code"))
 
 
