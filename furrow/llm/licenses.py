@@ -20,32 +20,47 @@ from furrow.llm.batches import map_texts
 #: Phrase and label.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: The mandatory wording of public licence notices, with their optional and replaceable regions.
-TEMPLATES = {
+#: Public licence notices of a few words, with their optional and replaceable regions.
+NOTICES = {
     "apache-2.0": "Licensed under the Apache License, <<beginOptional>>Version<<endOptional>> 2.0",
     "cc-by": 'Licensed under <<beginOptional>>the<<endOptional>> <<beginOptional>>Creative Commons<<endOptional>> CC BY <<var;match="[0-9]+">>',
     "cc-by-nc": 'Licensed under <<beginOptional>>the<<endOptional>> CC BY-NC <<var;match="[0-9]+">>',
     "gpl-notice": "This <<var;match=\".{1,3}\">> is licensed under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License, version <<var;match=\"[0-9]+\">>",
     "mit-notice": "Released under the MIT License",
+    "copyright-line": 'Copyright <<beginOptional>>c<<endOptional>> <<var;match="[0-9]+">> <<var;match=".{1,6}">> All rights reserved',
+}
+
+#: Whole licence texts (MIT, ISC, two-clause BSD as the Open Source Initiative publishes them), from the grant to the end of the disclaimer.
+TEXTS = {
     "mit-text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
         '<<beginOptional>>(the "Software")<<endOptional>>, to deal in the Software without restriction, including without limitation the rights to '
         "use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
         "furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
-        "<<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software."
+        "<<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. "
+        'The Software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, '
+        'fitness for a particular purpose and noninfringement. In no event shall <<var;match=".{1,12}">> be liable for any claim, damages or other '
+        "liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software."
     ),
     "isc-text": (
         "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, "
-        "provided that the above copyright notice and this permission notice appear in all copies."
+        "provided that the above copyright notice and this permission notice appear in all copies. "
+        'The software is provided "as is" and <<var;match=".{1,12}">> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. '
+        'In no event shall <<var;match=".{1,12}">> be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, '
+        "data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."
     ),
     "bsd-2-clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
         "<<beginOptional>>1<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
         "<<beginOptional>>2<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
-        "in the documentation and/or other materials provided with the distribution."
+        "in the documentation and/or other materials provided with the distribution. "
+        'This software is provided by <<var;match=".{1,12}">> "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and '
+        'fitness for a particular purpose are disclaimed. In no event shall <<var;match=".{1,12}">> be liable for any direct, indirect, incidental, special, exemplary, or consequential '
+        "damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of "
+        "liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."
     ),
-    "copyright-line": 'Copyright <<beginOptional>>c<<endOptional>> <<var;match="[0-9]+">> <<var;match=".{1,6}">> All rights reserved',
 }
+TEMPLATES = NOTICES | TEXTS
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MARKUP = re.compile(r'<<beginOptional>>|<<endOptional>>|<<var;(?:[^>"]|"[^"]*")*?match="([^"]*)"(?:[^>"]|"[^"]*")*?>>')
@@ -174,17 +189,16 @@ class Automaton:
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<label:string,first_word:long,end_word:long>>"
 
 
-def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, base: dict[str, str] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", texts: dict[str, str] = TEXTS, notices: dict[str, str] = NOTICES, base: dict[str, str] = BASE) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, places) for each row.
 
-    ``score``: 1 if a template's whole mandatory wording is there, 0.5 if only a phrase is, else 0. ``places``: the first accepted
+    ``score``: 1 if the whole mandatory wording of a licence text is there, 0.75 if only that of a notice is, 0.5 if only a phrase is, else 0. ``places``: the first accepted
     place of each template.
     """
-    templates, base = TEMPLATES if templates is None else templates, BASE if base is None else base
-    phrases = [(words_of(p), label) for p, label in base.items()]
+    phrases, whole = [(words_of(p), label) for p, label in base.items()], set(texts)
 
     def make():
-        automaton = Automaton(templates)
+        automaton = Automaton(notices | texts)
         firsts: dict[bytes, list] = {}
         for phrase, label in phrases:
             firsts.setdefault(phrase[0], []).append((phrase, label))
@@ -204,7 +218,7 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templ
                                 labels.add(label)
                 found = automaton.labels(words) if starts is None or not have.isdisjoint(starts) else {}
                 both = labels | set(found)
-                rows.append((len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(both)), 1.0 if found else 0.5 if labels else 0.0,
+                rows.append((len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(both)), 1.0 if not whole.isdisjoint(found) else 0.75 if found else 0.5 if labels else 0.0,
                              [{"label": x, "first_word": a, "end_word": b} for x, (a, b) in sorted(found.items())]))
             return [list(column) for column in zip(*rows)]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from furrow.llm.conversations import damage, repair
 from furrow.llm.embeddings import near_duplicate_vectors
 from furrow.llm.langid import identify, train
-from furrow.llm.licenses import BASE, TEMPLATES, scan_licenses, template_regex
+from furrow.llm.licenses import BASE, TEMPLATES, TEXTS, scan_licenses, template_regex
 from furrow.llm.lm import lm_scores
 from furrow.llm.media import media_columns, pack_texts
 from furrow.llm.mixing import mix, taken_by_shard
@@ -150,11 +150,11 @@ t AS (SELECT n, doc_id, regexp_extract_all(s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
 base AS ({hits}),
 found AS ({found}),
 b AS (SELECT n, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY n),
-f AS (SELECT n, count(*) AS n_found FROM found GROUP BY n),
+f AS (SELECT n, count(*) AS n_found, count(*) FILTER (WHERE label IN ({", ".join(f"'{x}'" for x in TEXTS)})) AS n_texts FROM found GROUP BY n),
 a AS (SELECT n, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT n, label FROM base UNION ALL SELECT n, label FROM found) GROUP BY n)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
-  CAST(CASE WHEN n_found > 0 THEN 1.0 WHEN n_base > 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score
+  CAST(CASE WHEN n_texts > 0 THEN 1.0 WHEN n_found > 0 THEN 0.75 WHEN n_base > 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score
 FROM t LEFT JOIN b USING (n) LEFT JOIN f USING (n) LEFT JOIN a USING (n)"""
 
 

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.batches import release, small_batches, text_slices
@@ -145,11 +145,10 @@ def repeated_anchors(packs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["pack"].as_py())), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], ["pack", "key", "n"])
         release()
 
-    every = stored(packs.mapInArrow(run, "pack long, key long, n int"), "anchors")
-    again = every.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
-    found = stored(every.join(again, "key").groupBy("pack").agg(F.collect_list("key").alias("keys")), "repeated-anchors")  # no more than a pack has
-    drop_stored(every)
-    return found
+    # A key has a row for each pack that holds it, so even the most common one is a short window; one shuffle serves both the count and those counted.
+    every = packs.mapInArrow(run, "pack long, key long, n int").withColumn("all", F.sum("n").over(Window.partitionBy("key")))
+    again = every.filter(F.col("all") > 1).groupBy("pack").agg(F.collect_list("key").alias("keys"))  # no more than a pack has
+    return stored(again, "repeated-anchors")
 
 
 def _digest(content: bytes) -> int:
@@ -435,6 +434,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     hits = None
     while True:
         each = stored(contents(now), "contents", "zstd")
+        free_shuffles(spark)
         of_key = each.groupBy("key").agg(F.count("*").alias("n_contents"), F.sum("n").alias("n_all"))
         crowded = stored(of_key.filter(F.col("n_contents") > most).select("key"), "crowded")
         is_crowded = crowded.limit(1).count() > 0
@@ -444,6 +444,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
         own = marks(now, placed)
         hits = own if hits is None else hits.unionByName(own)
         if not is_crowded:
+            drop_stored(each)
             break
         hot = now.drop("content").join(crowded, "key").join(each.select("key", "digest", "content"), ["key", "digest"])
         now = stored(halved(hot.select(*[x.split()[0] for x in SEGMENTS.split(", ")]), length), "segments", "zstd")

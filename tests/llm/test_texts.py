@@ -219,6 +219,15 @@ def test_license_markup():
         licenses.parse("<<beginOptional>> a")
 
 
+def test_whole_license_texts(spark):
+    """A text without its disclaimer is no licence text; holders and marks may differ; a notice scores less than a text."""
+    plain = {label: licenses.MARKUP.sub(lambda m: "A. Holder" if m[1] else "", t) for label, t in licenses.TEXTS.items()}
+    docs = [(k, x) for k, x in enumerate(plain.values())] + [(10 + k, x[: len(x) * 2 // 3]) for k, x in enumerate(plain.values())] + [(20, "Released under the MIT License.")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(3)] == [(label, 1.0) for label in plain]
+    assert all(got[10 + k] == ("", 0.0) for k in range(3)) and got[20] == ("mit,mit-notice", 0.75)
+
+
 def test_license_scan_of_odd_rows(odd, none):
     rows = licenses.scan_licenses(odd).collect()
     assert len(rows) == 12 and licenses.scan_licenses(none).count() == 0
