@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,9 @@ def drop_stored(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now. Its cleaner does so once the driver's JVM has collected their plans, which a driver with memory to spare may put off for half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished steps now. Its cleaner does so once the driver's JVM has collected their plans, which a driver with memory to spare may put off for half an hour.
+    The second round takes what the first has only made unreachable."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
