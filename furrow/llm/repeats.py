@@ -440,14 +440,15 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
         is_crowded = crowded.limit(1).count() > 0
         alone = of_key.filter(F.col("n_all") == 1).select("key")
         placed = stored(places(each.join(crowded if is_crowded else alone, "key", "left_anti"), length, group_bytes), "places")
-        free_shuffles(spark)
         own = marks(now, placed)
         hits = own if hits is None else hits.unionByName(own)
         if not is_crowded:
             drop_stored(each)
             break
         hot = now.drop("content").join(crowded, "key").join(each.select("key", "digest", "content"), ["key", "digest"])
+        free_shuffles(spark)
         now = stored(halved(hot.select(*[x.split()[0] for x in SEGMENTS.split(", ")]), length), "segments", "zstd")
+        drop_stored(each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, ids, sizes, data in _opened(batches):
@@ -469,5 +470,6 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(spans, kind), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
         release()
 
+    free_shuffles(spark)
     of_pack = hits.groupBy("pack").agg(F.collect_list("hits").alias("hits"))  # no more than a pack has
     return packs.join(of_pack, "pack", "left").mapInArrow(run, RESULT).withColumnRenamed("id", id)
