@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from furrow.llm.batches import release, small_batches, text_slices
 from furrow.session import drop_stored, free_shuffles, stored
 
-PACK_BYTES, GROUP_BYTES, MOST, SLICE = 2_000_000, 1_500_000, 3_000, 1 << 15
+PACK_BYTES, GROUP_BYTES, MOST, SLICE = 2_000_000, 800_000, 3_000, 1 << 15
 _END = 255  # never a byte of UTF-8: it ends every text and content
 _LAST_ID = (1 << 63) - 1
 PACKS = "ids array<long>, sizes array<int>, data binary"
@@ -214,6 +214,7 @@ def halved(rows: DataFrame, length: int) -> DataFrame:
                         key = _digest(shared + low.to_bytes(4, "big") + high.to_bytes(4, "big"))
                         out.append((r["pack"], r["row"], r["start"] + a, r["id"], key, _digest(content), content, r["anchor"] - a, low, high))
             yield _segment_batch(list(zip(*out)) or [()] * 10)
+        release()
 
     return rows.mapInArrow(run, SEGMENTS)
 
@@ -409,7 +410,9 @@ def places(each: DataFrame, length: int, group_bytes: int) -> DataFrame:
         kinds = (("first", pa.int32()), ("end", pa.int32()), ("id", pa.int64()), ("start", pa.int64()))
         flat = pa.StructArray.from_arrays([pa.array(p).cast(k) for p, (_, k) in zip(parts, kinds)], [name for name, _ in kinds])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), flat)
-        return pa.table([table["key"].take(pa.array(own)), table["digest"].take(pa.array(own)), lists], ["key", "digest", "parts"])
+        found = pa.table([table["key"].take(pa.array(own)), table["digest"].take(pa.array(own)), lists], ["key", "digest", "parts"])
+        release()
+        return found
 
     return each.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("group").applyInArrow(run, PLACES)
 
