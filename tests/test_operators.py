@@ -91,7 +91,7 @@ def test_focal_window_reaches_absent_cells(spark):
 def test_fill_nearest_far_away(spark):
     df = spark.createDataFrame([(0, 0, 1.0), (100, 100, 2.0)], "row_no long, col_no long, v double")
     target = spark.createDataFrame([(40, 40), (60, 60), (50, 50), (0, 1)], "row_no long, col_no long")
-    got = {(r.row_no, r.col_no): r.v for r in grid.fill_nearest(df, target, "v", bucket=4).collect()}
+    got = {(r.row_no, r.col_no): r.v for r in grid.fill_nearest(df, target, "v").collect()}
     assert got == {(40, 40): 1.0, (60, 60): 2.0, (50, 50): 1.0, (0, 1): 1.0}
     assert grid.fill_nearest(df.filter("v > 5"), target, "v").filter("v IS NULL").count() == 4
 
@@ -102,7 +102,7 @@ def test_fill_nearest_beyond_any_window(spark):
     cells = {c: float(k) for k, c in enumerate(cells)}
     target = [(int(y), int(x)) for y, x in rng.integers(-300, 6000, (60, 2))] + [(67, 67), (10, 90), (100_000, -50_000)]
     df = spark.createDataFrame([(*c, v) for c, v in cells.items()], "row_no long, col_no long, v double")
-    got = {(r.row_no, r.col_no): r.v for r in grid.fill_nearest(df, spark.createDataFrame([*target, (None, 3)], "row_no long, col_no long"), "v", bucket=4).collect()}
+    got = {(r.row_no, r.col_no): r.v for r in grid.fill_nearest(df, spark.createDataFrame([*target, (None, 3)], "row_no long, col_no long"), "v").collect()}
     assert got == {t: cells[min(cells, key=lambda c: ((c[0] - t[0]) ** 2 + (c[1] - t[1]) ** 2, c))] for t in target} | {(None, 3): None}
 
 
