@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import sys
+import timeit
 import zlib
 from collections import Counter
 
@@ -99,6 +101,16 @@ def test_numbers_are_no_letters(spark):
     assert langid.WORDS.findall("a²b 一 é_x ªº") == ["a", "b", "一", "é", "x", "ªº"]
 
 
+def test_words_of_texts_are_found_fast():
+    """The words are those of the pattern for every sign there is; searching whole texts with it took most of a prediction's time."""
+    signs = "".join(f"a{chr(c)}b " for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    assert langid.words_of(signs) == langid.WORDS.findall(signs.lower())
+    text = "Of the thing that is there été où ça naïve " * 2000
+    seconds = lambda f: min(timeit.repeat(f, number=1, repeat=3))
+    assert langid.words_of(text) == langid.WORDS.findall(text.lower())
+    assert 2 * seconds(lambda: langid.Model(("a", "b"), np.zeros((1 << langid.BITS, 2)), np.zeros((2, 2)), np.zeros(0, np.uint64)).predict([text])) < seconds(lambda: langid.WORDS.findall(text.lower()))
+
+
 def test_isotonic_against_plain_means():
     raw = np.arange(6.0)
     x, p = quality.isotonic(raw, np.ones(6), np.array([0, 1, 0, 0, 1, 1.0]))
