@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from furrow.llm.batches import map_texts, release, small_batches, text_slices
 from furrow.llm.components import components, local_roots
 from furrow.llm.simhash import SEED, near_links
-from furrow.session import drop_stored, stored
+from furrow.session import drop_stored, free_shuffles, stored
 
 #: One in so many rows is counted to find common shingles.
 SAMPLE = 8
@@ -183,8 +183,10 @@ def candidates(first: DataFrame, least: float) -> DataFrame:
 
 def clusters(sets: DataFrame, least: float) -> DataFrame:
     """(num, cluster): sets brought together by their rarest shared shingles, so that no similar pair is parted. ``sets(num, n, rare, hashes)`` are whole."""
+    spark = sets.sparkSession
     rows = sets.select("num", F.explode(F.slice("hashes", F.lit(1), F.col("rare"))).alias("h"))
     shared = stored(rows.withColumn("df", F.count("*").over(Window.partitionBy("h"))).filter("df > 1"), "shared")
+    free_shuffles(spark)
     counted = shared.groupBy("num").agg(F.count("*").cast("int").alias("m"))
     of_set = sets.select("num", "n", "rare").join(counted, "num", "left").select("num", "n", "rare", F.coalesce("m", F.lit(0)).alias("m"))
     # All but fewest - 1 of a set's shared shingles, the rarest first.
@@ -194,9 +196,10 @@ def clusters(sets: DataFrame, least: float) -> DataFrame:
     rarest = shared.join(of_set.select("num", "spare"), "num").withColumn("place", place).filter("place <= spare").select("num", "h")
     more = sets.select("num", "hashes").join(of_set.filter("spare > m"), "num").select("num", F.explode(F.slice("hashes", F.col("rare") + 1, F.col("spare") - F.col("m"))).alias("h"))
     met = stored(rarest.unionByName(more), "met")
+    drop_stored(shared)
+    free_shuffles(spark)
     first = stored(met.groupBy("h").agg(F.min("num").alias("first"), F.count("*").alias("k")).filter("k > 1").select("h", "first"), "firsts")
     found = components(met.join(first, "h").select(F.col("num").alias("a"), F.col("first").alias("b")))
-    drop_stored(shared)
     return found.select(F.col("node").alias("num"), F.col("root").alias("cluster"))
 
 
@@ -288,6 +291,7 @@ def cluster_links(sets: DataFrame, placed: DataFrame, sure: DataFrame, least: fl
 def similar_rows(docs: DataFrame, id: str, text: str, shingle: int, least: float, most: int) -> tuple[DataFrame, DataFrame, bool]:
     """(id, digest, node) of each row; (node, row) of each set: the row (none, id, digest) that stands for its group; whether rows repeat."""
     rows = digested(docs, id, text)
+    spark = docs.sparkSession
     marked = stored(marked_rows(rows, shingle), "shingles")
     repeats = not marked.groupBy("id", "digest").count().filter("count > 1").isEmpty()
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("row")
@@ -295,9 +299,15 @@ def similar_rows(docs: DataFrame, id: str, text: str, shingle: int, least: float
     classes = stored(marked.groupBy("node", "fp").agg(first).withColumn("num", F.monotonically_increasing_id()), "sets")
     common = common_shingles(rows, shingle)
     sure = fingerprint_links(classes, rows, repeats, shingle, most, least)
+    # Before each larger shuffle those of the finished steps go: kept together they take several times the texts' disk.
+    free_shuffles(spark)
     some = stored(candidates(first_rows(texts_of(classes.select("num"), rows, classes, repeats), shingle, common, least), least), "candidates")
+    free_shuffles(spark)
     sets = stored(shingle_sets(texts_of(some, rows, classes, repeats), shingle, common), "candidate-sets")
-    more = cluster_links(sets, stored(clusters(sets, least), "clusters"), sure, least)
+    free_shuffles(spark)
+    placed = stored(clusters(sets, least), "clusters")
+    free_shuffles(spark)
+    more = cluster_links(sets, placed, sure, least)
     roots = components(sure.unionByName(more)).withColumnRenamed("node", "num")
     drop_stored(sets)
     rooted = classes.join(roots, "num", "left").select("node", "row", F.coalesce("root", "num").alias("root"))
@@ -317,5 +327,6 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: i
     _, named, repeats = similar_rows(docs, id, text, shingle, least, most)
     whole = docs.select(F.struct("*").alias("doc"), F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"))
     chosen = stored(named.select("row.id", "row.digest").distinct(), "kept")
+    free_shuffles(docs.sparkSession)
     kept = whole.join(chosen, same_row(whole, chosen), "left_semi")
     return (kept.dropDuplicates(["id", "digest"]) if repeats else kept).select("doc.*")

@@ -1,7 +1,9 @@
 """The near-duplicate stage of the pipeline against all pairs of shingle sets."""
 
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -61,6 +63,24 @@ def test_stage_keeps_one_of_near_copies(spark, small):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in brute(rows)})
 
 
+def test_shuffles_of_finished_steps_are_freed(spark, monkeypatch):
+    """When a large step begins, no file of the shuffles before it stands on the disks."""
+    folders = [f.getPath() for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {n for folder in folders for _, _, names in os.walk(folder) for n in names if n.startswith("shuffle_")}
+    docs, before, left, write = spark.createDataFrame(near_copies(), "doc_id long, text string"), files(), {}, similar.stored
+
+    def watched(df, name="stored", *more):
+        end = time.time() + 3  # Spark's cleaner works beside the job
+        while (now := files() - before) and name in ("candidates", "candidate-sets") and time.time() < end:
+            time.sleep(0.1)
+        left[name] = len(now)
+        return write(df, name, *more)
+
+    monkeypatch.setattr(similar, "stored", watched)
+    assert similar.keep_one(docs).count()
+    assert max(left.values()) > 20 and (left["candidates"], left["candidate-sets"]) == (0, 0), left
+
+
 @pytest.mark.parametrize("tile", [512, 7])
 def test_clusters_of_several_tiles(spark, monkeypatch, tile):
     """Without any link from SimHash, and with clusters dealt to many tiles, all pairs are still found."""
