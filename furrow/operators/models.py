@@ -14,10 +14,16 @@ def _assembled(features: list[str], model) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="feature_vector"), model.setFeaturesCol("feature_vector")])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as Spark has cores, where it comes in fewer: a small file is one part, and MLlib fits and predicts part by part."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def fit_forest(df: DataFrame, features: list[str], target: str, classify: bool = True, trees: int = 600, depth: int = 10, seed: int = 0):
-    """A random forest, as classifier or regressor."""
+    """A random forest, as classifier or regressor. The node that a row has reached in each tree is kept from pass to pass, in memory or on disk, so no pass walks the trees from their roots."""
     kind = RandomForestClassifier if classify else RandomForestRegressor
-    return _assembled(features, kind(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed)).fit(df)
+    return _assembled(features, kind(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, checkpointInterval=-1)).fit(spread(df.select(*features, target)))
 
 
 def fit_tree(df: DataFrame, features: list[str], target: str, depth: int = 30, seed: int = 0):
