@@ -72,3 +72,34 @@ def test_smote_of_shared_ids(spark):
     assert sorted(r.label for r in made) == [1] * 7 + [2] * 8 + [3] * 8
     assert all(0 <= r.features[0] <= 10 and r.features[1] == 0 for r in made if r.label == 1) and all(r.features == [3.0, 3.0] for r in made if r.label == 2)
     assert neighbours.nearest_of_class(df.limit(0)).count() == 0
+
+
+def test_features_without_structure(spark, monkeypatch):
+    """Where every leaf is near every point, vectors travel once for each pair of tiles: what is written of visits are pairs of leaves, less than one for each row, and no vector stands in it."""
+    rng = np.random.default_rng(8)
+    rows = [(n, n % 2, rng.normal(size=13).tolist()) for n in range(1200)]
+    seen, real = {}, neighbours.stored
+
+    def counting(df, name="stored"):
+        out = real(df, name)
+        seen[name] = (out.count(), out.columns)
+        return out
+
+    monkeypatch.setattr(neighbours, "stored", counting)
+    monkeypatch.setattr(neighbours, "TILE_POINTS", 150, raising=False)
+    df = spark.createDataFrame(rows, SCHEMA)
+    near = neighbours.nearest_of_class(df, crowd=60, k=4, vectors=False)
+    assert near.schema["near_"].dataType.elementType.names == ["d2", "o_key"]
+    got = sorted(((r.id, r.label, [(f"{n.d2:.10g}", n.o_key) for n in r.near_]) for r in near.collect()), key=repr)
+    assert got == plain(rows, 4)
+    assert 0 < seen["visits"][0] < len(rows) and "x" not in seen["visits"][1]
+    assert seen["pairs"][0] >= 8  # several tiles in each class
+
+
+@pytest.mark.parametrize("shift, scale", [(1e6, 1.0), (0.0, 2e153), (0.0, 1e-170)])
+def test_sizes_of_values(spark, shift, scale):
+    """Products of large numbers lose the digits in which near points differ, or are infinite, and those of small ones are 0; the distances don't come from them."""
+    rng = np.random.default_rng(4)
+    rows = [(n, 1, (shift + np.round(rng.normal(size=3), 2) * scale).tolist()) for n in range(150)]
+    got = found(spark.createDataFrame(rows, SCHEMA), crowd=20, k=3)
+    assert got == plain(rows, 3)
